@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing
+from . import mixing, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,5 +45,10 @@ p AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, words AS source_size, target, CAST((floor(off + rate * pos) - floor(off + rate * (pos - 1))) * size AS BIGINT) AS taken FROM p
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op5_mix": op5_mix}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *[F.col(f"_{n}").alias(n) for n in names])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op5_mix": op5_mix, "op8_quality": op8_quality}
 SQL: dict[str, str] = {"op5_mix": OP5_SQL}
