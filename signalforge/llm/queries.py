@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality
+from . import mixing, packing, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +45,16 @@ p AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, words AS source_size, target, CAST((floor(off + rate * pos) - floor(off + rate * (pos - 1))) * size AS BIGINT) AS taken FROM p
 """
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("_base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.described(F.col("_base")), 256).alias("base_sha256"), pii.described(F.col("_spans")).alias("spans"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *[F.col(f"_{n}").alias(n) for n in names])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op5_mix": op5_mix, "op8_quality": op8_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op5_mix": op5_mix, "op6_pii": op6_pii, "op8_quality": op8_quality}
 SQL: dict[str, str] = {"op5_mix": OP5_SQL}
