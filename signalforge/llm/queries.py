@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality
+from . import mixing, packing, pii, quality, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +47,8 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, words AS source_size, target, CAST(
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("_base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    of_kind = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [of_kind(kind) for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.described(F.col("_base")), 256).alias("base_sha256"), pii.described(F.col("_spans")).alias("spans"))
 
 
@@ -56,5 +57,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *[F.col(f"_{n}").alias(n) for n in names])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op5_mix": op5_mix, "op6_pii": op6_pii, "op8_quality": op8_quality}
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlrules.judge(table(spark, sf_dir, "pages"))
+    return judged.select("page_id", *[F.col(f"_{n}").alias(n) for n in ("host", "path", "rule", "verdict")])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op5_mix": op5_mix, "op6_pii": op6_pii, "op8_quality": op8_quality, "op10_urls": op10_urls}
 SQL: dict[str, str] = {"op5_mix": OP5_SQL}
