@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,8 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 #: Tokens packed together; bounds a task's memory.
 WINDOW_TOKENS = 2_000_000
 #: Words whose ids a worker remembers.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 700_000
 _tokenizers: dict = {}
-_memo: dict = {}
 
 
 def default_tokenizer() -> str:
@@ -41,47 +41,91 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """ids of whole texts, remembering the ids of words: white space always separates this tokenizer's words."""
+    """ids of whole texts, remembering the ids of words.
+
+    Some tokenizers never look across white space, and divide letters from punctuation whatever their case. Where
+    probes show that, only new words are encoded; else whole texts are.
+    """
 
     MARK = "\x01"
+    PROBES = ("Some words, here. And others.", "\u00c9t\u00e9, fa\u00e7ade. na\u00efve")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = _memo.setdefault(path, {})
-        self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.new, self.old = {}, {}
+        mark = self.ids(self.MARK)
+        self.mark = int.from_bytes(mark, "little") if len(mark) == 4 else None
+        self.by_word = all(self.ids(p) == b"".join(map(self.ids, p.split(" "))) for p in self.PROBES)
+        self.by_core = self.by_word and all(self.ids(w) == b"".join(map(self.ids, (w[:-1].lower(), w[-1]))) for p in self.PROBES for w in p.split(" ") if w[-1] in ".,")
+        self.tails = {c: self.ids(c) for c in ".,"}
+        self.direct = all(self.by_model(w) == self.ids(w) for w in ("some", "extraordinarily", "zzqx"))
+
+    def by_model(self, word: str) -> bytes:
+        """ids of a lower-case ASCII word straight from the model."""
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(word)])
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def together(self, words: list[str]) -> list[bytes]:
+        """ids of words that hold no mark, encoded in one call and divided by the mark's own id."""
+        if self.mark is not None:
+            ids = np.array(self.tokenizer.encode(f" {self.MARK} ".join(words), add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(ids == self.mark)
+            if len(at) == len(words) - 1:
+                data, begins, ends = ids.tobytes(), np.append(0, at + 1) * 4, np.append(at, len(ids)) * 4
+                return [data[b:e] for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
+        return [self.ids(w) for w in words]
 
     def learn(self, words: list[str]) -> None:
-        """Encode new words together, divided by a mark that has an id of its own."""
-        if len(self.mark) != 1:
-            plain, odd = [], words
-        else:
-            plain = [w for w in words if self.MARK not in w and "<|" not in w]
-            odd = [w for w in words if self.MARK in w or "<|" in w]
-        if plain:
-            ids = np.array(self.tokenizer.encode(f" {self.MARK} ".join(plain), add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(ids == self.mark[0])
-            if len(at) == len(plain) - 1:
-                data, begins, ends = ids.tobytes(), np.append(0, at + 1) * 4, np.append(at, len(ids)) * 4
-                for w, b, e in zip(plain, begins.tolist(), ends.tolist(), strict=True):
-                    self.memo[w] = data[b:e]
+        new, old, cores, rest = self.new, self.old, {}, []
+        for w in words:
+            if w in old:
+                new[w] = old[w]
+                continue
+            core, tail = (w[:-1], w[-1]) if w[-1:] in self.tails else (w, "")
+            if not (self.by_core and core.isalpha()):
+                rest.append(w)
+                continue
+            core = core.lower() if core.isascii() else core
+            if core in new or core in old:
+                new[w] = (new.get(core) or old[core]) + self.tails.get(tail, b"")
             else:
-                odd = words
-        for w in odd:
-            self.memo[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+                cores.setdefault(core, []).append((w, tail))
+        if self.direct:
+            tokens = self.tokenizer.model.tokenize
+            for core in [c for c in cores if c.isascii()]:
+                new[core] = ids = array("I", [t.id for t in tokens(core)]).tobytes()
+                for w, tail in cores.pop(core):
+                    new[w] = ids + self.tails[tail] if tail else ids
+        todo = list(cores)
+        for k in range(0, len(todo), 2000):
+            for core, ids in zip(todo[k : k + 2000], self.together(todo[k : k + 2000]), strict=True):
+                new[core] = ids
+                for w, tail in cores[core]:
+                    new[w] = ids + self.tails.get(tail, b"")
+        plain = [w for w in rest if self.MARK not in w and "<|" not in w]
+        for k in range(0, len(plain), 2000):
+            new.update(zip(plain[k : k + 2000], self.together(plain[k : k + 2000]), strict=True))
+        for w in rest:
+            if w not in new:
+                new[w] = self.ids(w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if not self.by_word:
+            return [self.ids(t) for t in texts]
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        memo = self.memo
-        new = list({w for words in split for w in words if w not in memo})
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = list({w for words in split for w in words})
-        for k in range(0, len(new), 2000):
-            self.learn(new[k : k + 2000])
+        memo = self.new
+        unknown = list({w for words in split for w in words if w not in memo})
+        if len(memo) + len(unknown) > MEMO_WORDS:
+            self.old, self.new = self.new, {}
+            memo = self.new
+            unknown = list({w for words in split for w in words})
+        self.learn(unknown)
         return [b"".join([memo[w] for w in words]) for words in split]
 
 
@@ -95,9 +139,8 @@ def assign(lengths: list[int], capacity: int, linear: float, quadratic: float) -
     """(piece, start in it, length, sequence, offset there), every token once, ceil(tokens / capacity) sequences."""
     n = -(-sum(lengths) // capacity)
     used = [0] * n
-    waiting = [(0, s) for s in range(n)]  # (-room, sequence): too small for the piece at hand
+    waiting = [(-capacity, s) for s in range(n)]  # (-room, sequence): not known to have room for the piece at hand
     active: list[tuple[float, int]] = []  # (cost, sequence): room for the piece at hand
-    waiting = [(-capacity, s) for s in range(n)]
     cost = [0.0] * n
     pieces = [(-length, k, 0) for k, length in enumerate(lengths) if length]
     heapq.heapify(pieces)
