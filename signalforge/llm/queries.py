@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, pii, quality, urlrules, vecdup, warc
+from . import langmodel, mixing, neardup, packing, pii, quality, urlrules, vecdup, warc
 from .shared import scratch_path
 
 
@@ -75,10 +75,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *[F.col(f"_{n}").alias(n) for n in names])
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langmodel.train(docs.filter(~langmodel.held_out(F.col("doc_id"))))
+    scored = langmodel.score(docs, model)
+    names = [F.col(f"_{n}").alias(n) for n in ("n_tokens", "n_known")]
+    return scored.select(F.col("_id").alias("doc_id"), langmodel.held_out(F.col("_id")).alias("held_out"), *names, F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("_base_score").alias("base_score"), F.col("_score").alias("score"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlrules.judge(table(spark, sf_dir, "pages"))
     return judged.select("page_id", *[F.col(f"_{n}").alias(n) for n in ("host", "path", "rule", "verdict")])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op3_vectors": op3_vectors, "op4_warc": op4_warc, "op5_mix": op5_mix, "op6_pii": op6_pii, "op7_neardup": op7_neardup, "op8_quality": op8_quality, "op10_urls": op10_urls}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op3_vectors": op3_vectors, "op4_warc": op4_warc, "op5_mix": op5_mix, "op6_pii": op6_pii, "op7_neardup": op7_neardup, "op8_quality": op8_quality, "op9_lm": op9_lm, "op10_urls": op10_urls}
 SQL: dict[str, str] = {"op5_mix": OP5_SQL}

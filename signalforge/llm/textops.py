@@ -44,13 +44,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, words of each text); ASCII letters count as lower case."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, tails: bool = False) -> tuple[np.ndarray, ...]:
+    """(hash of each word, words of each text); ASCII letters count as lower case. tails: then the last two bytes of each word too."""
     low = _LOWER[data[offsets[0] : offsets[-1]]]
     at = offsets - offsets[0]
     n = len(low)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+        return (*none, np.zeros(0, np.uint16)) if tails else none
     black = ~_WHITE[low]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
@@ -62,16 +63,20 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     sums = np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n])
     before = np.where(begins > 0, sums[begins - 1], np.uint64(0))
     hashes = mix((sums[ends] - before) * down[begins])
-    return hashes, np.diff(np.searchsorted(begins, at))
+    counts = np.diff(np.searchsorted(begins, at))
+    if not tails:
+        return hashes, counts
+    last = low[ends].astype(np.uint16)
+    return hashes, counts, last | np.where(ends > begins, low[ends - 1].astype(np.uint16) << 8, 0).astype(np.uint16)
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, word hashes, words a row) for runs of rows of about CHUNK bytes."""
+def chunks(column: pa.Array, tails: bool = False) -> Iterator[tuple]:
+    """(first row, last row + 1, word hashes, words a row, and tails if asked for) for runs of rows of about CHUNK bytes."""
     data, offsets = utf8(column)
     low, n = 0, len(column)
     while low < n:
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + CHUNK, "right")) - 1)
-        yield low, high, *word_hashes(data, offsets[low : high + 1])
+        yield low, high, *word_hashes(data, offsets[low : high + 1], tails)
         low = high
 
 
