@@ -48,8 +48,9 @@ def rolling_zscore(series: DataFrame) -> DataFrame:
     def fence(z: Column) -> Column:
         def quantile(p: float) -> Column:
             at = (F.size(z) - 1) * p
-            low, high = F.get(z, F.floor(at).cast("int")), F.get(z, F.ceil(at).cast("int"))
-            return low + (high - low) * (at - F.floor(at))
+            low, high, part = F.get(z, F.floor(at).cast("int")), F.get(z, F.ceil(at).cast("int")), at - F.floor(at)
+            # from the nearer end, so that equal steps give equal quantiles: a score at the fence is not above it
+            return F.when(part < 0.5, low + (high - low) * part).otherwise(high - (high - low) * (1 - part))
 
         return quantile(0.75) + 1.5 * (quantile(0.75) - quantile(0.25))
 

@@ -131,7 +131,10 @@ w AS (SELECT *, CAST(CASE WHEN n < 3 THEN 0 WHEN n < 4 THEN 1 WHEN n < 12 THEN n
 h AS (SELECT a.drug, a.side_effect, a.period, a.mention_count, a.rn, a.w, avg(b.mention_count) AS m, stddev_samp(b.mention_count) AS sd
   FROM w a LEFT JOIN w b ON a.drug = b.drug AND a.side_effect = b.side_effect AND a.w > 0 AND a.rn > a.w AND b.rn BETWEEN a.rn - a.w AND a.rn - 1 GROUP BY ALL),
 z AS (SELECT *, CASE WHEN sd > 0 THEN round_even((mention_count - m) / sd, 4) ELSE 0.0 END AS z FROM h),
-f AS (SELECT drug, side_effect, quantile_cont(z, 0.75) + 1.5 * (quantile_cont(z, 0.75) - quantile_cont(z, 0.25)) AS fence FROM z WHERE rn > w AND w > 0 GROUP BY ALL)
+l AS (SELECT drug, side_effect, list_sort(list(z)) AS l, len(list(z)) - 1 AS k FROM z WHERE rn > w AND w > 0 GROUP BY ALL),
+i AS (SELECT *, k * 0.25::DOUBLE AS p1, k * 0.75::DOUBLE AS p3, l[CAST(floor(k * 0.25) AS INT) + 1] AS a1, l[CAST(ceil(k * 0.25) AS INT) + 1] AS b1, l[CAST(floor(k * 0.75) AS INT) + 1] AS a3, l[CAST(ceil(k * 0.75) AS INT) + 1] AS b3 FROM l),
+t AS (SELECT drug, side_effect, CASE WHEN p1 - floor(p1) < 0.5 THEN a1 + (b1 - a1) * (p1 - floor(p1)) ELSE b1 - (b1 - a1) * (1 - (p1 - floor(p1))) END AS q1, CASE WHEN p3 - floor(p3) < 0.5 THEN a3 + (b3 - a3) * (p3 - floor(p3)) ELSE b3 - (b3 - a3) * (1 - (p3 - floor(p3))) END AS q3 FROM i),
+f AS (SELECT drug, side_effect, q3 + 1.5 * (q3 - q1) AS fence FROM t)
 SELECT z.drug, z.side_effect, period, mention_count, round_even(m, 4) AS rolling_mean, round_even(sd, 4) AS rolling_std, z AS z_score_rolling, coalesce(z > fence, false) AS is_anomaly, w AS window_used,
   CASE WHEN w > 0 THEN 'zscore_rolling_auto_' || w || 'mois' ELSE 'trop_court' END AS method FROM z LEFT JOIN f ON z.drug = f.drug AND z.side_effect = f.side_effect"""
 
