@@ -15,6 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: A table is broadcast only if it has been counted and holds no more rows than this.
 BROADCAST_ROWS = 20_000
+#: Rows handed to Python together while a table is written: texts and shingle sets can be long.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch(spark: SparkSession) -> str:
@@ -35,7 +38,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    rows = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(int(rows), BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,3 +74,19 @@ def once(value: Column, use) -> Column:
 def q(name: str) -> Column:
     """The column of that very name, dots and spaces included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def positional(df: DataFrame, *named: str) -> tuple:
+    """df with its columns called c0, c1, ..., and what the named ones are called now: no column can clash with a working one."""
+    at = {name: f"c{k}" for k, name in enumerate(df.columns)}
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), *[at[n] for n in named]
+
+
+def restored(df: DataFrame, names: list[str], **replaced: Column) -> DataFrame:
+    """df with c0, c1, ... called by their names again (or replaced), then the result's own columns, which start with _.
+
+    A column of the input that is called like one of these gives way to it.
+    """
+    own = [c for c in df.columns if c.startswith("_")]
+    kept = [replaced.get(n, F.col(f"c{k}")).alias(n) for k, n in enumerate(names) if n not in own]
+    return df.select(*kept, *own)
