@@ -12,7 +12,8 @@ how they are partitioned: reruns agree.
 
 Defined cases: null text has size 0; a null source is a source of its own, ordered last; null ids are
 ordered as the text "null"; repeated rows are documents of their own; an empty table gives an empty
-result; other columns pass through untouched.
+result; other columns pass through untouched, whatever they are called (plan()'s own results take the place of columns
+called like them).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, attach, q
+from .shared import WORD, attach, positional, q, restored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -54,6 +55,8 @@ def source_targets(totals: DataFrame, budget: float = 1.5, weights: tuple[float,
 
 def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", budget: float = 1.5, weights: tuple[float, ...] = WEIGHTS, cap: float = 2.0, seed: str = "mix") -> DataFrame:
     """docs with _size, _words (its source's), _target (its source's) and _copies."""
+    names = docs.columns
+    docs, id_col, source_col, text_col = positional(docs, id_col, source_col, text_col)
     rows = docs.withColumn("_src", q(source_col)).withColumn("_key", F.coalesce(F.concat(F.lit("="), q(source_col)), F.lit("")))
     rows = rows.withColumn("_size", word_count(q(text_col)))
     rows = rows.withColumn("_hash", F.md5(F.coalesce(q(id_col).cast("string"), F.lit("null"))))
@@ -74,11 +77,13 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     position = F.col("_before") + F.col("_rank")
     crossed = F.floor(offset + rate * position) - F.floor(offset + rate * (position - 1))
     rows = rows.withColumn("_copies", crossed.cast("int"))
-    return rows.drop("_key", "_hash", "_n", "_stratum", "_rank", "_before")
+    return restored(rows.drop("_key", "_hash", "_n", "_stratum", "_rank", "_before"), names)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: docs' columns, each document as often as the plan takes it."""
-    columns = docs.columns
-    taken = plan(docs, **options).filter(F.col("_copies") > 0)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[q(c) for c in columns])
+    names = docs.columns
+    docs, *columns = positional(docs, *[options.pop(k, v) for k, v in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text"))])
+    taken = plan(docs, *columns, **options).filter(F.col("_copies") > 0)
+    taken = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return restored(taken.select(*docs.columns), names)

@@ -7,7 +7,7 @@ is sanitised, entities are generalised to their kind and disclosing terms are re
 
 Defined cases: null text counts as empty (and stays null when sanitised); spans are code points, end exclusive; the
 longest texts are read whole; repeated rows get equal results; an empty table gives an empty result; other
-columns pass through, working columns start with an underscore.
+columns pass through, whatever they are called (find()'s own results take the place of columns called like them).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, attach, materialise, once, q
+from .shared import BROADCAST_ROWS, attach, materialise, once, positional, q, restored
 
 # Possessive runs and the guards before them change no match (a start inside a run fails where the run's own start
 # failed), and keep matching linear in long runs. \G: an email may begin right where the last one ended.
@@ -137,12 +137,14 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", disclosure: float
 
 def find(docs: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """docs with _base (pattern spans) and _spans (these and the disclosing terms)."""
+    names = docs.columns
+    docs, text_col = positional(docs, text_col)
     text = F.coalesce(q(text_col), F.lit(""))
     revealing = materialise(disclosing_terms(docs, text_col, disclosure, support), "disclosing")
     named = lambda spans: F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
     d = docs.withColumn("_base", base_spans(text)).withColumn("_text_key", F.xxhash64(text))
     if revealing.isEmpty():
-        return d.withColumn("_spans", F.col("_base")).drop("_text_key")
+        return restored(d.withColumn("_spans", F.col("_base")).drop("_text_key"), names)
     holders = docs.filter(text.contains("@") | text.rlike("[0-9][^@]{5,}[0-9]")).select(F.xxhash64(text).alias("_text_key"), F.explode(named(base_spans(text))).alias("_entity")).distinct()
     per_text = holders.join(revealing, "_entity").groupBy("_text_key").agg(F.array_sort(F.collect_set("_term")).alias("_terms"))
     d = attach(d, materialise(per_text, "text-terms"), ["_text_key"], text_col)
@@ -150,13 +152,15 @@ def find(docs: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE
     terms = match_spans(text, "term", len(KINDS), pattern)
     apart = F.filter(terms, lambda t: ~F.exists(F.col("_base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     d = d.withColumn("_spans", F.when(F.col("_terms").isNotNull(), F.sort_array(F.concat("_base", apart))).otherwise(F.col("_base")))
-    return d.drop("_text_key", "_terms")
+    return restored(d.drop("_text_key", "_terms"), names)
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs with entities generalised to [KIND] and disclosing terms removed from the text."""
-    found = find(docs, text_col, **options)
-    text = q(text_col)
+    names = docs.columns
+    docs, column = positional(docs, text_col)
+    found = find(docs, column, **options)
+    text = q(column)
 
     def step(acc: Column, s: Column) -> Column:
         label = F.when(s["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
@@ -168,5 +172,4 @@ def sanitise(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     clean = F.aggregate(F.col("_spans"), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
     new = F.when(text.isNotNull() & (F.size("_spans") > 0), clean).otherwise(text)
     found = found.withColumn("_clean_text", new)
-    changed = {text_col: F.col("_clean_text")} | ({"n_chars": F.length("_clean_text").cast("long")} if "n_chars" in docs.columns else {})
-    return found.select(*[changed.get(c, q(c)).alias(c) for c in docs.columns])
+    return restored(found, names, **{text_col: F.col("_clean_text"), "n_chars": F.length("_clean_text").cast("long")}).select(*names)

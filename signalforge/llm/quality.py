@@ -6,8 +6,8 @@ with too few of its words is rejected. Exact and near copies are no evidence of
 document is told apart, for a line, by the smallest hash among its other lines: copies count as one document.
 
 Defined cases: null and empty texts have no words (and fail the base rules); a null host is a host of its own;
-repeated rows are copies; an empty table gives an empty result; columns are passed through, and
-working columns start with an underscore.
+repeated rows are copies; an empty table gives an empty result; columns are passed through, whatever they are
+called (judge()'s own results take the place of columns called like them).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, attach, materialise, once, q
+from .shared import WORD, attach, materialise, once, positional, q, restored
 
 SYMBOLS = r"[#*$%&|<>]"
 #: A line is boilerplate in a host if more documents than this hold it: at least LEAST, and SHARE of the host's.
@@ -93,6 +93,8 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
 
 def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", least: int = LEAST, share: float = SHARE, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT) -> DataFrame:
     """docs with the statistics, _removed_words (long), _kept (boolean) and _clean_text (the text without boilerplate lines)."""
+    names = docs.columns
+    docs, host_col, text_col = positional(docs, host_col, text_col)
     lines = materialise(boilerplate(docs, host_col, text_col, least, share), "boilerplate")
     sets = lines.groupBy("_host").agg(F.collect_set("_line").alias("_frequent"))
     few = lines.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
@@ -108,11 +110,13 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", lea
     depleted = (F.col("_removed_words") > 0) & ((left < min_words) | (left < min_left * F.col("_n_words")))
     clean = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(F.col("_hits"), line_hash(x))), "\n")
     d = d.withColumn("_clean_text", F.when(F.size("_hits") > 0, clean).otherwise(q(text_col)))
-    return d.withColumn("_kept", ~F.col("_base_failed") & ~depleted).drop("_hits")
+    return restored(d.withColumn("_kept", ~F.col("_base_failed") & ~depleted).drop("_hits"), names)
 
 
 def clean(docs: DataFrame, host_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The documents that pass, without their boilerplate lines; docs' columns."""
-    text = {text_col: F.col("_clean_text")} | ({"n_chars": F.length("_clean_text").cast("long")} if "n_chars" in docs.columns else {})
-    kept = judge(docs, host_col, text_col, **options).filter("_kept")
-    return kept.select(*[text.get(c, q(c)).alias(c) for c in docs.columns])
+    names = docs.columns
+    docs, host, text = positional(docs, host_col, text_col)
+    kept = judge(docs, host, text, **options).filter("_kept")
+    new = {text_col: F.col("_clean_text"), "n_chars": F.length("_clean_text").cast("long")}
+    return restored(kept, names, **new).select(*names)

@@ -8,7 +8,7 @@ confident match gives the verdict, then the best supported, then the first by te
 
 Defined cases: null URLs and those without :// have empty host and path, no tokens and the default verdict; repeated rows
 are judged alike; with no labelled URL nothing is mined; an empty table gives an empty result; other columns pass through,
-working columns start with an underscore.
+whatever they are called (the results take the place of columns called like them).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, attach, materialise, q
+from .shared import BROADCAST_ROWS, attach, materialise, positional, q, restored
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -89,14 +89,16 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, label_col: str |
 
     label_col: a column of verdicts to mine from (null: not labelled); without it, the given rules' verdicts.
     """
+    names = pages.columns
+    pages, url_col, *labels = positional(pages, url_col, *([label_col] if label_col else []))
     url = q(url_col)
     d = pages.withColumn("_host", host(url)).withColumn("_path", path(url))
     rule, says = given(F.col("_host"), F.col("_path"), rules)
     d = d.withColumn("_rule", rule).withColumn("_says", says).withColumn("_key", F.xxhash64(tokens(url)))
-    label = q(label_col) if label_col else F.col("_says")
+    label = q(labels[0]) if labels else F.col("_says")
     labelled = d.select(tokens(url).alias("_tokens"), label.alias("_label")).filter("_label is not null and size(_tokens) > 0")
     mined = mine(labelled, support, confidence)
     sets = d.filter("_says is null").select("_key", tokens(url).alias("_tokens")).dropDuplicates(["_key"])
     found = materialise(match(materialise(sets, "url-sets"), mined), "url-verdicts")
     d = attach(d, found, ["_key"], url_col)
-    return d.withColumn("_verdict", F.coalesce("_says", "_mined", F.lit(default))).drop("_says", "_key")
+    return restored(d.withColumn("_verdict", F.coalesce("_says", "_mined", F.lit(default))).drop("_says", "_key"), names)
