@@ -11,15 +11,22 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _quoted(values) -> str:
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+
+
 def strings(values) -> Column:
-    """A literal array of strings, empty ones included."""
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    """A literal array of strings; parsed at once, which is much faster than one literal by another."""
+    return F.expr(f"cast(array({_quoted(values)}) as array<string>)")
+
+
+def literal_map(table: dict[str, str]) -> Column:
+    return F.expr(f"map({_quoted(x for kv in table.items() for x in kv)})")
 
 
 def mapped(table: dict[str, str], term: Column) -> Column:
     """table's entry for the term, or the term itself."""
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.coalesce(F.create_map(*pairs)[term], term)
+    return F.coalesce(literal_map(table)[term], term)
 
 
 def match_ends(text: Column, pattern: str) -> Column:

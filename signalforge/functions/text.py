@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicon
-from .hof import let, mapped, match_ends, strings
+from .hof import let, literal_map, mapped, match_ends, strings
 
 SPACE = r"(?U)\s+"
 DOSAGE = r"(?iu)\b(\d+(?:\.\d+)?)\s*(mg|mcg|µg|g|ml|tablet|pill|capsule)s?\b"
@@ -83,7 +83,7 @@ def drug_name(c: Column) -> Column:
 def condition(c: Column) -> Column:
     """A condition's name: that of its first known part if it lists several, else its first part."""
     under = lambda x: F.replace(x, F.lit(" "), F.lit("_"))
-    known = F.create_map(*[F.lit(x) for kv in lexicon.CONDITIONS.items() for x in kv])
+    known = literal_map(lexicon.CONDITIONS)
     several = lambda parts: F.coalesce(F.get(F.filter(F.transform(parts, lambda p: known[p]), lambda x: x.isNotNull()), 0), under(F.get(parts, 0)))
     named = lambda raw: F.when(raw.contains(","), let(F.transform(F.split(raw, ","), strip), several)).otherwise(F.coalesce(known[raw], under(raw)))
     return let(F.lower(strip(c)), named)
@@ -112,8 +112,8 @@ def dosages(text: Column) -> Column:
 
 def seeds_in(text: Column, seeds: list[str]) -> Column:
     """The seeds that the lower-case text holds as words."""
-    found = [F.when(text.contains(s) & text.rlike(r"\b" + re.escape(s) + r"\b"), F.lit(s)) for s in seeds]
-    return F.array_compact(F.array(*found))
+    # one pass over a constant array: a pattern is only compiled for a seed that the text contains
+    return let(text, lambda t: F.filter(strings(seeds), lambda s: F.contains(t, s) & F.rlike(t, F.concat(F.lit(r"\b"), s, F.lit(r"\b")))))
 
 
 def lexical_terms(text: Column, stop: list[str] = ()) -> tuple[Column, Column]:
