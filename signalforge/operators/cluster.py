@@ -24,6 +24,7 @@ def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
 def kmeans(df: DataFrame, columns: list[str], k: int = 4, starts: int = 10, seed: int = 42, name: str = "kmeans_cluster") -> DataFrame:
     """df with the clustering of the least cost of several starts; clusters numbered by their first coordinates."""
     v = assembled(df, columns).cache()
+    v = v.coalesce(max(1, min(v.rdd.getNumPartitions(), v.count() // 20_000 + 1)))  # starts x iterations jobs: no idle tasks on few rows
     models = [KMeans(k=k, seed=seed + s, featuresCol="_v", predictionCol="_p").fit(v) for s in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     order = np.lexsort(np.array(best.clusterCenters()).T[::-1])
