@@ -12,7 +12,7 @@ from .. import lexicon
 from ..functions import dates as D
 from ..functions import text as T
 from ..functions.hof import strings
-from ..operators import alerts, anomaly, cluster, enrich, features, graph, quality, upsert
+from ..operators import alerts, anomaly, cluster, enrich, entities, features, graph, quality, upsert
 from ..operators.features import COUPLE, KEY
 from ..sources import html, landed, xml
 from . import lenses, normalise, temporal
@@ -256,9 +256,9 @@ def drug_classes(spark, d):
     return enrich.drug_classes(drugs)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)")
 def not_done(spark, d):
-    return enrich.not_done(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return enrich.not_done(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").filter("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("SELECT c_custkey, 10 - coalesce(n, 0) AS remaining FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL) ON c_custkey = o_custkey WHERE coalesce(n, 0) < 10")
@@ -403,6 +403,32 @@ def relevant_posts(spark, d):
     return raw_documents(spark, d).select("doc_id", landed.relevant(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "patients").otherwise("qqqq")).alias("relevant"))
 
 
+LABELS = ["Chemical", "Medication", "disease", "Sign_symptom", "DOSAGE", "Person", "finding", "Biological_structure"]
+
+
+@query(f"WITH r AS (SELECT doc_id, upper({lit(LABELS)}[doc_id % 8 + 1]) AS u FROM documents) SELECT doc_id, CASE WHEN regexp_matches(u, 'CHEM|DRUG|MED|COMPOUND|MOLECULE') THEN 'DRUG' WHEN regexp_matches(u, 'DIS|CONDITION|SYNDROME') THEN 'DISEASE' WHEN regexp_matches(u, 'SYMPTOM|SIGN|FINDING|MANIFESTATION') THEN 'SYMPTOM' WHEN regexp_matches(u, 'DOSE|DOSAGE|QUANTITY|STRENGTH') THEN 'DOSAGE' ELSE 'OTHER' END AS family FROM r")
+def entity_labels(spark, d):
+    label = F.element_at(strings(LABELS), (F.col("doc_id") % 8 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", entities.label_family(label).alias("family"))
+
+
+@query("SELECT event_id, CASE WHEN c >= 0.05 THEN 'positive' WHEN c <= -0.05 THEN 'negative' ELSE 'neutral' END AS label, round_even(c, 4) AS score FROM (SELECT event_id, ((event_id % 41) - 20) / 20.0::DOUBLE AS c FROM events)")
+def sentiment_labels(spark, d):
+    return table(spark, d, "events").select("event_id", entities.sentiment(((F.col("event_id") % 41) - 20) / 20.0).alias("s")).select("event_id", "s.label", "s.score")
+
+
+@query()
+def trained_relations(spark, d):
+    model = entities.relation_model(entities.silver_examples(spark))
+    return entities.classify_relations(raw_documents(spark, d).select("doc_id", "text"), model, "text", F.col("doc_id") % 2 == 0).select("doc_id", "relation")
+
+
+@query(with_raw("SELECT records, extracted, extracted AS saved, 0 AS duplicates FROM (SELECT count(*) FILTER (WHERE source IN ('reddit', 'openfda', 'pubmed', 'clinicaltrials', 'drugs.com')) AS records, count(*) FILTER (WHERE source IN ('reddit', 'openfda', 'drugs.com') AND review_date <> '2018-12-31') AS extracted FROM (SELECT *, source || doc_id FROM raw))"))
+def signal_counters(spark, d):
+    raw = raw_documents(spark, d).drop("source_id").withColumn("drug_name", F.concat("drug_name", F.col("doc_id").cast("string")))
+    return temporal.counters(raw, spark.createDataFrame([], "sig_hash string"))
+
+
 # ---- quality, alerts, graph ----
 
 QUALITY_SQL = """, r AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE trim(drug_name) END AS drug_name, source, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN substring(text, 1, 60) ELSE substring(text, 1, 120) END AS t, doc_id % 3 > 0 AS has, CASE WHEN doc_id % 6 = 0 THEN 0.0 WHEN doc_id % 6 = 1 THEN 0.05 ELSE 0.7 END AS a FROM raw),

@@ -54,3 +54,12 @@ def signals(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
 def new_signals(found: DataFrame, stored: DataFrame) -> DataFrame:
     """Signals that are not stored yet, one a hash."""
     return found.dropDuplicates(["sig_hash"]).join(stored.select("sig_hash"), "sig_hash", "left_anti")
+
+
+def counters(raw: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row: raw records of dated sources, signals extracted, already known or repeated, and new."""
+    found = signals(raw)
+    known = found.join(stored.select("sig_hash").distinct().withColumn("_old", F.lit(1)), "sig_hash", "left")
+    counts = known.agg(F.count(F.lit(1)).alias("extracted"), F.count_distinct(F.when(F.col("_old").isNull(), F.col("sig_hash"))).alias("saved"))
+    records = raw.filter(F.lower("source").isin(list(TYPES))).agg(F.count(F.lit(1)).alias("records"))
+    return records.crossJoin(counts).withColumn("duplicates", F.col("extracted") - F.col("saved"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from signalforge import lexicon
 from signalforge.functions import dates as D
 from signalforge.functions import text as T
-from signalforge.operators import alerts, anomaly, cluster, enrich, features, graph, quality, upsert
+from signalforge.operators import alerts, anomaly, cluster, enrich, entities, features, graph, quality, upsert
 from signalforge.plans import normalise, temporal
 from signalforge.sources import html, landed, xml
 from signalforge.streaming import increment
@@ -286,3 +286,16 @@ def test_longest_terms_property(spark, seed):
     sets = [["".join(rng.choice("ab ") for _ in range(rng.randint(1, 4))) for _ in range(6)] for _ in range(20)]
     for terms, got in zip(sets, one(spark, sets, T.longest_terms, "array<string>"), strict=True):
         assert got == sorted({t for t in terms if not any(t != u and t in u for u in terms)})
+
+
+def test_entities_relations_sentiment(spark):
+    d = spark.createDataFrame([("aspirin helped, not good", 1), ("", 2), (None, 3), ("horrible pain", 4)], "text string, k int")
+    r = {x.k: x for x in d.select("k", entities.sentiment(entities.score_text(F.col("text"))).alias("s")).collect()}
+    assert (r[4].s.label, r[2].s.label, r[3].s.score) == ("negative", "neutral", 0.0) and r[1].s.label == "positive"
+    found = entities.extract(d.filter("text is not null"), "text", lambda: lambda chunks: [[(w, "CHEMICAL") for w in c.split()] for c in chunks])
+    assert {x.k: [e.text for e in x.entities] for x in found.collect()}[1] == ["aspirin", "helped,", "not", "good"]
+    assert entities.extract(d, "text").first().entities == []
+    model = entities.relation_model(entities.silver_examples(spark))
+    c = spark.createDataFrame([("rash began after the dose of the drug",), ("diagnosed with tremor from the disease",), ("zzz",)], "text string")
+    got = [x.relation for x in entities.classify_relations(c, model, "text", F.lit(False)).collect()]
+    assert got[:2] == ["side_effect", "symptom"]
