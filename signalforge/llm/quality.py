@@ -117,6 +117,7 @@ def clean(docs: DataFrame, host_col: str = "source", text_col: str = "text", **o
     """The documents that pass, without their boilerplate lines; docs' columns."""
     names = docs.columns
     docs, host, text = positional(docs, host_col, text_col)
-    kept = judge(docs, host, text, **options).filter("_kept")
+    # an explode of the verdict, not a filter: Catalyst would push a filter below and work the statistics out once more
+    kept = judge(docs, host, text, **options).withColumn("_one", F.explode(F.when(F.col("_kept"), F.array(F.lit(1)))))
     new = {text_col: F.col("_clean_text"), "n_chars": F.length("_clean_text").cast("long")}
     return restored(kept, names, **new).select(*names)
