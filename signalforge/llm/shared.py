@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,16 +35,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs started within hand few rows at a time to Python: bounds the memory beside the heap where texts are long."""
     rows = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, min(int(rows), BATCH_ROWS))
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(_BATCH, rows)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
