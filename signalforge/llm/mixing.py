@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, attach, positional, q, restored
+from .shared import WORD, attach, materialise, positional, q, restored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -63,7 +63,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     totals = rows.groupBy("_key", "_src").agg(F.sum("_size").alias("_words"), F.count(F.lit(1)).alias("_n"))
     targets = source_targets(totals, budget, weights, cap)
     targets = targets.withColumn("_key", F.coalesce(F.concat(F.lit("="), "_src"), F.lit(""))).drop("_src")
-    rows = attach(rows.drop("_src"), targets, ["_key"], "_hash")
+    rows = attach(rows.drop("_src"), materialise(targets, "targets"), ["_key"], "_hash")  # written: words are counted once for it
     number = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("_stratum", number % F.ceil(F.sqrt(F.col("_n").cast("double"))))
     strata = rows.groupBy("_key", "_stratum").agg(F.count(F.lit(1)).alias("_in"))
@@ -71,7 +71,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     strata = strata.select("_key", "_stratum", F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"))
     size = F.when(F.col("_stratum") % 2 == 0, F.col("_size")).otherwise(-F.col("_size"))
     rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_key", "_stratum").orderBy(size, "_hash")))
-    rows = attach(rows, strata, ["_key", "_stratum"], "_hash")
+    rows = attach(rows, materialise(strata, "strata"), ["_key", "_stratum"], "_hash")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("_key"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     rate = F.when(F.col("_words") > 0, F.col("_target") / F.col("_words")).otherwise(0.0)
     position = F.col("_before") + F.col("_rank")
