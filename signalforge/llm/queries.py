@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langmodel, mixing, neardup, packing, pii, quality, urlrules, vecdup, warc
+from . import langmodel, linedup, mixing, neardup, packing, pii, quality, urlrules, vecdup, warc
 from .shared import scratch_path
 
 
@@ -20,6 +20,11 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linedup.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("_spans").cast("long").alias("n_removed"), F.col("_spans").alias("spans"), F.col("_clean_text").alias("clean_text"))
+
+
 def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vecdup.links(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("_id").alias("vec_id"), "n_links", "component_id", (F.col("_id") == F.col("component_id")).alias("kept"))
@@ -88,5 +93,5 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", *[F.col(f"_{n}").alias(n) for n in ("host", "path", "rule", "verdict")])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op3_vectors": op3_vectors, "op4_warc": op4_warc, "op5_mix": op5_mix, "op6_pii": op6_pii, "op7_neardup": op7_neardup, "op8_quality": op8_quality, "op9_lm": op9_lm, "op10_urls": op10_urls}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op2_lines": op2_lines, "op3_vectors": op3_vectors, "op4_warc": op4_warc, "op5_mix": op5_mix, "op6_pii": op6_pii, "op7_neardup": op7_neardup, "op8_quality": op8_quality, "op9_lm": op9_lm, "op10_urls": op10_urls}
 SQL: dict[str, str] = {"op5_mix": OP5_SQL}

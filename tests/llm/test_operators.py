@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalforge.llm import graph, langmodel, mixing, neardup, packing, pii, quality, urlrules, vecdup, warc
+from signalforge.llm import graph, langmodel, linedup, mixing, neardup, packing, pii, quality, urlrules, vecdup, warc
 from signalforge.llm.shared import scratch_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -290,6 +290,48 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 99: 99, 100: 99, 101: 99, 7000: 7000}
 
 
+# ---- repeated lines ----
+
+
+def test_repeated_lines_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    shared = [prose(700 + k, 9) for k in range(12)]
+    rows = corpus() + [(300 + k, "\n".join(rng.choice([rng.choice(shared), prose(rng.randrange(10**6), 8), "", " \t", "A  shared\tLINE ", "a shared line"]) for _ in range(rng.randint(1, 9))), "s") for k in range(90)]
+    rows += [(300, "a shared line\nof one id", "s"), (None, "a shared line\nof no id", "s"), (4000, "é 日本\nÉ 日本\nend", "s")]
+    left = defaultdict(list)
+    seen = set()
+    for i, t, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest())):
+        spans, kept, start = [], [], 0
+        for k, line in enumerate((t or "").split("\n")):
+            unit = " ".join(WORD.findall(line.lower()))
+            if unit and unit in seen:
+                spans.append((k, start, start + len(line)))
+            else:
+                kept.append(line)
+            seen.add(unit)
+            start += len(line) + 1
+        left[i].append((t, spans, None if t is None else "\n".join(kept)))
+    for hot in (0.001, 0.05, 1.0):  # all, some and none of the repeated digests are broadcast
+        monkeypatch.setattr(linedup, "HOT", hot)
+        d = documents(spark, rows).repartition(5)
+        got = defaultdict(list)
+        for r in linedup.find(d).collect():
+            got[r.doc_id].append((r.text, [tuple(s) for s in r._spans], r._clean_text))
+            assert all("\n" not in r.text[s.start : s.end] for s in r._spans)
+        order = lambda found: {i: sorted(x, key=repr) for i, x in found.items()}
+        assert order(got) == order(left)
+    clean = linedup.dedup(d)
+    assert clean.columns == d.columns
+    assert sorted((r.text or "", -1 if r.n_chars is None else r.n_chars) for r in clean.collect()) == sorted((c or "", -1 if c is None else len(c)) for x in left.values() for _, _, c in x)
+    assert linedup.dedup(d.filter("false")).count() == 0
+
+
+def test_all_ten_operators_are_registered():
+    from signalforge.llm import queries
+
+    assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+
+
 # ---- vectors ----
 
 
