@@ -1,8 +1,8 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 Texts that are equal are one node. A node's shingles (five words, ASCII case folded) weigh tf x idf, idf = 1 + ln(N / df),
-where df is exact for shingles in a fiftieth of the documents or more and a fiftieth for all rarer ones: candidates
-are the shingles that reach that share in some window of documents (none other can reach it overall), and are then counted exactly. Consistent
+where df is the exact number of documents that hold the shingle, for every shingle: windows of documents count their own, the counts
+are dealt out by hash and added up, and what several documents hold goes back to its windows. Consistent
 weighted samples are banded; nodes that share a band's bucket are verified by weighted Jaccard similarity on their whole
 shingle sets, and classes are the connected components of the verified pairs.
 
@@ -18,6 +18,7 @@ a class's name unless all are null; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,16 +28,16 @@ from pyspark.sql import functions as F
 
 from . import textops
 from .graph import components
-from .shared import attach, materialise, q, small_batches
+from .shared import attach, discard, materialise, q
 
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
-#: A shingle's df is counted where it is at least this share of the documents; rarer ones all weigh the same.
-SHARE = 0.02
-#: Shingles looked at together for candidates.
+#: Below this share of the documents a shingle would weigh as at it: none is, the df of all are counted.
+SHARE = 2.0**-63
+#: Bytes of the texts of a window, whose shingles are counted together before they are dealt out; a longer text is counted alone.
 WINDOW = 2_000_000
-#: Candidate shingles counted in one pass.
-SLICE = 1_000_000
+#: Bytes of text whose shingles make one part of the count.
+PART_BYTES = 12_000_000
 #: Members of a hub's group that are compared in one go.
 TILE = 128
 #: Texts to verify whose digests may be broadcast to pick them out of the corpus.
@@ -85,73 +86,112 @@ class Sampler:
         return out
 
 
-def _weights(values: np.ndarray, tf: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], rare: float) -> np.ndarray:
-    """tf x idf as float32; frequent: (sorted hashes, their idf)."""
-    idf = np.full(len(values), rare, np.float32)
-    if len(frequent[0]):
-        at = np.minimum(np.searchsorted(frequent[0], values), len(frequent[0]) - 1)
-        known = frequent[0][at] == values
-        idf[known] = frequent[1][at[known]]
-    return tf.astype(np.float32) * idf
+def _weights(tf: np.ndarray, df: np.ndarray, total: int) -> np.ndarray:
+    """tf x idf as float32."""
+    return tf.astype(np.float32) * (1.0 + np.log(total / df)).astype(np.float32)
 
 
-def frequent_shingles(docs: DataFrame, text_col: str, share: float = SHARE) -> tuple[int, np.ndarray, np.ndarray]:
-    """(documents, sorted hashes, df) of the shingles in at least that share of the documents.
+def _packed(values: np.ndarray, kind: type) -> bytes:
+    """Numbers as planes of their bytes: those that are alike compress to little."""
+    return np.ascontiguousarray(values, kind).view(np.uint8).reshape(len(values), -1).T.tobytes()
 
-    At most mean shingles a document / share of them exist, whatever the corpus: small enough to send to all.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(q(text_col).cast("string"))
-    total = docs.count()
 
-    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending, rows, size = [], 0, 0
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
-        def window() -> pa.RecordBatch:  # a share overall is reached in some window
-            values, n = np.unique(np.concatenate(pending), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(values[n >= share * rows].view(np.int64))], names=["shingle"])
 
-        for batch in batches:
-            for low, high, words, counts in textops.chunks(batch.column(0)):
-                values, _, _ = textops.distinct(*textops.shingles(words, counts))
-                pending.append(values)
-                rows += high - low
-                size += len(values)
-                if size >= WINDOW:
-                    yield window()
-                    pending, rows, size = [], 0, 0
-        if pending:
-            yield window()
-        pending = []
-        textops.release()
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (_id, _text, text) -> block, rows, size: windows of rows, each a compressed Arrow stream."""
+    kind = pa.schema([("_id", pa.int64()), ("_text", pa.binary()), ("text", pa.string())])
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        _, ends = textops.utf8(batch.column(2))
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + WINDOW, "right")) - 1)
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, kind, options=options) as stream:
+                stream.write_batch(pa.RecordBatch.from_arrays([c.slice(low, high - low) for c in batch.columns], schema=kind))
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary()), pa.array([high - low]), pa.array([ends[high] - ends[low]])], names=["block", "rows", "size"])
+            low = high
+    textops.release()
 
-    candidates = materialise(texts.mapInArrow(often, "shingle long").distinct(), "shingle-candidates")
-    parts = -(-candidates.count() // SLICE)
-    found = []
-    for part in range(parts):
-        rows = candidates.filter(F.pmod(F.xxhash64("shingle"), F.lit(parts)) == part).toArrow()
-        sought = spark.sparkContext.broadcast(np.sort(rows.column(0).to_numpy().view(np.uint64)))
-
-        def count(batches: Iterator[pa.RecordBatch], sought=sought) -> Iterator[pa.RecordBatch]:
-            keys = sought.value
-            n = np.zeros(len(keys), np.int64)
-            for batch in batches:
-                for _, _, words, counts in textops.chunks(batch.column(0)):
-                    values, _, _ = textops.distinct(*textops.shingles(words, counts))
-                    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-                    n += np.bincount(at[keys[at] == values], minlength=len(keys))
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some])], names=["shingle", "n"])
-            textops.release()
-
-        counted = texts.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-        with small_batches(spark):
-            found.append(counted.filter(F.col("n") >= share * total).toArrow())
-        sought.unpersist()
-    keys = np.concatenate([np.zeros(0, np.int64), *[t.column(0).to_numpy() for t in found]]).view(np.uint64)
-    n = np.concatenate([np.zeros(0, np.int64), *[t.column(1).to_numpy() for t in found]])
+
+def _texts(block: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(block).read_all().combine_chunks().to_batches()[0]
+
+
+def windows_of(rows: DataFrame) -> DataFrame:
+    """(window, block, rows, size): rows (_id, _text, text) in windows of about WINDOW bytes, written once; a longer text is alone."""
+    blocks = rows.mapInArrow(_blocks, "block binary, rows long, size long")
+    return materialise(blocks.withColumn("window", F.monotonically_increasing_id()), "windows")
+
+
+def _counted_windows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows (window, block) -> part, window, packed differences of its ascending shingles, documents of the window that hold each."""
+    for batch in batches:
+        for window, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            found = [textops.distinct(*textops.shingles(words, counts))[0] for _, _, words, counts in textops.chunks(_texts(block.as_py()).column(2))]
+            values, n = np.unique(np.concatenate(found), return_counts=True)
+            if not len(values):
+                continue
+            part = ((values >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)  # ascending, like the shingles
+            cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+            some = np.flatnonzero(np.diff(cuts))
+            slices = [slice(cuts[k], cuts[k + 1]) for k in some]
+            keys = [_packed(np.diff(values[x], prepend=np.uint64(0)), np.uint64) for x in slices]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([window] * len(some), pa.int64()), pa.array(keys, pa.binary()), pa.array([_packed(n[x], np.uint32) for x in slices], pa.binary())], names=["part", "window", "keys", "n"])
+    textops.release()
+
+
+def _shared_in_part(rows: pa.Table) -> pa.Table:
+    """All windows' rows of one part -> window, packed shingles that two or more documents hold, packed df."""
+    windows = rows.column("window").to_pylist()
+    keys = [np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in rows.column("keys").to_pylist()]
+    n = np.concatenate([_unpacked(x, np.uint32) for x in rows.column("n").to_pylist()])
+    flat, ends = np.concatenate(keys), np.append(0, np.cumsum([len(x) for x in keys]))
+    order = np.argsort(flat)
+    new = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
+    df = np.empty(len(flat), np.int64)
+    df[order] = np.repeat(np.add.reduceat(n[order].astype(np.int64), new), np.diff(np.append(new, len(flat))))
+    out = []
+    for k, window in enumerate(windows):
+        own = df[ends[k] : ends[k + 1]]
+        some = own > 1
+        if some.any():
+            out.append((window, _packed(np.diff(keys[k][some], prepend=np.uint64(0)), np.uint64), _packed(own[some], np.uint32)))
+    textops.release()
+    return pa.table([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["window", "keys", "df"])
+
+
+def shared_shingles(windows: DataFrame) -> tuple[int, DataFrame]:
+    """(documents, (window, keys, df), both packed): of each window, the shingles that several documents of all hold.
+
+    A window's shingles are counted before they are dealt out by hash, so that none is hot; all others have df 1.
+    """
+    total, size = windows.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    parts = int(max(1, min(size // PART_BYTES, 1 << 22)))
+    dealt = windows.select("window", "block").mapInArrow(lambda it: _counted_windows(it, parts), "part int, window long, keys binary, n binary")
+    shared = materialise(dealt.groupBy("part").applyInArrow(_shared_in_part, "window long, keys binary, df binary"), "shared-shingles")
+    return total, shared
+
+
+def _shared_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending shingles, df) of rows (window, keys, df)."""
+    keys = np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in rows.column("keys").to_pylist()]])
+    df = np.concatenate([np.zeros(0, np.uint32), *[_unpacked(x, np.uint32) for x in rows.column("df").to_pylist()]])
     order = np.argsort(keys)
-    return total, keys[order], n[order]
+    return keys[order], df[order]
+
+
+def frequent_shingles(docs: DataFrame, text_col: str, share: float) -> tuple[int, np.ndarray, np.ndarray]:
+    """(documents, sorted hashes, df) of the shingles in at least that share of the documents, and in two."""
+    rows = docs.select(F.lit(0).cast("long").alias("_id"), F.lit(b"").alias("_text"), q(text_col).cast("string").alias("text"))
+    total, shared = shared_shingles(windows_of(rows))
+    keys, df = _shared_of(shared.toArrow())
+    keys, at = np.unique(keys, return_index=True)
+    often = df[at] >= share * total
+    return total, keys[often], df[at][often].astype(np.int64)
 
 
 def weighted_jaccard(a: np.ndarray, a_w: np.ndarray, b: np.ndarray, b_w: np.ndarray) -> float:
@@ -304,34 +344,53 @@ def link_buckets(members: DataFrame, sets: DataFrame, rare: float, similarity: f
     return links.union(materialise(more, "links"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, share: float = SHARE) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row a document: _id, _text (digest), class_id (smallest id of the class), n_class (its documents)."""
     spark = docs.sparkSession
-    total, keys, df = frequent_shingles(docs, text_col, share)
-    rare = 1.0 - float(np.log(share))
-    idf = (1.0 + np.log(total / np.maximum(df, 1))).astype(np.float32)
-    known = spark.sparkContext.broadcast((keys, np.minimum(idf, np.float32(rare))))
     digest = F.unhex(F.md5(F.coalesce(q(text_col).cast("string"), F.lit(""))))
     rows_in = docs.select(q(id_col).cast("long").alias("_id"), digest.alias("_text"), q(text_col).cast("string").alias("text"))
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(bands * rows, float(np.log(np.float32(rare))))
+    windows = windows_of(rows_in)
+    total, shared_in = shared_shingles(windows)
+    rare = float(np.float32(1.0 + np.log(max(total, 1))))  # idf of what one document holds
+    gc.collect()
+    spark._jvm.System.gc()  # Spark then removes the count's shuffle files, which nothing reads any more
+    made: list[Sampler] = []
+
+    def signed(texts: pa.Table, found: pa.Table) -> pa.Table:
+        if not made:
+            made.append(Sampler(bands * rows, float(np.log(np.float32(rare)))))
+        sampler = made[0]
         weights = textops.mix(np.arange(101, 101 + rows, dtype=np.uint64)) | np.uint64(1)
         names = textops.mix(np.arange(1001, 1001 + bands, dtype=np.uint64))
-        for batch in batches:
-            for low, high, words, counts in textops.chunks(batch.column(2)):
+        keys, shared_df = _shared_of(found)
+        out = []
+        for batch in map(_texts, texts.column("block").to_pylist()):
+            for low, high, words, counts in textops.chunks(batch.column("text")):
                 values, tf, number = textops.distinct(*textops.shingles(words, counts))
+                df = np.ones(len(values), np.uint32)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+                    known = keys[at] == values
+                    df[known] = shared_df[at[known]]
                 buckets = np.zeros((high - low, bands), np.uint64)
                 some = np.flatnonzero(number)
                 if len(some):
-                    log_w = np.log(_weights(values, tf, known.value, rare))
-                    drawn = sampler.samples(values, log_w, number[some]).reshape(len(some), bands, rows)
+                    drawn = sampler.samples(values, np.log(_weights(tf, df, total)), number[some]).reshape(len(some), bands, rows)
                     buckets[some] = textops.mix((drawn * weights).sum(axis=2, dtype=np.uint64) ^ names)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(number > 0, bands, 0))]), pa.int32()), pa.array(buckets[some].reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), lists], names=["_id", "_text", "buckets"])
+                ends = np.append(0, np.cumsum(number))
+                of_text = [df[ends[k] : ends[k + 1]] for k in range(high - low)]
+                packed = pa.array([_packed(x, np.uint32) if (x > 1).any() else b"" for x in of_text], pa.binary())
+                out.append(pa.RecordBatch.from_arrays([batch.column("_id").slice(low, high - low), batch.column("_text").slice(low, high - low), lists, packed], names=["_id", "_text", "buckets", "df"]))
         textops.release()
-
-    signed_rows = materialise(rows_in.mapInArrow(signed, "_id long, _text binary, buckets array<long>"), "signatures")
+        return pa.Table.from_batches(out, pa.schema([("_id", pa.int64()), ("_text", pa.binary()), ("buckets", pa.list_(pa.int64())), ("df", pa.binary())]))
+
+    both = windows.select("window", "block").groupBy("window").cogroup(shared_in.groupBy("window"))
+    signed_rows = materialise(both.applyInArrow(signed, "_id long, _text binary, buckets array<long>, df binary"), "signatures")
+    for done in [files[0].rpartition("/")[0] for files in (windows.inputFiles(), shared_in.inputFiles()) if files]:
+        discard(spark, done)
+    gc.collect()
+    spark._jvm.System.gc()
     texts = materialise(signed_rows.groupBy("_text").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")), "texts")
     # a text's buckets are those of any of its rows
     said = signed_rows.select("_text", F.explode("buckets").alias("bucket"))
@@ -349,7 +408,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
             for low, high, words, counts in textops.chunks(batch.column(1)):
                 values, tf, number = textops.distinct(*textops.shingles(words, counts))
                 ends = pa.array(np.concatenate([[0], np.cumsum(number)]), pa.int32())
-                weights = _weights(values, tf, known.value, rare)
+                packed = batch.column(2).slice(low, high - low).to_pylist()
+                df = np.concatenate([np.zeros(0, np.uint32), *[_unpacked(x, np.uint32) if x else np.ones(n, np.uint32) for x, n in zip(packed, number.tolist(), strict=True)]])
+                weights = _weights(tf, df, total)
                 usual = np.minimum.reduceat(weights == np.float32(rare), (np.cumsum(number) - number)[number > 0]) if len(weights) else np.zeros(0, bool)
                 kept = number.copy()
                 kept[np.flatnonzero(number)[usual]] = 0  # all rare: no weights are sent
@@ -360,8 +421,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
     holders = texts.select("_text", "_first").join(nodes.withColumnRenamed("node", "_text"), "_text", "left_semi")
     one_each = rows_in.join(F.broadcast(holders) if few else holders, "_text").filter(F.col("_id").eqNullSafe(F.col("_first")))
-    sets = one_each.select("_text", "text").mapInArrow(sets_of, "node binary, shingles array<long>, weights array<float>")
-    sets = materialise(sets.dropDuplicates(["node"]), "shingle-sets")
+    dfs = signed_rows.select("_text", "_id", "df").join(F.broadcast(holders) if few else holders, "_text").filter(F.col("_id").eqNullSafe(F.col("_first")))
+    one_each = one_each.select("_text", "text").dropDuplicates(["_text"]).join(dfs.select("_text", "df").dropDuplicates(["_text"]), "_text")
+    sets = one_each.mapInArrow(sets_of, "node binary, shingles array<long>, weights array<float>")
+    sets = materialise(sets, "shingle-sets")
     links = link_buckets(members, sets, rare, similarity)
     comp = materialise(components(nodes, links), "classes").filter("comp <> node")
     named = attach(texts, comp.withColumnRenamed("node", "_text"), ["_text"], "_text").withColumn("comp", F.coalesce("comp", "_text"))

@@ -271,6 +271,38 @@ def test_frequent_shingles_are_exact(spark):
     assert total == 90 and len(keys) == 2 and df.tolist() == [30, 30]
 
 
+def test_weights_are_unclamped_tf_idf(spark):
+    # texts of their own words and one of 40 passages, each held by 3 of 520 documents
+    rows = []
+    for k in range(40):
+        own, passage = prose(5000 + k, 24), prose(6000 + k, 54)
+        rows += [(3 * k, f"{own} {passage}"), (3 * k + 1, f"{prose(7000 + k, 14)} {own[-80:]} {passage}"), (3 * k + 2, f"{prose(8000 + k, 24)} {passage}")]
+    rows += [(1000 + k, prose(9000 + k, 30)) for k in range(400)]
+    d = documents(spark, [(i, t, "s") for i, t in rows])
+    total, keys, df = neardup.frequent_shingles(d, "text", 0.0)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    true = Counter(s for x in sets for s in x)
+    assert total == len(rows) and sorted(df.tolist()) == sorted(n for n in true.values() if n > 1)
+    assert max(true.values()) < 0.02 * len(rows)  # all of them rarer than a fiftieth
+    weights = []
+    for _, t in rows:
+        w = t.split()
+        tf = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        weights.append({s: n * (1 + math.log(len(rows) / true[s])) for s, n in tf.items()})
+    pairs = [(jaccard(weights[i], weights[j]), jaccard(dict.fromkeys(weights[i], 1), dict.fromkeys(weights[j], 1)), i, j) for i, j in itertools.combinations(range(120), 2) if i // 3 == j // 3]
+    limit = 0.5
+    flipped = [p for p in pairs if p[0] < limit <= p[1]]
+    assert flipped  # linked by plain term frequency, not by TF-IDF
+    got = {r._id: r.class_id for r in neardup.classes(d, similarity=limit, bands=80, rows=2).collect()}
+    for k in range(40):
+        root = {3 * k + j: 3 * k + j for j in range(3)}
+        for p, _, i, j in sorted(x for x in pairs if x[2] // 3 == k and x[0] >= limit):
+            low, high = sorted((root[i], root[j]))
+            root = {x: low if r == high else r for x, r in root.items()}
+        assert {i: got[i] for i in root} == root
+    assert all(got[1000 + k] == 1000 + k for k in range(400))
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     hashes = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))
