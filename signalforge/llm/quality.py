@@ -2,8 +2,8 @@
 
 Normalised lines (lower case, white space collapsed) are hashed, and the distinct documents that hold a line
 are counted per host. A line above the host's limit is boilerplate: it is removed, and a document that is left
-with too few of its words is rejected. Exact and near copies are no evidence of boilerplate, so a
-document is told apart, for a line, by the smallest hash among its other lines: copies count as one document.
+with too few of its words is rejected. Copies are no evidence of boilerplate: a document is the digest of its normalised
+lines, whichever line is counted, so documents with equal lines count as one and all others by themselves.
 
 Defined cases: null and empty texts have no words (and fail the base rules); a null host is a host of its own;
 repeated rows are copies; an empty table gives an empty result; columns are passed through, whatever they are
@@ -82,10 +82,11 @@ def line_hashes(text: Column) -> Column:
 
 def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", least: int = LEAST, share: float = SHARE) -> DataFrame:
     """(_host, _line, _docs): lines that more distinct documents of the host hold than its limit."""
-    d = docs.select(F.coalesce(F.concat(F.lit("="), q(host_col)), F.lit("")).alias("_host"), F.sort_array(F.array_distinct(line_hashes(q(text_col)))).alias("_lines"))
-    other = F.when(F.col("_at") > 0, F.get("_lines", F.lit(0))).otherwise(F.coalesce(F.get("_lines", F.lit(1)), F.lit(0)))
-    rows = d.select("_host", "_lines", F.posexplode("_lines").alias("_at", "_line")).select("_host", "_line", other.alias("_doc"))
-    counts = rows.distinct().groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") > least)
+    host = F.coalesce(F.concat(F.lit("="), q(host_col)), F.lit("")).alias("_host")
+    d = docs.select(host, F.sort_array(F.array_distinct(line_hashes(q(text_col)))).alias("_lines"))
+    # one row a host and set of lines: its digest is dealt, then each line counts once a set, partly before it is dealt
+    texts = d.groupBy("_host", F.md5(F.array_join(F.col("_lines").cast("array<string>"), " ").cast("binary")).alias("_doc")).agg(F.first("_lines").alias("_lines"))
+    counts = texts.select("_host", F.explode("_lines").alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") > least)
     hosts = docs.groupBy(F.coalesce(F.concat(F.lit("="), q(host_col)), F.lit("")).alias("_host")).agg(F.count(F.lit(1)).alias("_all"))
     found = attach(counts, hosts, ["_host"], "_line").filter(F.col("_docs") > share * F.col("_all"))
     return found.select("_host", "_line", "_docs")

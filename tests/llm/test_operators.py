@@ -163,6 +163,15 @@ def test_quality_boilerplate(spark):
     assert quality.clean(d.filter("false")).count() == 0
 
 
+def test_quality_several_shared_lines(spark):
+    shared = ["header of all pages here", "a licence in one line", "its second line follows", "footer of all pages here"]
+    rows = [(k, "\n".join([*shared[:2], *[prose(50 * k + j, 12) for j in range(5)], *shared[2:]]), "h") for k in range(60)]
+    rows += [(100 + k, "\n".join([f"copied line number {j}" for j in range(6)]), "h") for k in range(40)]
+    lines = quality.boilerplate(documents(spark, rows, clash=False)).collect()
+    want = spark.createDataFrame([(x,) for x in shared], "t string").select(quality.line_hash(F.col("t")).alias("h")).collect()
+    assert {(r._line, r._docs) for r in lines} == {(r.h, 60) for r in want}
+
+
 # ---- personal data ----
 
 BASE = {
