@@ -7,7 +7,6 @@ Parquet and read again as the next stage's docs; all but the last have the colum
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from signalforge.llm import mixing, neardup, packing, pii, quality
 from signalforge.llm.shared import materialise
@@ -35,8 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of tokenised documents in sequences."""
-    pieces = packing.pack(docs)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packing.digests(docs)
 
 
 STAGES = [

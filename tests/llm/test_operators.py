@@ -5,10 +5,12 @@ import itertools
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,10 +86,22 @@ def test_packing_has_little_padding():
     assert len(used) == -(-sum(lengths) // 2048) and max(used.values()) <= 2048
 
 
-def test_tokenizer_memo_equals_whole_texts():
-    words = packing.WordEncoder(packing.default_tokenizer())
-    odd = ["Áb, c", "x<|endoftext|>y \x01 z", "\x1c a\x1db", "İstanbul, ΣΑΣ. straße. don't they're", "  a\t\tb\r\nc ", "№5, ①. 12,3", "日本語、テスト。", ".,. ,", "é, é", prose(9, 300)]
-    assert words.encode(odd) == [words.ids(t) for t in odd]
+def test_word_merges_equal_the_tokenizer():
+    words = packing.encoder(packing.default_tokenizer())
+    assert words.merges is not None
+    rng = random.Random(3)
+    letters = [c for c in map(chr, range(1, 0x3100)) if unicodedata.category(c) not in ("Cs", "Cn")]
+    odd = ["Áb, c", "x<|endoftext|>y \x01 z", "\x1c a\x1db", "İstanbul, ΣΑΣ. straße. don't they're", "ANKARADAKİ.", "  a\t\tb\r\nc ", "№5, ①. 12,3", "日本語、テスト。", ".,. ,", "é, é", "", prose(9, 300)]
+    odd += [f"{c}. a{c}, {c}x. b{c}" for c in letters] + ["a" * n + "." for n in range(1, 80)]
+    pool = letters + list("abcXYZ .,\n\t'éÉßÿÀ×÷ŉµª\u0301\u0327\u3000<|>") * 300
+    odd += ["".join(rng.choice(pool) for _ in range(rng.randrange(60))) for _ in range(2000)]
+    got = [ids.tolist() for _, ids in packing.encoded(pa.array([None, *odd]), words, 1)]
+    assert got == [[1], *[[*words.ids(t).tolist(), 1] for t in odd]]
+    words.merges, kept = None, words.merges  # another tokenizer: whole texts
+    try:
+        assert [ids.tolist() for _, ids in packing.encoded(pa.array([None, *odd[:20]]), words, 1)] == got[:21]
+    finally:
+        words.merges = kept
 
 
 # ---- mixing ----
