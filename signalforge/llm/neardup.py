@@ -2,7 +2,7 @@
 
 Texts that are equal are one node. A node's shingles (five words, ASCII case folded) weigh tf x idf, idf = 1 + ln(N / df),
 where df is the exact number of documents that hold the shingle, for every shingle: windows of documents count their own, the counts
-are dealt out by hash and added up, and what several documents hold goes back to its windows. Consistent
+are dealt out by hash and added up, and go back to their windows as bare numbers in the order of the window's shingles. Consistent
 weighted samples are banded; nodes that share a band's bucket are verified by weighted Jaccard similarity on their whole
 shingle sets, and classes are the connected components of the verified pairs.
 
@@ -32,17 +32,16 @@ from .shared import attach, discard, materialise, q
 
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
-#: Below this share of the documents a shingle would weigh as at it: none is, the df of all are counted.
-SHARE = 2.0**-63
 #: Bytes of the texts of a window, whose shingles are counted together before they are dealt out; a longer text is counted alone.
 WINDOW = 2_000_000
 #: Bytes of text whose shingles make one part of the count.
-PART_BYTES = 12_000_000
+PART_BYTES = 6_000_000
 #: Members of a hub's group that are compared in one go.
 TILE = 128
 #: Texts to verify whose digests may be broadcast to pick them out of the corpus.
 BROADCAST_NODES = 500_000
 _TABLE = 1 << 16
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 class Sampler:
@@ -100,6 +99,16 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
+def _squeezed(values: np.ndarray, kind: type) -> bytes:
+    """_packed and compressed: most df are 1."""
+    data = _packed(values, kind)
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def _unsqueezed(data: bytes, kind: type) -> np.ndarray:
+    return _unpacked(_ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True), kind)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (_id, _text, text) -> block, rows, size: windows of rows, each a compressed Arrow stream."""
     kind = pa.schema([("_id", pa.int64()), ("_text", pa.binary()), ("text", pa.string())])
@@ -144,54 +153,42 @@ def _counted_windows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[
     textops.release()
 
 
-def _shared_in_part(rows: pa.Table) -> pa.Table:
-    """All windows' rows of one part -> window, packed shingles that two or more documents hold, packed df."""
-    windows = rows.column("window").to_pylist()
+def _df_in_part(rows: pa.Table) -> pa.Table:
+    """All windows' rows of one part -> window, part, df of the window's shingles in the part, in their order."""
+    windows, part = rows.column("window").to_pylist(), rows.column("part")[0].as_py()
     keys = [np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in rows.column("keys").to_pylist()]
     n = np.concatenate([_unpacked(x, np.uint32) for x in rows.column("n").to_pylist()])
     flat, ends = np.concatenate(keys), np.append(0, np.cumsum([len(x) for x in keys]))
+    del keys
     order = np.argsort(flat)
-    new = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
-    df = np.empty(len(flat), np.int64)
-    df[order] = np.repeat(np.add.reduceat(n[order].astype(np.int64), new), np.diff(np.append(new, len(flat))))
-    out = []
-    for k, window in enumerate(windows):
-        own = df[ends[k] : ends[k + 1]]
-        some = own > 1
-        if some.any():
-            out.append((window, _packed(np.diff(keys[k][some], prepend=np.uint64(0)), np.uint64), _packed(own[some], np.uint32)))
+    flat = flat[order]
+    new = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    df = np.empty(len(flat), np.uint32)
+    df[order] = np.repeat(np.add.reduceat(n[order], new, dtype=np.uint32), np.diff(np.append(new, len(flat))))
+    out = [_squeezed(df[low:high], np.uint32) for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
     textops.release()
-    return pa.table([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["window", "keys", "df"])
+    return pa.table([pa.array(windows, pa.int64()), pa.array([part] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["window", "part", "df"])
 
 
-def shared_shingles(windows: DataFrame) -> tuple[int, DataFrame]:
-    """(documents, (window, keys, df), both packed): of each window, the shingles that several documents of all hold.
+def counted_shingles(windows: DataFrame) -> tuple[int, DataFrame]:
+    """(documents, (window, part, df)): in how many documents of all each of a window's shingles is, part by part.
 
-    A window's shingles are counted before they are dealt out by hash, so that none is hot; all others have df 1.
+    A window's shingles are counted before they are dealt out by hash, so that none is hot. What comes back is a number a
+    shingle, without the shingles: their order says which is which.
     """
     total, size = windows.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     parts = int(max(1, min(size // PART_BYTES, 1 << 22)))
     dealt = windows.select("window", "block").mapInArrow(lambda it: _counted_windows(it, parts), "part int, window long, keys binary, n binary")
-    shared = materialise(dealt.groupBy("part").applyInArrow(_shared_in_part, "window long, keys binary, df binary"), "shared-shingles")
-    return total, shared
+    return total, materialise(dealt.groupBy("part").applyInArrow(_df_in_part, "window long, part int, df binary"), "shingle-counts")
 
 
-def _shared_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(ascending shingles, df) of rows (window, keys, df)."""
-    keys = np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in rows.column("keys").to_pylist()]])
-    df = np.concatenate([np.zeros(0, np.uint32), *[_unpacked(x, np.uint32) for x in rows.column("df").to_pylist()]])
-    order = np.argsort(keys)
-    return keys[order], df[order]
-
-
-def frequent_shingles(docs: DataFrame, text_col: str, share: float) -> tuple[int, np.ndarray, np.ndarray]:
-    """(documents, sorted hashes, df) of the shingles in at least that share of the documents, and in two."""
-    rows = docs.select(F.lit(0).cast("long").alias("_id"), F.lit(b"").alias("_text"), q(text_col).cast("string").alias("text"))
-    total, shared = shared_shingles(windows_of(rows))
-    keys, df = _shared_of(shared.toArrow())
-    keys, at = np.unique(keys, return_index=True)
-    often = df[at] >= share * total
-    return total, keys[often], df[at][often].astype(np.int64)
+def window_shingles(texts: pa.Table, found: pa.Table) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """((batch, first row, last row + 1, shingles, tf, shingles a row) of each run of texts, the window's shingles, their df)."""
+    runs = [(batch, low, high, *textops.distinct(*textops.shingles(words, counts))) for batch in map(_texts, texts.column("block").to_pylist()) for low, high, words, counts in textops.chunks(batch.column("text"))]
+    keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *[run[3] for run in runs]]))
+    parts = sorted(zip(found.column("part").to_pylist(), found.column("df").to_pylist(), strict=True))
+    df = np.concatenate([np.zeros(0, np.uint32), *[_unsqueezed(x, np.uint32) for _, x in parts]])
+    return runs, keys, df
 
 
 def weighted_jaccard(a: np.ndarray, a_w: np.ndarray, b: np.ndarray, b_w: np.ndarray) -> float:
@@ -350,7 +347,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     digest = F.unhex(F.md5(F.coalesce(q(text_col).cast("string"), F.lit(""))))
     rows_in = docs.select(q(id_col).cast("long").alias("_id"), digest.alias("_text"), q(text_col).cast("string").alias("text"))
     windows = windows_of(rows_in)
-    total, shared_in = shared_shingles(windows)
+    total, counted = counted_shingles(windows)
     rare = float(np.float32(1.0 + np.log(max(total, 1))))  # idf of what one document holds
     gc.collect()
     spark._jvm.System.gc()  # Spark then removes the count's shuffle files, which nothing reads any more
@@ -362,32 +359,26 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         sampler = made[0]
         weights = textops.mix(np.arange(101, 101 + rows, dtype=np.uint64)) | np.uint64(1)
         names = textops.mix(np.arange(1001, 1001 + bands, dtype=np.uint64))
-        keys, shared_df = _shared_of(found)
+        runs, keys, counts = window_shingles(texts, found)
         out = []
-        for batch in map(_texts, texts.column("block").to_pylist()):
-            for low, high, words, counts in textops.chunks(batch.column("text")):
-                values, tf, number = textops.distinct(*textops.shingles(words, counts))
-                df = np.ones(len(values), np.uint32)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-                    known = keys[at] == values
-                    df[known] = shared_df[at[known]]
-                buckets = np.zeros((high - low, bands), np.uint64)
-                some = np.flatnonzero(number)
-                if len(some):
-                    drawn = sampler.samples(values, np.log(_weights(tf, df, total)), number[some]).reshape(len(some), bands, rows)
-                    buckets[some] = textops.mix((drawn * weights).sum(axis=2, dtype=np.uint64) ^ names)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(number > 0, bands, 0))]), pa.int32()), pa.array(buckets[some].reshape(-1).view(np.int64)))
-                ends = np.append(0, np.cumsum(number))
-                of_text = [df[ends[k] : ends[k + 1]] for k in range(high - low)]
-                packed = pa.array([_packed(x, np.uint32) if (x > 1).any() else b"" for x in of_text], pa.binary())
-                out.append(pa.RecordBatch.from_arrays([batch.column("_id").slice(low, high - low), batch.column("_text").slice(low, high - low), lists, packed], names=["_id", "_text", "buckets", "df"]))
+        for batch, low, high, values, tf, number in runs:
+            df = counts[np.searchsorted(keys, values)]
+            buckets = np.zeros((high - low, bands), np.uint64)
+            some = np.flatnonzero(number)
+            if len(some):
+                drawn = sampler.samples(values, np.log(_weights(tf, df, total)), number[some]).reshape(len(some), bands, rows)
+                buckets[some] = textops.mix((drawn * weights).sum(axis=2, dtype=np.uint64) ^ names)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(number > 0, bands, 0))]), pa.int32()), pa.array(buckets[some].reshape(-1).view(np.int64)))
+            ends = np.append(0, np.cumsum(number))
+            of_text = [df[ends[k] : ends[k + 1]] for k in range(high - low)]
+            packed = pa.array([_squeezed(x, np.uint32) if (x > 1).any() else b"" for x in of_text], pa.binary())
+            out.append(pa.RecordBatch.from_arrays([batch.column("_id").slice(low, high - low), batch.column("_text").slice(low, high - low), lists, packed], names=["_id", "_text", "buckets", "df"]))
         textops.release()
         return pa.Table.from_batches(out, pa.schema([("_id", pa.int64()), ("_text", pa.binary()), ("buckets", pa.list_(pa.int64())), ("df", pa.binary())]))
 
-    both = windows.select("window", "block").groupBy("window").cogroup(shared_in.groupBy("window"))
+    both = windows.select("window", "block").groupBy("window").cogroup(counted.groupBy("window"))
     signed_rows = materialise(both.applyInArrow(signed, "_id long, _text binary, buckets array<long>, df binary"), "signatures")
-    for done in [files[0].rpartition("/")[0] for files in (windows.inputFiles(), shared_in.inputFiles()) if files]:
+    for done in [files[0].rpartition("/")[0] for files in (windows.inputFiles(), counted.inputFiles()) if files]:
         discard(spark, done)
     gc.collect()
     spark._jvm.System.gc()
@@ -409,7 +400,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
                 values, tf, number = textops.distinct(*textops.shingles(words, counts))
                 ends = pa.array(np.concatenate([[0], np.cumsum(number)]), pa.int32())
                 packed = batch.column(2).slice(low, high - low).to_pylist()
-                df = np.concatenate([np.zeros(0, np.uint32), *[_unpacked(x, np.uint32) if x else np.ones(n, np.uint32) for x, n in zip(packed, number.tolist(), strict=True)]])
+                df = np.concatenate([np.zeros(0, np.uint32), *[_unsqueezed(x, np.uint32) if x else np.ones(n, np.uint32) for x, n in zip(packed, number.tolist(), strict=True)]])
                 weights = _weights(tf, df, total)
                 usual = np.minimum.reduceat(weights == np.float32(rare), (np.cumsum(number) - number)[number > 0]) if len(weights) else np.zeros(0, bool)
                 kept = number.copy()

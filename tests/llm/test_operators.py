@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,8 +241,8 @@ def weighted(texts):
         w = WORD.findall((t or "").lower())
         sets[i] = Counter([tuple(w[k : k + 5]) for k in range(len(w) - 4)] or ([tuple(w)] if w else []))
     df = Counter(s for x in sets.values() for s in x)
-    n, rare = len(texts), 1 - math.log(neardup.SHARE)
-    idf = {s: min(rare, 1 + math.log(n / c)) if c >= neardup.SHARE * n else rare for s, c in df.items()}
+    n = len(texts)
+    idf = {s: 1 + math.log(n / c) for s, c in df.items()}
     return {i: {s: c * idf[s] for s, c in x.items()} for i, x in sets.items()}
 
 
@@ -288,10 +289,24 @@ def test_dedup_keeps_one_of_each(spark):
     assert neardup.dedup(d.filter("false")).count() == 0
 
 
-def test_frequent_shingles_are_exact(spark):
-    texts = [(k, "a common opening of six words " + prose(k, 20), "s") for k in range(30)] + [(50 + k, prose(100 + k, 30), "s") for k in range(60)]
-    total, keys, df = neardup.frequent_shingles(documents(spark, texts), "text", 0.2)
-    assert total == 90 and len(keys) == 2 and df.tolist() == [30, 30]
+def counted(docs):
+    """(documents, df of each shingle) as classes() counts them."""
+    windows = neardup.windows_of(docs.select(F.lit(0).cast("long").alias("_id"), F.lit(b"").alias("_text"), "text"))
+    total, rows = neardup.counted_shingles(windows)
+    rows, found = rows.toArrow(), {}
+    for w in windows.collect():
+        own = rows.filter(pa.compute.equal(rows.column("window"), w.window))
+        _, keys, df = neardup.window_shingles(pa.table({"block": [bytes(w.block)]}), own)
+        assert len(keys) == len(df)
+        for key, n in zip(keys.tolist(), df.tolist(), strict=True):
+            assert found.setdefault(key, n) == n
+    return total, found
+
+
+def test_shingles_are_counted_exactly(spark):
+    texts = [(k, "a common opening of six words " + prose(k, 20), "s") for k in range(30)] + [(50 + k, prose(100 + k, 30), "s") for k in range(60)] + [(200, None, "s")]
+    total, df = counted(documents(spark, texts).repartition(3))
+    assert total == 91 and sorted(df.values(), reverse=True)[:3] == [30, 30, 1]
 
 
 def test_weights_are_unclamped_tf_idf(spark):
@@ -302,10 +317,10 @@ def test_weights_are_unclamped_tf_idf(spark):
         rows += [(3 * k, f"{own} {passage}"), (3 * k + 1, f"{prose(7000 + k, 14)} {own[-80:]} {passage}"), (3 * k + 2, f"{prose(8000 + k, 24)} {passage}")]
     rows += [(1000 + k, prose(9000 + k, 30)) for k in range(400)]
     d = documents(spark, [(i, t, "s") for i, t in rows])
-    total, keys, df = neardup.frequent_shingles(d, "text", 0.0)
+    total, df = counted(d)
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
     true = Counter(s for x in sets for s in x)
-    assert total == len(rows) and sorted(df.tolist()) == sorted(n for n in true.values() if n > 1)
+    assert total == len(rows) and sorted(df.values()) == sorted(true.values())
     assert max(true.values()) < 0.02 * len(rows)  # all of them rarer than a fiftieth
     weights = []
     for _, t in rows:
