@@ -18,7 +18,6 @@ a class's name unless all are null; an empty table gives an empty result; other
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import textops
 from .graph import components
-from .shared import attach, discard, materialise, q
+from .shared import attach, discard, forget, materialise, q
 
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
@@ -41,7 +40,6 @@ TILE = 128
 #: Texts to verify whose digests may be broadcast to pick them out of the corpus.
 BROADCAST_NODES = 500_000
 _TABLE = 1 << 16
-_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 class Sampler:
@@ -90,25 +88,6 @@ def _weights(tf: np.ndarray, df: np.ndarray, total: int) -> np.ndarray:
     return tf.astype(np.float32) * (1.0 + np.log(total / df)).astype(np.float32)
 
 
-def _packed(values: np.ndarray, kind: type) -> bytes:
-    """Numbers as planes of their bytes: those that are alike compress to little."""
-    return np.ascontiguousarray(values, kind).view(np.uint8).reshape(len(values), -1).T.tobytes()
-
-
-def _unpacked(data: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
-
-
-def _squeezed(values: np.ndarray, kind: type) -> bytes:
-    """_packed and compressed: most df are 1."""
-    data = _packed(values, kind)
-    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
-
-
-def _unsqueezed(data: bytes, kind: type) -> np.ndarray:
-    return _unpacked(_ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True), kind)
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (_id, _text, text) -> block, rows, size: windows of rows, each a compressed Arrow stream."""
     kind = pa.schema([("_id", pa.int64()), ("_text", pa.binary()), ("text", pa.string())])
@@ -148,16 +127,16 @@ def _counted_windows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[
             cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
             some = np.flatnonzero(np.diff(cuts))
             slices = [slice(cuts[k], cuts[k + 1]) for k in some]
-            keys = [_packed(np.diff(values[x], prepend=np.uint64(0)), np.uint64) for x in slices]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([window] * len(some), pa.int64()), pa.array(keys, pa.binary()), pa.array([_packed(n[x], np.uint32) for x in slices], pa.binary())], names=["part", "window", "keys", "n"])
+            keys = [textops.packed(np.diff(values[x], prepend=np.uint64(0)), np.uint64) for x in slices]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([window] * len(some), pa.int64()), pa.array(keys, pa.binary()), pa.array([textops.packed(n[x], np.uint32) for x in slices], pa.binary())], names=["part", "window", "keys", "n"])
     textops.release()
 
 
 def _df_in_part(rows: pa.Table) -> pa.Table:
     """All windows' rows of one part -> window, part, df of the window's shingles in the part, in their order."""
     windows, part = rows.column("window").to_pylist(), rows.column("part")[0].as_py()
-    keys = [np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in rows.column("keys").to_pylist()]
-    n = np.concatenate([_unpacked(x, np.uint32) for x in rows.column("n").to_pylist()])
+    keys = [np.cumsum(textops.unpacked(x, np.uint64), dtype=np.uint64) for x in rows.column("keys").to_pylist()]
+    n = np.concatenate([textops.unpacked(x, np.uint32) for x in rows.column("n").to_pylist()])
     flat, ends = np.concatenate(keys), np.append(0, np.cumsum([len(x) for x in keys]))
     del keys
     order = np.argsort(flat)
@@ -165,7 +144,7 @@ def _df_in_part(rows: pa.Table) -> pa.Table:
     new = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
     df = np.empty(len(flat), np.uint32)
     df[order] = np.repeat(np.add.reduceat(n[order], new, dtype=np.uint32), np.diff(np.append(new, len(flat))))
-    out = [_squeezed(df[low:high], np.uint32) for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    out = [textops.squeezed(df[low:high], np.uint32) for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
     textops.release()
     return pa.table([pa.array(windows, pa.int64()), pa.array([part] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["window", "part", "df"])
 
@@ -187,7 +166,7 @@ def window_shingles(texts: pa.Table, found: pa.Table) -> tuple[list[tuple], np.n
     runs = [(batch, low, high, *textops.distinct(*textops.shingles(words, counts))) for batch in map(_texts, texts.column("block").to_pylist()) for low, high, words, counts in textops.chunks(batch.column("text"))]
     keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *[run[3] for run in runs]]))
     parts = sorted(zip(found.column("part").to_pylist(), found.column("df").to_pylist(), strict=True))
-    df = np.concatenate([np.zeros(0, np.uint32), *[_unsqueezed(x, np.uint32) for _, x in parts]])
+    df = np.concatenate([np.zeros(0, np.uint32), *[textops.unsqueezed(x, np.uint32) for _, x in parts]])
     return runs, keys, df
 
 
@@ -349,8 +328,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     windows = windows_of(rows_in)
     total, counted = counted_shingles(windows)
     rare = float(np.float32(1.0 + np.log(max(total, 1))))  # idf of what one document holds
-    gc.collect()
-    spark._jvm.System.gc()  # Spark then removes the count's shuffle files, which nothing reads any more
+    forget(spark)
     made: list[Sampler] = []
 
     def signed(texts: pa.Table, found: pa.Table) -> pa.Table:
@@ -371,7 +349,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(number > 0, bands, 0))]), pa.int32()), pa.array(buckets[some].reshape(-1).view(np.int64)))
             ends = np.append(0, np.cumsum(number))
             of_text = [df[ends[k] : ends[k + 1]] for k in range(high - low)]
-            packed = pa.array([_squeezed(x, np.uint32) if (x > 1).any() else b"" for x in of_text], pa.binary())
+            packed = pa.array([textops.squeezed(x, np.uint32) if (x > 1).any() else b"" for x in of_text], pa.binary())
             out.append(pa.RecordBatch.from_arrays([batch.column("_id").slice(low, high - low), batch.column("_text").slice(low, high - low), lists, packed], names=["_id", "_text", "buckets", "df"]))
         textops.release()
         return pa.Table.from_batches(out, pa.schema([("_id", pa.int64()), ("_text", pa.binary()), ("buckets", pa.list_(pa.int64())), ("df", pa.binary())]))
@@ -380,8 +358,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     signed_rows = materialise(both.applyInArrow(signed, "_id long, _text binary, buckets array<long>, df binary"), "signatures")
     for done in [files[0].rpartition("/")[0] for files in (windows.inputFiles(), counted.inputFiles()) if files]:
         discard(spark, done)
-    gc.collect()
-    spark._jvm.System.gc()
+    forget(spark)
     texts = materialise(signed_rows.groupBy("_text").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")), "texts")
     # a text's buckets are those of any of its rows
     said = signed_rows.select("_text", F.explode("buckets").alias("bucket"))
@@ -400,7 +377,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
                 values, tf, number = textops.distinct(*textops.shingles(words, counts))
                 ends = pa.array(np.concatenate([[0], np.cumsum(number)]), pa.int32())
                 packed = batch.column(2).slice(low, high - low).to_pylist()
-                df = np.concatenate([np.zeros(0, np.uint32), *[_unsqueezed(x, np.uint32) if x else np.ones(n, np.uint32) for x, n in zip(packed, number.tolist(), strict=True)]])
+                df = np.concatenate([np.zeros(0, np.uint32), *[textops.unsqueezed(x, np.uint32) if x else np.ones(n, np.uint32) for x, n in zip(packed, number.tolist(), strict=True)]])
                 weights = _weights(tf, df, total)
                 usual = np.minimum.reduceat(weights == np.float32(rare), (np.cumsum(number) - number)[number > 0]) if len(weights) else np.zeros(0, bool)
                 kept = number.copy()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -55,6 +57,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files that nothing refers to any more: it does when the driver's garbage is collected."""
+    for _ in range(2):  # what the first one frees may hold more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)  # files are removed in the background
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a scratch table that no DataFrame still in use reads."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -16,6 +16,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 #: Bytes of text worked on together; a longer text is worked on alone.
 CHUNK = 1 << 18
+_ZSTD = pa.Codec("zstd", compression_level=1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -45,6 +46,25 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def packed(values: np.ndarray, kind: type) -> bytes:
+    """Numbers as planes of their bytes: those that are alike compress to little."""
+    return np.ascontiguousarray(values, kind).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def squeezed(values: np.ndarray, kind: type) -> bytes:
+    """packed() and compressed: most df are 1."""
+    data = packed(values, kind)
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def unsqueezed(data: bytes, kind: type) -> np.ndarray:
+    return unpacked(_ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True), kind)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; nulls are empty."""
     if column.null_count:
