@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .anomaly import neighbours
 from .features import COUPLE, KEY
 
-#: Rows that exact Ward and the density hierarchy take in one task; more are first reduced to as many k-means centres.
-EXACT_ROWS = 6000
+#: Couples that Ward and the density hierarchy take in one task: their work grows with the square, their memory in proportion.
+EXACT_ROWS = 30_000
 
 
 def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -76,20 +76,18 @@ def ward_labels(x: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     return np.array([rank[t] for t in tops])
 
 
-def _reduced(df: DataFrame, columns: list[str], rows: int) -> tuple[DataFrame, bool]:
-    """df with _member, the centre that a row belongs to, where there are more rows than are taken exactly."""
-    if df.count() <= rows:
-        return df.withColumn("_member", F.row_number().over(Window.orderBy(*COUPLE))), True
-    v = assembled(df, columns)
-    model = KMeans(k=min(rows, 1000), seed=42, featuresCol="_v", predictionCol="_member").fit(v)
-    return model.transform(v).drop("_v"), False
+def _numbered(df: DataFrame, rows: int) -> DataFrame:
+    """df with _member, the place of its couple; an error if there are more rows than the one task of a hierarchy is given."""
+    n = df.count()
+    if n > rows:
+        raise ValueError(f"{n} couples: the hierarchy is exact and built in one task, which takes {rows} (parameter rows)")
+    return df.withColumn("_member", F.row_number().over(Window.orderBy(*COUPLE)))
 
 
 def ward(df: DataFrame, columns: list[str], k: int = 4, rows: int = EXACT_ROWS) -> DataFrame:
-    """df with agglo_cluster: exact Ward up to `rows` rows, else Ward of weighted k-means centres."""
-    d, _ = _reduced(df, columns, rows)
-    d = d.cache()
-    points = d.groupBy("_member").agg(F.count(F.lit(1)).alias("_w"), *[F.avg(c).alias(c) for c in columns])
+    """df with agglo_cluster: exact Ward, in one task over at most `rows` couples; more are an error."""
+    d = _numbered(df, rows)
+    points = d.select("_member", F.lit(1).alias("_w"), *columns)
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_member")
@@ -183,18 +181,16 @@ def density_labels(x: np.ndarray, core: np.ndarray, least: int) -> np.ndarray:
 
 
 def hdbscan(df: DataFrame, columns: list[str], least: int = 100, samples: int = 20, rows: int = EXACT_ROWS) -> DataFrame:
-    """df with hdbscan_cluster: -1 outliers. Core distances come from the distributed neighbours; the hierarchy is built in one task
-    over at most `rows` points (beyond, over k-means centres, whose rows share their label)."""
-    d, exact = _reduced(df, columns, rows)
-    d = d.cache()
-    points = d.groupBy("_member").agg(*[F.avg(c).alias(c) for c in columns]).cache()
-    near = neighbours(points, "_member", columns, samples if exact else max(2, samples // 4)).groupBy("key").agg(F.max("distance").alias("_core"))
+    """df with hdbscan_cluster: -1 outliers. Core distances come from the distributed neighbours; the hierarchy is exact and built in
+    one task over at most `rows` couples; more are an error."""
+    d = _numbered(df, rows)
+    points = d.select("_member", *columns)
+    near = neighbours(points, "_member", columns, samples).groupBy("key").agg(F.max("distance").alias("_core"))
     points = points.join(near.withColumn("_member", F.col("key").cast("int")).drop("key"), "_member", "left").fillna(0.0, ["_core"])
-    smallest = least if exact else max(2, least * 1000 // max(1, df.count()))
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_member")
-        return pd.DataFrame({"_member": pdf["_member"].to_numpy(), "hdbscan_cluster": density_labels(pdf[columns].to_numpy(float), pdf["_core"].to_numpy(float), smallest)})
+        return pd.DataFrame({"_member": pdf["_member"].to_numpy(), "hdbscan_cluster": density_labels(pdf[columns].to_numpy(float), pdf["_core"].to_numpy(float), least)})
 
     labels = points.groupBy(F.lit(1).alias("_g")).applyInPandas(label, "_member int, hdbscan_cluster int")
     return d.join(labels, "_member", "left").drop("_member")

@@ -46,7 +46,7 @@ def raw_documents(spark: SparkSession, d: str) -> DataFrame:
     effect = lambda k: F.element_at(_array(EFFECTS), ((i * k) % len(EFFECTS) + 1).cast("int"))
     symptom = F.element_at(_array(SYMPTOMS), (i % len(SYMPTOMS) + 1).cast("int"))
     words = F.concat(
-        F.substring("text", 1, 200), F.lit(" Patients reported "), effect(1), F.lit(" and <i>"), symptom, F.lit("</i> after taking "), (i % 90 + 10).cast("string"), F.lit(" mg daily. May cause "), effect(7), F.lit(".  The end "),
+        F.col("text"), F.lit(" Patients reported "), effect(1), F.lit(" and <i>"), symptom, F.lit("</i> after taking "), (i % 90 + 10).cast("string"), F.lit(" mg daily. May cause "), effect(7), F.lit(".  The end "),
     )
     return table(spark, d, "documents").select(
         "doc_id", F.element_at(_array(SOURCES), (i % 8 + 1).cast("int")).alias("source"), F.concat(F.lit(" Drug"), (i % 17).cast("string")).alias("drug_name"), words.alias("text"),
@@ -59,7 +59,7 @@ def _list_sql(values: list[str]) -> str:
 
 
 RAW_SQL = (
-    "SELECT doc_id, " + _list_sql(SOURCES) + "[doc_id % 8 + 1] AS source, ' Drug' || (doc_id % 17) AS drug_name, substring(text, 1, 200) || ' Patients reported ' || " + _list_sql(EFFECTS) + f"[doc_id % {len(EFFECTS)} + 1] || ' and <i>' || "
+    "SELECT doc_id, " + _list_sql(SOURCES) + "[doc_id % 8 + 1] AS source, ' Drug' || (doc_id % 17) AS drug_name, text || ' Patients reported ' || " + _list_sql(EFFECTS) + f"[doc_id % {len(EFFECTS)} + 1] || ' and <i>' || "
     + _list_sql(SYMPTOMS) + f"[doc_id % {len(SYMPTOMS)} + 1] || '</i> after taking ' || (doc_id % 90 + 10) || ' mg daily. May cause ' || " + _list_sql(EFFECTS) + f"[(doc_id * 7) % {len(EFFECTS)} + 1] || '.  The end ' AS text, "
     + _list_sql(DATES) + "[(doc_id // 8) % 8 + 1] AS review_date, CASE WHEN doc_id % 3 > 0 THEN 'http://x/' || (doc_id % 50) END AS url, CAST(doc_id % 40 AS VARCHAR) AS source_id FROM documents"
 )

@@ -15,7 +15,7 @@ import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
-from signalforge.llm import graph, langmodel, linedup, mixing, neardup, packing, pii, quality, urlrules, vecdup, warc
+from signalforge.llm import graph, langmodel, linedup, mixing, neardup, packing, pii, quality, textops, urlrules, vecdup, warc
 from signalforge.llm.shared import scratch_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -505,10 +505,41 @@ def test_language_model_against_brute_force(spark, monkeypatch):
 
 
 def test_language_model_is_a_distribution(spark):
-    d = documents(spark, [(k, "a b c b", "s") for k in range(20)])
-    model = langmodel.train(d)
-    rows = np.zeros((1, langmodel.TEMPLATES), np.int64)
-    assert abs(np.exp(langmodel._log_softmax(model.weights, model.priors, rows)).sum() - 1) < 1e-5
+    texts = [" ".join(random.Random(k).choice(["the", "an", "bing", "of", "mill"]) for _ in range(30)) for k in range(20)] + [prose(40 + k, 60) for k in range(12)]
+    model = langmodel.train(documents(spark, [(k, t, "s") for k, t in enumerate(texts)]))
+    t, seen = model.tables, Counter(w for x in texts for w in x.split())
+    unseen = {}
+    for x, y in itertools.product("abcdefghijklmnopqrstuvwxyz0123456789.,;", repeat=2):
+        _, _, tails = textops.word_hashes(*textops.utf8(pa.array(["qq" + x + y])), tails=True)
+        if "qq" + x + y not in seen:
+            unseen.setdefault(int(t.classes[tails[0]]), "qq" + x + y)
+    assert len(seen) > langmodel.CLASSES and len(unseen) == len(set(t.classes.tolist()))
+    for history in ("", "the", "the an", "never seen"):
+        words = [*seen, *unseen.values(), None]
+        hashed = textops.word_hashes(*textops.utf8(pa.array([f"{history} {w or ''}" for w in words])), tails=True)
+        logs, kind, rest = langmodel.token_logs(t, *hashed)
+        at = np.cumsum(hashed[1] + 1) - 1  # each text's end; the word comes before it
+        at[:-1] -= 1
+        logs, kind, rest = logs[at], kind[at], rest[at]
+        logs[rest] -= model.norms[kind[rest]]
+        logs[rest] += np.log10([seen.get(w, 0) + 1 for w, r in zip(words, rest.tolist(), strict=True) if r])
+        assert abs((10**logs).sum() - 1) < 1e-4
+
+
+def test_language_model_does_not_depend_on_partitions(spark):
+    d = documents(spark, [(k, prose(k % 17, 80), "s") for k in range(60)] + corpus())
+    scores = []
+    for parts in (1, 7):
+        dealt = d.repartition(parts)
+        model = langmodel.train(dealt)
+        scores.append(sorted((r._n_tokens, r._base_score, r._score) for r in langmodel.score(dealt, model).collect()))
+    assert np.allclose(*scores, rtol=1e-9, atol=0)
+
+
+def test_language_model_grows_with_the_vocabulary(spark):
+    few = langmodel.train(documents(spark, [(k, prose(k, 40), "s") for k in range(20)]))
+    many = langmodel.train(documents(spark, [(k, " ".join(f"w{k}x{j}" for j in range(4000)), "s") for k in range(120)]))
+    assert few.tables.rows == langmodel.LEAST_ROWS < many.tables.rows
 
 
 # ---- URLs ----
