@@ -9,7 +9,9 @@ Cells with many vectors are cut into tiles, and each pair of tiles is compared o
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link
 with nothing; vectors of different lengths do not link; equal vectors of a label are joined once, and their number counted
-(repeated rows too are other vectors); an empty table gives an empty result; other columns are not looked at.
+(repeated rows too are other vectors); vectors with null or repeated ids link as all others do, but null ids name no component (it
+is null where no member has an id); an empty table gives an empty result; other columns are not looked at. Vectors of doubles
+are compared as they are, all others as floats.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import components
 from .shared import attach, materialise, q
@@ -220,15 +223,17 @@ def _compare(cosine: float):
 
 def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
     """One row a vector: _id, n_links, component_id."""
-    rows = vectors.select(q(id_col).cast("long").alias("_id"), q(label_col).cast("long").alias("_label"), q(vector_col).cast("array<float>").alias("_vector"))
+    kind = vectors.select(q(vector_col)).schema[0].dataType
+    element = "double" if isinstance(kind, T.ArrayType) and kind.elementType == T.DoubleType() else "float"
+    rows = vectors.select(q(id_col).cast("long").alias("_id"), q(label_col).cast("long").alias("_label"), q(vector_col).cast(f"array<{element}>").alias("_vector"))
     finite = F.forall("_vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fit = F.col("_label").isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists("_vector", lambda x: x != 0), F.lit(False))
     unique = rows.filter(fit).groupBy("_label", "_vector").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    unique = materialise(unique.filter("_first is not null"), "vectors")
-    source = unique.select("_first", "_label", "_vector", "_n")
+    unique = materialise(unique.withColumn("_key", F.monotonically_increasing_id()), "vectors")
+    source = unique.select("_key", "_label", "_vector", "_n")
     homes = source.mapInArrow(_visit(cosine, False), "cell long").groupBy("cell").agg(F.count(F.lit(1)).alias("_homes"))
     crowded = materialise(homes.filter(F.col("_homes") > TILE).select("cell", F.ceil(F.col("_homes") / TILE).cast("int").alias("_tiles")), "crowded-cells")
-    seated = source.mapInArrow(_visit(cosine, True), "cell long, block int, role int, id long, n long, vector array<float>")
+    seated = source.mapInArrow(_visit(cosine, True), "cell long, block int, role int, id long, n long, vector array<" + element + ">")
     seated = attach(seated, crowded, ["cell"], "id").withColumn("_tiles", F.coalesce("_tiles", F.lit(1)))
     seated = seated.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int"))
     # at home: tile pairs (own, k) on the left and (k, own) on the right; on a visit: every (k, k)
@@ -242,9 +247,11 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     found = materialise(seated.mapInArrow(_compare(cosine), "id long, links long, root long"), "vector-links")
     counts = found.groupBy("id").agg(F.sum("links").alias("_links"))
     comp = components(counts.select(F.col("id").alias("node")), found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    linked = materialise(counts.withColumnRenamed("id", "_first").join(comp.withColumnRenamed("node", "_first"), "_first", "left"), "linked-vectors")
+    linked = materialise(counts.withColumnRenamed("id", "_key").join(comp.withColumnRenamed("node", "_key"), "_key", "left"), "linked-vectors")
     # only vectors with links or copies are looked up again
-    known = unique.join(linked, "_first", "left").filter("_n > 1 or comp is not null")
-    known = materialise(known.select("_label", "_vector", "_first", (F.coalesce("_links", F.lit(0)) + F.col("_n") - 1).alias("_all_links"), F.coalesce("comp", "_first").alias("_comp")), "known-vectors")
-    result = attach(rows, known, ["_label", "_vector"], "_id")
-    return result.select("_id", F.coalesce("_all_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_comp", "_id").alias("component_id"))
+    known = unique.join(linked, "_key", "left").filter("_n > 1 or comp is not null")
+    known = materialise(known.select("_label", "_vector", "_key", "_first", (F.coalesce("_links", F.lit(0)) + F.col("_n") - 1).alias("_all_links"), F.coalesce("comp", "_key").alias("_comp")), "known-vectors")
+    names = materialise(known.groupBy("_comp").agg(F.min("_first").alias("_name")), "component-names")
+    named = attach(known, names, ["_comp"], "_key").select("_label", "_vector", "_all_links", "_name")
+    result = attach(rows, named, ["_label", "_vector"], "_id")
+    return result.select("_id", F.coalesce("_all_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_name", "_id").alias("component_id"))
