@@ -26,7 +26,23 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vecdup.links(table(spark, sf_dir, "embeddings"))
-    return found.select(F.col("_id").alias("vec_id"), "n_links", "component_id", (F.col("_id") == F.col("component_id")).alias("kept"))
+    return found.select(F.col("_id").alias("vec_id"), "n_links", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+f AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+n AS (SELECT a, count(*) AS n_links FROM p GROUP BY a),
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, least) AS component_id, vec_id = least(vec_id, least) AS kept
+FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.a
+"""
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +52,22 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp")
 
 
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS url, coalesce(html, '') AS body FROM pages),
+b AS (
+  SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest, url, regexp_extract(url, '(?s)^.*?://([^#]*)', 1) AS rest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM b WHERE payload_bytes >= 100 GROUP BY payload_digest),
+h AS (SELECT *, regexp_extract(rest, '^[^/?]*') AS host FROM b LEFT JOIN f USING (payload_digest))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to,
+  CASE WHEN url IS NULL THEN '' WHEN position('://' IN url) = 0 THEN lower(url)
+    ELSE lower(array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN rest = host THEN '/' ELSE substr(rest, length(host) + 1) END) END AS url_key,
+  strftime(make_timestamp((page_id % 4294967296) * 1000000), '%Y%m%d%H%M%S') AS timestamp
+FROM h
+"""
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.plan(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.col("_size").alias("size"), F.col("_words").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).cast("long").alias("taken"))
@@ -79,6 +111,35 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *[F.col(f"_{n}").alias(n) for n in names])
 
 
+OP8_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT k, host, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+n AS (
+  SELECT k, host, l, list_transform(l, lambda x: trim(regexp_replace(lower(x), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ')) AS m FROM s),
+x AS (
+  SELECT k, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda j: array_to_string(w[j:j + 4], ' '))) AS five FROM d WHERE len(w) > 5),
+g AS (SELECT k, i, count(*) OVER (PARTITION BY k, five) AS times FROM x),
+y AS (SELECT k, least(5, i - lag(i, 1, -5) OVER (PARTITION BY k ORDER BY i)) AS covers FROM g WHERE times > 1),
+r AS (SELECT k, CAST(sum(covers) AS BIGINT) AS n_repeat_words FROM y GROUP BY k),
+u AS (SELECT DISTINCT host, list_sort(list_distinct(m)) AS m FROM n),
+e AS (SELECT host, unnest(m) AS line FROM u),
+b AS (
+  SELECT host, line FROM (SELECT host, line, count(*) AS docs FROM e GROUP BY host, line) JOIN (SELECT host, count(*) AS docs_all FROM d GROUP BY host) USING (host)
+  WHERE docs > 10 AND docs > 0.01 * docs_all),
+z AS (SELECT k, host, unnest(l) AS own, unnest(m) AS line FROM n),
+o AS (SELECT k, CAST(sum(len(regexp_extract_all(own, '[^\x20\x09-\x0D]+'))) AS BIGINT) AS removed FROM z JOIN b USING (host, line) GROUP BY k),
+q AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed, 0) AS removed
+  FROM d JOIN s USING (k) LEFT JOIN r USING (k) LEFT JOIN o USING (k))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (removed > 0 AND (n_words - removed < 10 OR n_words - removed < 0.3 * n_words)) AS kept
+FROM q
+"""
+
+
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langmodel.train(docs.filter(~langmodel.held_out(F.col("doc_id"))))
@@ -93,4 +154,4 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op2_lines": op2_lines, "op3_vectors": op3_vectors, "op4_warc": op4_warc, "op5_mix": op5_mix, "op6_pii": op6_pii, "op7_neardup": op7_neardup, "op8_quality": op8_quality, "op9_lm": op9_lm, "op10_urls": op10_urls}
-SQL: dict[str, str] = {"op5_mix": OP5_SQL}
+SQL: dict[str, str] = {"op3_vectors": OP3_SQL, "op4_warc": OP4_SQL, "op5_mix": OP5_SQL, "op8_quality": OP8_SQL}

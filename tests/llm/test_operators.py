@@ -9,6 +9,7 @@ import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -402,6 +403,23 @@ def test_all_ten_operators_are_registered():
     assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
 
 
+@pytest.mark.parametrize("name", ["op3_vectors", "op4_warc", "op5_mix", "op8_quality"])
+def test_queries_equal_sql(spark, name):
+    from signalforge.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    got = queries.QUERIES[name](spark, folder)
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    want = con.execute(queries.SQL[name])
+    names = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(names)
+    rows = lambda found: sorted((tuple(float(f"{x:.9g}") if isinstance(x, float) else x for x in r) for r in found), key=repr)
+    have = rows(got.select(*names).collect())
+    assert have and have == rows(want.fetchall())
+
+
 # ---- vectors ----
 
 
@@ -415,17 +433,16 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     for k in range(200, 260):
         rows.append((k, (centre + rng.normal(size=16) * rng.choice([0.02, 0.08, 0.14])).tolist(), 1))
     rows += [(300, None, 1), (301, [0.0] * 16, 1), (302, [math.nan] * 16, 1), (303, [1.0, None], 1), (304, [1.0, 2.0], 1), (305, [2.0, 4.0], 1), (305, [2.0, 4.0], 1), (306, [1.0, 2.0], None), (307, [], 1), (308, [math.inf] * 2, 1)]
+    # null ids link too: two equal vectors, one beside the large group, one that alone joins two others
+    rows += [(None, [3.0, 1.0, 2.0], 2), (None, [3.0, 1.0, 2.0], 2), (None, centre.tolist(), 1), (None, [1.0, 0.15], 4), (400, [1.0, 0.0], 4), (401, [1.0, 0.31], 4), (None, None, None)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("id", F.lit("own"))
-    got = defaultdict(set)
-    for r in vecdup.links(d).collect():
-        got[r._id].add((r.n_links, r.component_id))
-    fit = [(i, np.array(v, np.float32).astype(float), y) for i, v, y in rows if v and y is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
-    links, root = Counter(), {i: i for i, _, _ in rows}
+    fit = [(k, np.array(v, np.float32).astype(float), y) for k, (_, v, y) in enumerate(rows) if v and y is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    links, root = Counter(), list(range(len(rows)))
 
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
 
     for (i, x, a), (j, y, b) in itertools.combinations(fit, 2):
         if a == b and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98:
@@ -433,8 +450,11 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
             links[j] += 1
             p, q = find(i), find(j)
             root[max(p, q)] = min(p, q)
-    links[305] //= 2  # two rows of one id
-    assert {i: v for i, v in got.items()} == {i: {(links[i], find(i))} for i, _, _ in rows}
+    least = {}
+    for k, (i, _, _) in enumerate(rows):
+        least[find(k)] = min((x for x in (i, least.get(find(k))) if x is not None), default=None)
+    got = Counter((r._id, r.n_links, r.component_id) for r in vecdup.links(d).collect())
+    assert got == Counter((i, links[k], least[find(k)]) for k, (i, _, _) in enumerate(rows))
     assert vecdup.links(d.filter("false")).count() == 0
 
 
