@@ -39,7 +39,7 @@ from .textops import chunks, mix, release, squeezed, unsqueezed
 CLASSES = 32
 _HASHED = 7  # classes that share the rarer endings
 #: Hashed rows of a feature: so many times the square root of the different words, and at least LEAST_ROWS.
-ROWS, LEAST_ROWS = 4, 1 << 12
+ROWS, LEAST_ROWS = 8, 1 << 12
 #: Tokens that a task sums over, at least, for each hashed row of a feature.
 TOKENS_A_ROW = 256
 #: Words whose counts every scoring task holds: the most frequent, at most so many.
