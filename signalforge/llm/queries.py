@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ over whole tables, and their SQL where SQL can express them."""
+"""The queries op1_ to op13_ over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langmodel, linedup, mixing, neardup, packing, pii, quality, urlrules, vecdup, warc
-from .shared import scratch_path
+from . import infill, langmodel, licenses, linedup, mixing, neardup, packing, periods, pii, quality, urlrules, vecdup, warc
+from .shared import WORD, materialise, once, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -153,5 +153,90 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", *[F.col(f"_{n}").alias(n) for n in ("host", "path", "rule", "verdict")])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op2_lines": op2_lines, "op3_vectors": op3_vectors, "op4_warc": op4_warc, "op5_mix": op5_mix, "op6_pii": op6_pii, "op7_neardup": op7_neardup, "op8_quality": op8_quality, "op9_lm": op9_lm, "op10_urls": op10_urls}
-SQL: dict[str, str] = {"op3_vectors": OP3_SQL, "op4_warc": OP4_SQL, "op5_mix": OP5_SQL, "op8_quality": OP8_SQL}
+
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.transform(table(spark, sf_dir, "documents"))
+    names = [F.col(f"_{n}").alias(m) for n, m in (("n_units", "n"), ("form", "form"), ("prefix_units", "prefix_chars"), ("middle_units", "middle_chars"))]
+    restored = infill.restore(F.col("_output"), F.col("_form"))
+    # the digests are written once, in small batches of texts
+    return materialise(cut.select("doc_id", *names, F.sha2("_output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256")), "infilled")
+
+
+OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (
+  SELECT *, CAST('0x' || substr(x, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(x, 9, 8) AS BIGINT) % (n + 1) AS b, CAST('0x' || substr(x, 17, 8) AS BIGINT) % 100 AS c, CAST('0x' || substr(x, 25, 8) AS BIGINT) % 100 AS e FROM d),
+f AS (
+  SELECT doc_id, t, n, least(a, b) AS a, greatest(a, b) AS b, CASE WHEN n = 0 OR regexp_matches(t, '<[PSM]>') OR c >= 90 THEN 'plain' WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    longs = [F.col(f"_{n}").alias(n) for n in ("n_words", "n_base", "first_word", "last_word")]
+    labels = [F.array_join(f"_{n}", ",").alias(n) for n in ("base_labels", "labels")]
+    return found.select(F.col("_id").alias("doc_id"), *longs, *labels, F.col("_score").alias("score"))
+
+
+def _license_sql() -> str:
+    known = licenses.Templates(licenses.PHRASES, licenses.TEMPLATES)
+    listed = lambda words: "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+    templates = ", ".join(f"('{label}', {size}, {need}, {listed(words)})" for label, size, need, words in zip(known.labels, known.size, known.need, known.sets, strict=True))
+    place = lambda words: " AND ".join(f"w[i + {k + 1}] = '{w.decode()}'" for k, w in enumerate(words))
+    phrases = [f"list_transform(list_filter(range(len(w)), lambda i: {place(words)}), lambda i: struct_pack(i, label := '{label}'))" for words, label in known.phrases]
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT k, doc_id, w, {' || '.join(phrases)} AS p FROM d),
+t(label, size, need, words) AS (VALUES {templates}),
+x AS (SELECT k, s.size, unnest(range(0, len(w), s.size // 2)) AS o, w FROM d, (SELECT DISTINCT size FROM t) s),
+y AS (SELECT k, size, list_distinct(w[o + 1:o + size]) AS words FROM x),
+f AS (
+  SELECT k, list_distinct(list(label)) AS labels, max(share) AS best
+  FROM (SELECT k, label, need, len(list_intersect(y.words, t.words)) AS common, len(list_intersect(y.words, t.words)) / len(t.words) AS share FROM y JOIN t USING (size)) WHERE common >= need GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, list_min(list_transform(p, lambda x: x.i)) AS first_word, list_max(list_transform(p, lambda x: x.i)) AS last_word,
+  array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label) || coalesce(labels, []))), ',') AS labels,
+  CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM b LEFT JOIN f USING (k)
+"""
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the texts, by the id's CRC-32, the words from some place on repeat the first ones there."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    g = F.floor(h / 10)
+
+    def repeated(words):
+        n = F.greatest(F.size(words), F.lit(1))
+        a = (g % n).cast("int")
+        p = lambda a: (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
+        at = lambda x: F.transform(words, lambda w, i: F.when(i < x["a"], w).otherwise(F.get(words, x["a"] + (i - x["a"]) % x["p"])))
+        return F.array_join(once(F.struct(a.alias("a"), p(a).alias("p")), at), " ")
+
+    return docs.select("doc_id", F.when(h % 10 == 0, once(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), repeated)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.find(planted_runs(table(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("_runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("_runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    first = F.get(F.array_sort(F.transform("_runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))), 0)
+    rows = found.select("doc_id", F.size("_runs").cast("long").alias("n_runs"), first.alias("_first"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("_collapsed", 256).alias("collapsed_sha256"))
+    length = -F.col("_first.less")
+    best = [F.col("_first.start").alias("start"), length.alias("length"), F.col("_first.period").alias("period"), F.floor(1000 * length / F.col("_first.period")).alias("exponent_milli")]
+    # the digests are written once, in small batches of texts
+    return materialise(rows.select("doc_id", "n_runs", *best, "runs_sha256", "collapsed_sha256"), "runs")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pack": op1_pack, "op2_lines": op2_lines, "op3_vectors": op3_vectors, "op4_warc": op4_warc, "op5_mix": op5_mix, "op6_pii": op6_pii, "op7_neardup": op7_neardup, "op8_quality": op8_quality, "op9_lm": op9_lm, "op10_urls": op10_urls,
+    "op11_infill": op11_infill, "op12_licenses": op12_licenses, "op13_runs": op13_runs,
+}
+SQL: dict[str, str] = {"op3_vectors": OP3_SQL, "op4_warc": OP4_SQL, "op5_mix": OP5_SQL, "op8_quality": OP8_SQL, "op11_infill": OP11_SQL, "op12_licenses": _license_sql()}
