@@ -27,11 +27,3 @@ def literal_map(table: dict[str, str]) -> Column:
 def mapped(table: dict[str, str], term: Column) -> Column:
     """table's entry for the term, or the term itself."""
     return F.coalesce(literal_map(table)[term], term)
-
-
-def match_ends(text: Column, pattern: str) -> Column:
-    """Code point offsets at which the matches of the pattern end, in order."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    lengths = F.transform(F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g")), lambda x: F.length(x["m"]) + F.length(x["g"]))
-    ends = lambda s: F.transform(s, lambda _, i: F.aggregate(F.slice(s, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
-    return F.when(F.size(found) > 0, let(lengths, ends)).otherwise(F.array().cast("array<int>"))

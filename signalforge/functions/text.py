@@ -10,9 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicon
-from .hof import let, literal_map, mapped, match_ends, strings
+from .hof import let, literal_map, mapped, strings
 
 SPACE = r"(?U)\s+"
+
+# How doses are written, what announces terms and within how many characters, what page texts repeat and records leave out,
+# and what refusals say.
 DOSAGE = r"(?iu)\b(\d+(?:\.\d+)?)\s*(mg|mcg|µg|g|ml|tablet|pill|capsule)s?\b"
 #: Side effects are named in the text after these.
 EFFECT_CONTEXT = (
@@ -26,7 +29,6 @@ SYMPTOM_CONTEXT = (
     r"|(?:diagnosed|diagnosis)\s+with\s+|(?:treating?|treatment\s+of)\s+)"
 )
 CONTEXT_LENGTH = 200
-#: What page texts repeat and records leave out. Fixed values.
 PAGE_NOISE = [
     r"Why is this medication prescribed\?\s*", r"What side effects can this medication cause\?\s*", r"Brand names\s*(Expand Section\s*)?", r"Expand Section\s*",
     r"More common side effects\s*", r"Less common side effects\s*", r"Rare side effects\s*",
@@ -53,9 +55,8 @@ def filled(*columns: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """Entities resolved, then tags dropped and white space collapsed; null is empty. Texts without & stay in the JVM's hands."""
-    text = F.coalesce(c, F.lit(""))
-    text = F.when(text.contains("&"), _unescape(text)).otherwise(text)
+    """Entities resolved, then tags dropped and white space collapsed; null is empty. Only texts with & are handed to Python."""
+    text = F.coalesce(_unescape(F.when(c.contains("&"), c)), c, F.lit(""))
     return strip(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), SPACE, " "))
 
 
@@ -105,41 +106,86 @@ def longest_terms(terms: Column) -> Column:
 
 def dosages(text: Column) -> Column:
     """Sorted distinct amounts with their units in lower case."""
-    amount, unit = (F.regexp_extract_all(text, F.lit(DOSAGE), F.lit(k)) for k in (1, 2))
-    both = F.transform(F.arrays_zip(amount.alias("n"), unit.alias("u")), lambda x: F.concat(x["n"], F.lit(" "), F.lower(x["u"])))
-    return F.coalesce(F.array_sort(F.array_distinct(both)), F.array().cast("array<string>"))
+    # one pass over the text; amount and unit are told apart in the few matches
+    said = lambda m: F.concat(F.regexp_extract(m, DOSAGE, 1), F.lit(" "), F.lower(F.regexp_extract(m, DOSAGE, 2)))
+    return F.coalesce(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(DOSAGE), F.lit(0)), said))), F.array().cast("array<string>"))
+
+
+# ---- terms in text: a trie of all terms, one pass over the text ----
+
+#: What words are made of: a term stands alone if none of these is beside it.
+_IN_WORD = r"[\p{L}\p{N}_]"
+#: All terms that are looked for; texts are searched for all of them at once.
+TERMS = sorted({*lexicon.SIDE_EFFECTS, *lexicon.SYMPTOMS, *lexicon.SYMPTOMS_NLP, *lexicon.TRIAL_SYMPTOMS})
+
+
+def _trie(ends: list[str]) -> str:
+    """A pattern for the longest of the strings: those that begin alike share their beginning."""
+    branches: dict[str, list[str]] = {}
+    for end in ends:
+        if end:
+            branches.setdefault(end[0], []).append(end[1:])
+    options = "|".join(re.escape(first) + _trie(rest) for first, rest in sorted(branches.items()))
+    if "" in ends:
+        return f"(?:{options})?" if options else ""
+    return options if len(branches) == 1 else f"(?:{options})"
+
+
+def term_pattern(terms: list[str]) -> str:
+    """Matches, without taking it, the longest term that stands alone from a place on: terms within terms are found from theirs."""
+    return rf"(?<!{_IN_WORD})(?=({_trie(terms)})(?!{_IN_WORD}))"
+
+
+def terms_in(text: Column, terms: list[str] = TERMS) -> Column:
+    """The different terms that the lower-case text holds as words, by one pass over it."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(term_pattern(terms)), F.lit(1)))
+    # a term at the beginning of a longer one is not matched by itself
+    longer = {s: [t for t in terms if t != s and re.match(re.escape(s) + r"(?!\w)", t)] for s in terms}
+
+    def completed(f: Column) -> Column:
+        for s in [s for s in terms if longer[s]]:
+            f = F.array_union(f, F.when(F.arrays_overlap(f, strings(longer[s])), strings([s])).otherwise(strings([])))
+        return f
+
+    return let(found, completed) if any(longer.values()) else found
+
+
+def chosen(found: Column, seeds: list[str]) -> Column:
+    """Those of the seeds that were found, in the seeds' order."""
+    return F.array_intersect(strings(seeds), found)
 
 
 def seeds_in(text: Column, seeds: list[str]) -> Column:
     """The seeds that the lower-case text holds as words."""
-    # one pass over a constant array: a pattern is only compiled for a seed that the text contains
-    return let(text, lambda t: F.filter(strings(seeds), lambda s: F.contains(t, s) & F.rlike(t, F.concat(F.lit(r"\b"), s, F.lit(r"\b")))))
+    return chosen(terms_in(text, sorted(seeds)), seeds)
+
+
+def lexical_terms(found: Column, stop: Column | None = None) -> tuple[Column, Column]:
+    """(side effects, symptoms) among the found terms of a text, without stop words, as aliases; what is a side effect is no symptom."""
+    stop = strings(lexicon.STOP_WORDS) if stop is None else stop
+    named = lambda seeds: F.array_distinct(F.transform(F.array_except(chosen(found, seeds), stop), alias))
+    effects = named(lexicon.SIDE_EFFECTS)
+    return effects, F.array_except(named(lexicon.SYMPTOMS), effects)
 
 
-def lexical_terms(text: Column, stop: list[str] = ()) -> tuple[Column, Column]:
-    """(side effects, symptoms) named anywhere in the text, as aliases; what is a side effect is no symptom."""
-    low = F.lower(text)
-    effects = [s for s in lexicon.SIDE_EFFECTS if s not in {*lexicon.STOP_WORDS, *stop}]
-    symptoms = [s for s in lexicon.SYMPTOMS if s not in {*lexicon.STOP_WORDS, *stop}]
-    found = F.array_distinct(F.transform(seeds_in(low, effects), alias))
-    return found, F.array_except(F.array_distinct(F.transform(seeds_in(low, symptoms), alias)), found)
+def context_found(text: Column, pattern: str) -> Column:
+    """The terms within 200 characters after what the pattern matches."""
+    windows = F.regexp_extract_all(text, F.lit(f"{pattern}(?s)(?=(.{{0,{CONTEXT_LENGTH}}}))"), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(windows, lambda w: terms_in(F.lower(w)))))
 
 
-def context_terms(text: Column) -> tuple[Column, Column]:
-    """(side effects, symptoms) named within 200 characters after a phrase that announces them."""
-    windows = lambda pattern: F.transform(match_ends(text, pattern), lambda e: F.lower(F.substring(text, e + 1, F.lit(CONTEXT_LENGTH))))
-    effects = F.array_distinct(F.transform(F.flatten(F.transform(windows(EFFECT_CONTEXT), lambda w: seeds_in(w, lexicon.SIDE_EFFECTS))), alias))
-    raw = F.flatten(F.transform(windows(SYMPTOM_CONTEXT), lambda w: seeds_in(w, lexicon.SYMPTOMS)))
-    symptoms = F.array_distinct(F.transform(F.array_except(raw, effects), alias))
+def context_terms(effects_found: Column, symptoms_found: Column) -> tuple[Column, Column]:
+    """(side effects, symptoms) among what context_found() gives for the phrases that announce either."""
+    effects = F.array_distinct(F.transform(chosen(effects_found, lexicon.SIDE_EFFECTS), alias))
+    symptoms = F.array_distinct(F.transform(F.array_except(chosen(symptoms_found, lexicon.SYMPTOMS), effects), alias))
     return effects, F.array_except(symptoms, effects)
 
 
-def seed_terms(text: Column) -> tuple[Column, Column, Column]:
-    """(side effects, symptoms, dosages) by seeds alone: the mode without a trained entity model."""
-    low = F.lower(text)
-    effects = F.array_distinct(F.transform(seeds_in(low, lexicon.SIDE_EFFECTS), normal_term))
-    symptoms = F.array_except(F.array_distinct(F.transform(seeds_in(low, lexicon.SYMPTOMS_NLP), normal_term)), effects)
-    return F.array_sort(effects), F.array_sort(symptoms), dosages(text)
+def seed_terms(found: Column) -> tuple[Column, Column]:
+    """(side effects, symptoms) among the found terms of a text: the mode without a trained entity model."""
+    effects = F.array_distinct(F.transform(chosen(found, lexicon.SIDE_EFFECTS), normal_term))
+    symptoms = F.array_except(F.array_distinct(F.transform(chosen(found, lexicon.SYMPTOMS_NLP), normal_term)), effects)
+    return F.array_sort(effects), F.array_sort(symptoms)
 
 
 def relation(context: Column, has_drug: Column) -> Column:
@@ -165,7 +211,7 @@ def word_chunks(text: Column, words: int = 150) -> Column:
     return let(F.filter(F.split(text, SPACE), lambda x: x != ""), pieces)
 
 
-def stop_filtered(terms: Column, stop: list[str] = ()) -> Column:
+def stop_filtered(terms: Column, stop: Column) -> Column:
     """Normalised terms of over two characters that are no stop words."""
-    kept = F.filter(F.array_except(terms, strings([*lexicon.STOP_WORDS, *stop])), lambda t: F.length(t) > 2)
+    kept = F.filter(F.array_except(terms, stop), lambda t: F.length(t) > 2)
     return F.array_distinct(F.transform(kept, normal_term))

@@ -289,13 +289,18 @@ def seed_sql(seeds: list[str]) -> str:
     return f"list_filter([{tests}], lambda x: x IS NOT NULL)"
 
 
+def _searched(spark, d):
+    """Raw documents with the terms that their texts hold, found by one pass over each."""
+    return landed.spread(raw_documents(spark, d)).select("doc_id", "source", T.terms_in(F.lower("text")).alias("_found"))
+
+
 LOW = r"low AS (SELECT doc_id, lower(text) AS t, text FROM raw)"
 
 
 @query(with_raw(f", {LOW} SELECT doc_id, list_sort({seed_sql(lexicon.SIDE_EFFECTS)}) AS effects, list_sort({seed_sql(lexicon.SYMPTOMS)}) AS symptoms FROM low"))
 def seed_matches(spark, d):
-    low = F.lower("text")
-    return raw_documents(spark, d).select("doc_id", F.array_sort(T.seeds_in(low, lexicon.SIDE_EFFECTS)).alias("effects"), F.array_sort(T.seeds_in(low, lexicon.SYMPTOMS)).alias("symptoms"))
+    found = F.col("_found")
+    return _searched(spark, d).select("doc_id", F.array_sort(T.chosen(found, lexicon.SIDE_EFFECTS)).alias("effects"), F.array_sort(T.chosen(found, lexicon.SYMPTOMS)).alias("symptoms"))
 
 
 def term_sql(x: str) -> str:
@@ -308,14 +313,14 @@ def preferred_sql(x: str) -> str:
 
 @query(with_raw(f", {LOW}, e AS (SELECT doc_id, list_distinct({preferred_sql(seed_sql(lexicon.SIDE_EFFECTS))}) AS e, list_distinct({preferred_sql(seed_sql(lexicon.SYMPTOMS_NLP))}) AS s FROM low) SELECT doc_id, list_sort(e) AS side_effects, list_sort(list_filter(s, lambda x: NOT list_contains(e, x))) AS symptoms FROM e"))
 def seed_terms(spark, d):
-    effects, symptoms, _ = T.seed_terms(F.col("text"))
-    return raw_documents(spark, d).select("doc_id", effects.alias("side_effects"), symptoms.alias("symptoms"))
+    effects, symptoms = T.seed_terms(F.col("_found"))
+    return _searched(spark, d).select("doc_id", effects.alias("side_effects"), symptoms.alias("symptoms"))
 
 
 @query(with_raw(f", {LOW}, e AS (SELECT doc_id, list_distinct({term_sql(seed_sql(lexicon.SIDE_EFFECTS))}) AS e, list_distinct({term_sql(seed_sql(lexicon.SYMPTOMS))}) AS s FROM low) SELECT doc_id, list_sort(e) AS side_effects, list_sort(list_filter(s, lambda x: NOT list_contains(e, x))) AS symptoms FROM e"))
 def lexical_terms(spark, d):
-    effects, symptoms = T.lexical_terms(F.col("text"))
-    return raw_documents(spark, d).select("doc_id", F.array_sort(effects).alias("side_effects"), F.array_sort(symptoms).alias("symptoms"))
+    effects, symptoms = T.lexical_terms(F.col("_found"))
+    return _searched(spark, d).select("doc_id", F.array_sort(effects).alias("side_effects"), F.array_sort(symptoms).alias("symptoms"))
 
 
 @query(with_raw(f", {LOW}, e AS (SELECT doc_id, list_distinct({preferred_sql(seed_sql(lexicon.SIDE_EFFECTS))}) AS e FROM low) SELECT doc_id, list_sort(list_filter(e, lambda x: len(list_filter(e, lambda y: y <> x AND contains(y, x))) = 0)) AS terms FROM e"))
@@ -648,7 +653,7 @@ def trial_signals(spark, d):
 
 
 def _raw_records(spark, d):
-    r = raw_documents(spark, d).withColumn("review_text", F.col("text")).withColumn("summary", F.col("text")).withColumn("prescribed_for", F.array("text"))
+    r = landed.spread(raw_documents(spark, d)).withColumn("review_text", F.col("text")).withColumn("summary", F.col("text")).withColumn("prescribed_for", F.array("text"))
     effect = F.element_at(strings(EFFECTS), (F.col("doc_id") % len(EFFECTS) + 1).cast("int"))
     r = r.withColumn("symptom", F.concat(effect, F.lit(", "), F.element_at(strings(SYMPTOMS), (F.col("doc_id") % len(SYMPTOMS) + 1).cast("int")))).withColumn("effects", F.array(effect))
     r = r.withColumn("soc_rows", F.array(F.struct(effect.alias("soc")))).withColumn("content", F.concat(F.lit("<r><AbstractText>"), F.regexp_replace("text", "[<>&]", " "), F.lit("</AbstractText></r>")))

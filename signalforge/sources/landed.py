@@ -35,6 +35,13 @@ REPORT = (
 POST = "id string, title string, selftext string, body string, score int, subreddit string, created_utc double, permalink string"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it is read in fewer parts than there are: a small file is one part, and costly work on its texts would
+    be one task. Inputs of more parts than cores, as large ones are, stay as they are and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan(spark: SparkSession, path: str, sources: list[str] | None = None, limit: int = 0) -> DataFrame:
     """A landed collection; the filter by source and the columns asked for reach the files."""
     df = spark.read.parquet(path)

@@ -17,6 +17,8 @@ _DATED = ("PubDate", "ArticleDate", "DateCompleted", "DateRevised")
 
 def article(content: str | None) -> dict:
     """Text of each element is what stands before its first child."""
+    if not content:
+        return {"abstract": "", "title": "", "mesh": []}
     try:
         root = ElementTree.fromstring((content or "").encode())
     except ElementTree.ParseError:

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -52,15 +53,27 @@ def test_small_functions(spark):
 
 def test_seed_terms(spark):
     texts = ["Patients may experience nausea, vomiting, dizziness after taking celecoxib. The underlying disease caused postoperative pain and inflammation.", "Took 20 mg, then drowsiness, hives and itching. Shortness of breath and back pain followed.", "éfever"]
-    effects, symptoms, doses = T.seed_terms(F.col("v"))
-    d = spark.createDataFrame([(t,) for t in texts], "v string").select(effects.alias("e"), symptoms.alias("s"), doses.alias("d")).collect()
+    effects, symptoms = T.seed_terms(T.terms_in(F.lower("v")))
+    d = spark.createDataFrame([(t,) for t in texts], "v string").select(effects.alias("e"), symptoms.alias("s"), T.dosages(F.col("v")).alias("d")).collect()
     assert (d[0].e, d[0].s, d[0].d) == (["dizziness", "nausea", "vomiting"], ["inflammation", "pain"], [])
     assert (d[1].e, d[1].s, d[1].d) == (["pruritus", "somnolence", "urticaria"], ["back pain", "dyspnea", "pain"], ["20 mg"])
     assert d[2].s == []
 
 
+def test_terms_in_equals_single_searches(spark):
+    """One pass finds what a search for each term finds: within others, at the beginning of others, overlapping, beside any letter."""
+    terms = ["pain", "back pain", "pain back", "back", "b", "a b", "b a", "a b a", "back pain killer", "x/y", "é", "pins and needles", "needles"]
+    rng = random.Random(2)
+    texts = ["", "back pain back", "back pain killers back pain killer", "a b a b a", "pins and needles", "xé é", "pain_ _pain 1pain pain1 pain", "x/y-x/y", "back  pain", "BACK"]
+    texts += ["".join(rng.choice(["a", "b", " ", " ", "pain", "back", "-", "é", "needles"]) for _ in range(30)) for _ in range(60)]
+    want = [sorted(t for t in terms if re.search(rf"\b{re.escape(t)}\b", text)) for text in texts]
+    assert one(spark, texts, lambda c: F.array_sort(T.terms_in(c, terms))) == want
+    assert one(spark, texts, lambda c: T.seeds_in(c, terms)) == [[t for t in terms if t in found] for found in want]
+    assert one(spark, [None], lambda c: T.terms_in(c, terms)) == [None]
+
+
 def test_context_terms(spark):
-    effects, symptoms = T.context_terms(F.col("v"))
+    effects, symptoms = T.context_terms(T.context_found(F.col("v"), T.EFFECT_CONTEXT), T.context_found(F.col("v"), T.SYMPTOM_CONTEXT))
     texts = ["It may cause rash" + " " * 10 + "and hives. Symptoms of fever", "may cause " + "x" * 200 + " rash", ""]
     d = spark.createDataFrame([(t,) for t in texts], "v string").select(effects.alias("e"), symptoms.alias("s")).collect()
     assert (sorted(d[0].e), d[0].s) == (["hives", "rash"], ["fever"])
