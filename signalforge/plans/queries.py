@@ -15,7 +15,7 @@ from ..functions.hof import strings
 from ..operators import alerts, anomaly, cluster, enrich, entities, features, graph, quality, upsert
 from ..operators.features import COUPLE, KEY
 from ..sources import html, landed, xml
-from . import lenses, normalise, temporal
+from . import lenses, normalise, normalise_sql, temporal
 from .lenses import EFFECTS, RAW_SQL, SERIES_SQL, SYMPTOMS, raw_documents, series, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -661,13 +661,13 @@ def _raw_records(spark, d):
     return r.withColumns(ids).drop("text", "source_id")
 
 
-@query()
+@query(normalise_sql.NORMALISED)
 def normalised_records(spark, d):
     scores = spark.createDataFrame([(k, 0.1 * i, "hub") for i, k in enumerate(graph.VARIANTS)], "source string, authority_score double, source_type string")
     return normalise.normalise(_raw_records(spark, d), scores=scores)
 
 
-@query()
+@query(normalise_sql.MENTIONS)
 def enriched_mentions(spark, d):
     raw = _raw_records(spark, d)
     signals = temporal.signals(raw).withColumn("ord", F.monotonically_increasing_id())
