@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hof import let
 from .features import COUPLE, upper_fence
+from .near import neighbours
 
 
 def window_width(n: Column) -> Column:
@@ -129,44 +130,7 @@ def isolation_forest(df: DataFrame, features: list[str], trees: int = 100, rows:
     return scored.crossJoin(F.broadcast(fence)).withColumn("if_anomaly", (F.col("if_score") > F.col("_fence")).cast("int")).drop("_fence")
 
 
-# ---- neighbours and local outlier factor ----
-
-
-def neighbours(points: DataFrame, key: str, features: list[str], k: int, tile: int = 2048) -> DataFrame:
-    """(key, neighbour, distance, rank): the k nearest other points, equal distances by key.
-
-    Tiles of points are compared pairwise in Arrow batches; each keeps its k best a point, and the best of all tiles are
-    ranked at the end: no task holds more than two tiles and no pairs beyond k a tile are written.
-    """
-    tiles = max(1, -(-points.count() // tile))
-    p = points.select(F.col(key).cast("string").alias("key"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
-    p = p.withColumn("own", F.pmod(F.xxhash64("key"), F.lit(tiles)).cast("int"))
-    other = F.sequence(F.lit(0), F.lit(tiles - 1))
-    ask = p.select(F.explode(F.transform(other, lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))).alias("t"), F.lit(0).alias("side"), "key", "x")
-    give = p.select(F.explode(F.transform(other, lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))).alias("t"), F.lit(1).alias("side"), "key", "x")
-    both = ask.unionByName(give).select("t.i", "t.j", "side", "key", "x")
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values("key")
-        if not len(a) or not len(b):
-            return pd.DataFrame({"key": [], "neighbour": [], "distance": []}).astype({"key": str, "neighbour": str, "distance": float})
-        x, y = np.stack(a.x.to_numpy()), np.stack(b.x.to_numpy())
-        names, own = b.key.to_numpy(), a.key.to_numpy()
-        out = []
-        for low in range(0, len(x), 512):
-            d = np.zeros((len(x[low : low + 512]), len(y)))
-            for c in range(x.shape[1]):
-                d += (x[low : low + 512, c, None] - y[None, :, c]) ** 2
-            d[own[low : low + 512, None] == names[None, :]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            for r in range(len(best)):
-                near = best[r][np.isfinite(d[r, best[r]])]
-                out.append(pd.DataFrame({"key": own[low + r], "neighbour": names[near], "distance": np.sqrt(d[r, near])}))
-        return pd.concat(out, ignore_index=True)
-
-    found = both.groupBy("i", "j").applyInPandas(nearest, "key string, neighbour string, distance double")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("distance", "neighbour"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+# ---- local outlier factor ----
 
 
 def local_outlier_factor(points: DataFrame, key: str, features: list[str], k: int = 30, threshold: float = 1.5) -> DataFrame:
@@ -178,5 +142,3 @@ def local_outlier_factor(points: DataFrame, key: str, features: list[str], k: in
     around = near.join(density.withColumnRenamed("key", "neighbour").withColumnRenamed("density", "near_density"), "neighbour").groupBy("key").agg(F.avg("near_density").alias("around"))
     lof = around.join(density, "key").select(F.col("key"), (F.col("around") / F.col("density")).alias("lof_score"))
     return lof.withColumn("is_anomaly", F.col("lof_score") > threshold)
-
-

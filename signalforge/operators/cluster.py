@@ -10,8 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .anomaly import neighbours
 from .features import COUPLE, KEY
+from .near import neighbours
 
 #: Couples that Ward and the density hierarchy take in one task: their work grows with the square, their memory in proportion.
 EXACT_ROWS = 30_000

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from signalforge import lexicon
 from signalforge.functions import dates as D
 from signalforge.functions import text as T
-from signalforge.operators import alerts, anomaly, cluster, enrich, entities, features, graph, quality, upsert
+from signalforge.operators import alerts, anomaly, cluster, enrich, entities, features, graph, near, quality, stored, upsert
 from signalforge.plans import normalise, temporal
 from signalforge.sources import html, landed, xml
 from signalforge.streaming import increment
@@ -161,16 +161,50 @@ def test_upserts_are_idempotent(spark):
 def test_lof_and_neighbours(spark):
     grid = [(f"{x:02d}{y:02d}", float(x), float(y)) for x in range(12) for y in range(12)] + [("far", 40.0, 40.0)]
     d = spark.createDataFrame(grid, "key string, x double, y double")
-    near = anomaly.neighbours(d, "key", ["x", "y"], 5, tile=40).collect()
+    found = near.neighbours(d, "key", ["x", "y"], 5, tile=40, cell=20).collect()
     points = {k: np.array([x, y]) for k, x, y in grid}
     for key in ("0000", "0506", "far"):
-        got = [(r.neighbour, r.distance) for r in sorted((r for r in near if r.key == key), key=lambda r: r.rank)]
+        got = [(r.neighbour, r.distance) for r in sorted((r for r in found if r.key == key), key=lambda r: r.rank)]
         want = sorted(((float(np.sqrt(((p - points[key]) ** 2).sum())), k) for k, p in points.items() if k != key))[:5]
         assert got == [(k, v) for v, k in want]
     lof = {r.key: r for r in anomaly.local_outlier_factor(d, "key", ["x", "y"], 10).collect()}
     assert lof["far"].is_anomaly and 0.9 < lof["0506"].lof_score < 1.1
 
 
+def test_neighbours_of_crowds_and_odd_points(spark):
+    """Equal points, ties, far points, points without a place; fewer points than neighbours asked for."""
+    rng = np.random.default_rng(4)
+    rows = [(f"p{k:03d}", *map(float, np.round(rng.normal(size=2) * (1 if k % 5 else 30), 1))) for k in range(260)] + [(f"same{k:03d}", 0.5, 0.5) for k in range(130)]
+    rows += [("null", None, 1.0), ("nan", float("nan"), 1.0), ("inf", float("inf"), 1.0)]
+    d = spark.createDataFrame(rows, "key string, x double, y double").repartition(5)
+    points = {k: np.array([x, y]) for k, x, y in rows[:-3]}
+    for k, few in ((7, None), (3, 2)):
+        some = d.filter(F.col("key") < "p002") if few else d
+        got = {}
+        for r in near.neighbours(some, "key", ["x", "y"], k, tile=50, cell=15).collect():
+            got.setdefault(r.key, []).append((r.rank, r.distance, r.neighbour))
+        own = {n: v for n, v in points.items() if not few or n < "p002"}
+        for name, at in own.items():
+            want = sorted((float(np.sqrt((v[0] - at[0]) ** 2 + (v[1] - at[1]) ** 2)), n) for n, v in own.items() if n != name)[:k]
+            assert sorted(got[name]) == [(j + 1, *w) for j, w in enumerate(want)]
+        assert set(got) == set(own)
+    assert near.neighbours(d.filter("false"), "key", ["x", "y"], 3).count() == 0
+
+
+def test_places_sent_grow_with_the_points(spark):
+    """Four times the points, four times the rows that are sent to cells: not sixteen times."""
+    sent = []
+    for n in (2000, 8000):
+        x = np.random.default_rng(n).normal(size=(n, 2))
+        d = spark.createDataFrame([(f"{k}", [float(a), float(b)]) for k, (a, b) in enumerate(x)], "key string, x array<double>")
+        places = stored.stored(near.places_of(d, 6), "test-places")
+        centres = near.pivots(places, 64)
+        cells = stored.stored(near.in_cells(places, centres), "test-cells")
+        sent.append(near.reaching(cells.select("id", "x"), centres, sum(near.bounds(cells, centres, 5))).count())
+        stored.discard(places, cells)
+    assert sent[0] < 40 * 2000 and sent[1] < 6 * sent[0]
+
+
 def test_isolation_forest(spark):
     rng = np.random.default_rng(0)
     rows = [(k, *map(float, rng.normal(size=3))) for k in range(600)] + [(9000, 9.0, 9.0, 9.0)]
