@@ -10,8 +10,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import density, near
 from .features import COUPLE, KEY
-from .near import neighbours
+from .stored import stored
 
 #: Couples that Ward and the density hierarchy take in one task: their work grows with the square, their memory in proportion.
 EXACT_ROWS = 30_000
@@ -106,94 +107,21 @@ def principal(df: DataFrame, columns: list[str], keep: float = 0.95) -> tuple[Da
     return model.transform(v).withColumn("pc", F.slice(vector_to_array("_pc"), 1, n)).drop("_v", "_pc"), n
 
 
-def density_labels(x: np.ndarray, core: np.ndarray, least: int) -> np.ndarray:
-    """Clusters of most excess of mass in the hierarchy of mutual reachability; -1 outside, numbered by their first member."""
-    n = len(x)
-    if n < 2:
-        return np.full(n, -1)
-    inside, best, best_from, edges, at = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), [], 0
-    inside[0] = True
-    for _ in range(n - 1):  # Prim's tree over the complete graph, row by row
-        d = np.maximum(np.sqrt(((x - x[at]) ** 2).sum(axis=1)), np.maximum(core, core[at]))
-        closer = ~inside & (d < best)
-        best[closer], best_from[closer] = d[closer], at
-        at = int(np.argmin(np.where(inside, np.inf, best)))
-        edges.append((best[at], int(best_from[at]), at))
-        inside[at] = True
-    edges.sort()
-    parent, members = list(range(2 * n - 1)), {i: 1 for i in range(n)}
-    children, level = {}, {}
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for k, (d, a, b) in enumerate(edges):
-        a, b, new = find(a), find(b), n + k
-        children[new], level[new], members[new] = (a, b), 1.0 / d if d > 0 else np.inf, members[a] + members[b]
-        parent[a] = parent[b] = new
-    top, clusters, born, mass, below = 2 * n - 2, [], {}, {}, {}
-    owner = {}
-    stack = [(top, 0)]
-    born[0], mass[0], below[0] = 0.0, 0.0, []
-    clusters.append(top)
-    while stack:  # condense: a split into two large parts makes two clusters, smaller parts fall out
-        at, c = stack.pop()
-        if at < n:
-            owner[at] = c
-            continue
-        a, b = children[at]
-        lam = min(level[at], 1e12)
-        large = [s for s in (a, b) if members[s] >= least]
-        for s in (a, b):
-            if len(large) == 2:
-                clusters.append(s)
-                new = len(clusters) - 1
-                born[new], mass[new], below[new] = lam, 0.0, []
-                below[c].append(new)
-                mass[c] += members[s] * (lam - born[c])
-                stack.append((s, new))
-            elif s in large:
-                stack.append((s, c))
-            else:
-                mass[c] += members[s] * (lam - born[c])
-                inner = [s]
-                while inner:
-                    i = inner.pop()
-                    if i < n:
-                        owner[i] = c
-                    else:
-                        inner += children[i]
-    chosen, total = {}, {}
-    for c in range(len(clusters) - 1, -1, -1):
-        under = sum(total[s] for s in below[c])
-        chosen[c] = c != 0 and mass[c] >= under
-        total[c] = mass[c] if chosen[c] else under
-    final = {}
-    for c in range(len(clusters)):
-        up = next((final[p] for p in range(c) if c in below[p]), None)
-        final[c] = up if up is not None else (c if chosen[c] else None)
-    found = [final[owner[i]] for i in range(n)]
-    order = {c: r for r, c in enumerate(dict.fromkeys(f for f in found if f is not None))}
-    return np.array([-1 if f is None else order[f] for f in found])
-
-
-def hdbscan(df: DataFrame, columns: list[str], least: int = 100, samples: int = 20, rows: int = EXACT_ROWS) -> DataFrame:
-    """df with hdbscan_cluster: -1 outliers. Core distances come from the distributed neighbours; the hierarchy is exact and built in
-    one task over at most `rows` couples; more are an error."""
-    d = _numbered(df, rows)
-    points = d.select("_member", *columns)
-    near = neighbours(points, "_member", columns, samples).groupBy("key").agg(F.max("distance").alias("_core"))
-    points = points.join(near.withColumn("_member", F.col("key").cast("int")).drop("key"), "_member", "left").fillna(0.0, ["_core"])
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_member")
-        return pd.DataFrame({"_member": pdf["_member"].to_numpy(), "hdbscan_cluster": density_labels(pdf[columns].to_numpy(float), pdf["_core"].to_numpy(float), least)})
-
-    labels = points.groupBy(F.lit(1).alias("_g")).applyInPandas(label, "_member int, hdbscan_cluster int")
-    return d.join(labels, "_member", "left").drop("_member")
+def hdbscan(df: DataFrame, columns: list[str], least: int = 100, samples: int = 20, cell: int = near.CELL) -> DataFrame:
+    """df with hdbscan_cluster: density clusters, numbered by their first couple; -1 outside, and where a coordinate is no number."""
+    x = F.array(*[F.col(c).cast("double") for c in columns])
+    d = stored(df.withColumn("_member", F.monotonically_increasing_id()).withColumn("_x", x), "couples")
+    core = near.neighbours(d, "_member", columns, samples, cell=cell).groupBy(F.col("key").cast("long").alias("_member")).agg(F.max("distance").alias("_core"))
+    # a point of its own has no neighbour and core 0; equal points have equal cores
+    members = d.filter(F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v))).select("_member", "_x").join(core, "_member", "left").fillna(0.0, ["_core"])
+    places = members.groupBy(F.col("_x").alias("x")).agg(F.max("_core").alias("core"), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id())
+    places = stored(places, "density-places")
+    found = density.labelled(places, density.spanning_tree(places.select("id", "x", "core"), cell), least)
+    by_place = places.select("id", F.col("x").alias("_x")).join(found, "id").select("_x", "cluster").filter("cluster IS NOT NULL")
+    d = stored(d.join(by_place, "_x", "left").drop("_x", "_member"), "density-clusters")
+    firsts = d.filter("cluster IS NOT NULL").groupBy("cluster").agg(F.min(F.struct(*COUPLE)).alias("_first")).orderBy("_first").collect()  # as many as clusters
+    number = d.sparkSession.createDataFrame([(r.cluster, k) for k, r in enumerate(firsts)], "cluster int, hdbscan_cluster int")
+    return d.join(F.broadcast(number), "cluster", "left").drop("cluster").fillna(-1, ["hdbscan_cluster"])
 
 
 def to_periods(series: DataFrame, labelled: DataFrame, name: str, default: int | None = None) -> DataFrame:
