@@ -3,21 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import density, near
+from . import ward as ward_tree
 from .features import COUPLE, KEY
 from .stored import stored
 
-#: Couples that Ward and the density hierarchy take in one task: their work grows with the square, their memory in proportion.
-EXACT_ROWS = 30_000
-
-
 def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="_v").transform(df)
 
@@ -33,69 +29,27 @@ def kmeans(df: DataFrame, columns: list[str], k: int = 4, starts: int = 10, seed
     return best.transform(v).withColumn(name, number[F.col("_p")]).drop("_v", "_p")
 
 
-def ward_labels(x: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Ward's clusters by nearest-neighbour chains over weighted points, numbered by their first member."""
-    n = len(x)
-    centre, size, alive = x.astype(float).copy(), weights.astype(float).copy(), np.ones(n, bool)
-    merges, chain = [], []
-
-    def cost(i: int) -> np.ndarray:
-        d = ((centre - centre[i]) ** 2).sum(axis=1) * size * size[i] / (size + size[i])
-        d[~alive] = np.inf
-        d[i] = np.inf
-        return d
-
-    for _ in range(n - 1):
-        if not chain:
-            chain = [int(np.argmax(alive))]
-        while True:
-            d = cost(chain[-1])
-            near = int(np.argmin(d))
-            if len(chain) > 1 and d[chain[-2]] <= d[near]:
-                break
-            chain.append(near)
-        b, a = sorted(chain[-2:])
-        merges.append((float(cost(a)[b]), b, a))
-        del chain[-2:]
-        centre[b] = (centre[a] * size[a] + centre[b] * size[b]) / (size[a] + size[b])
-        size[b] += size[a]
-        alive[a] = False
-    merges.sort(key=lambda m: m[0])
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for _, a, b in merges[: max(0, n - k)]:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    tops = [find(i) for i in range(n)]
-    rank = {t: r for r, t in enumerate(sorted(set(tops)))}
-    return np.array([rank[t] for t in tops])
-
-
-def _numbered(df: DataFrame, rows: int) -> DataFrame:
-    """df with _member, the place of its couple; an error if there are more rows than the one task of a hierarchy is given."""
-    n = df.count()
-    if n > rows:
-        raise ValueError(f"{n} couples: the hierarchy is exact and built in one task, which takes {rows} (parameter rows)")
-    return df.withColumn("_member", F.row_number().over(Window.orderBy(*COUPLE)))
-
-
-def ward(df: DataFrame, columns: list[str], k: int = 4, rows: int = EXACT_ROWS) -> DataFrame:
-    """df with agglo_cluster: exact Ward, in one task over at most `rows` couples; more are an error."""
-    d = _numbered(df, rows)
-    points = d.select("_member", F.lit(1).alias("_w"), *columns)
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_member")
-        return pd.DataFrame({"_member": pdf["_member"].to_numpy(), "agglo_cluster": ward_labels(pdf[columns].to_numpy(float), pdf["_w"].to_numpy(float), k)})
-
-    labels = points.groupBy(F.lit(1).alias("_g")).applyInPandas(label, "_member int, agglo_cluster int")
-    return d.join(labels, "_member", "left").drop("_member")
+def _places(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(df with its point _x, the different points as (id, x, n)); couples without one, a coordinate being no number, have no place."""
+    x = F.array(*[F.col(c).cast("double") for c in columns])
+    d = stored(df.withColumn("_x", F.when(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v)), x)), "couples")
+    places = d.filter("_x IS NOT NULL").groupBy(F.col("_x").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    return d, stored(places.withColumn("id", F.monotonically_increasing_id()), "couple-places")
+
+
+def _named(d: DataFrame, places: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """d with the cluster of its place, clusters being numbered by their first couple."""
+    by_place = places.select("id", F.col("x").alias("_x")).join(found.filter("cluster IS NOT NULL"), "id").select("_x", "cluster")
+    d = stored(d.join(by_place, "_x", "left").drop("_x"), "clustered")
+    firsts = d.filter("cluster IS NOT NULL").groupBy("cluster").agg(F.min(F.struct(*COUPLE)).alias("_first")).orderBy("_first").collect()  # as many as clusters
+    number = d.sparkSession.createDataFrame([(r.cluster, k) for k, r in enumerate(firsts)], f"cluster long, {name} int")
+    return d.join(F.broadcast(number), "cluster", "left").drop("cluster")
+
+
+def ward(df: DataFrame, columns: list[str], k: int = 4, **options) -> DataFrame:
+    """df with agglo_cluster: Ward's k clusters; null where a coordinate is no number."""
+    d, places = _places(df, columns)
+    return _named(d, places, ward_tree.labelled(places, k, **options), "agglo_cluster")
 
 
 def principal(df: DataFrame, columns: list[str], keep: float = 0.95) -> tuple[DataFrame, int]:
@@ -108,20 +62,15 @@ def principal(df: DataFrame, columns: list[str], keep: float = 0.95) -> tuple[Da
 
 
 def hdbscan(df: DataFrame, columns: list[str], least: int = 100, samples: int = 20, cell: int = near.CELL) -> DataFrame:
-    """df with hdbscan_cluster: density clusters, numbered by their first couple; -1 outside, and where a coordinate is no number."""
-    x = F.array(*[F.col(c).cast("double") for c in columns])
-    d = stored(df.withColumn("_member", F.monotonically_increasing_id()).withColumn("_x", x), "couples")
-    core = near.neighbours(d, "_member", columns, samples, cell=cell).groupBy(F.col("key").cast("long").alias("_member")).agg(F.max("distance").alias("_core"))
-    # a point of its own has no neighbour and core 0; equal points have equal cores
-    members = d.filter(F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v))).select("_member", "_x").join(core, "_member", "left").fillna(0.0, ["_core"])
-    places = members.groupBy(F.col("_x").alias("x")).agg(F.max("_core").alias("core"), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id())
-    places = stored(places, "density-places")
+    """df with hdbscan_cluster: density clusters; -1 outside, and where a coordinate is no number."""
+    d, places = _places(df, columns)
+    # equal points have equal cores: each place is asked for as often as it has points, up to `samples` + 1
+    members = places.select("id", F.posexplode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(samples + 1)).cast("int") - 1)).alias("_at", "_k"), "x")
+    members = members.select(F.concat_ws(":", "id", "_k").alias("_member"), *[F.get("x", k).alias(c) for k, c in enumerate(columns)])
+    far = near.neighbours(members, "_member", columns, samples, cell=cell).groupBy(F.split_part("key", F.lit(":"), F.lit(1)).cast("long").alias("id")).agg(F.max("distance").alias("core"))
+    places = stored(places.join(far, "id", "left").fillna(0.0, ["core"]), "density-places")  # one point alone has no neighbour
     found = density.labelled(places, density.spanning_tree(places.select("id", "x", "core"), cell), least)
-    by_place = places.select("id", F.col("x").alias("_x")).join(found, "id").select("_x", "cluster").filter("cluster IS NOT NULL")
-    d = stored(d.join(by_place, "_x", "left").drop("_x", "_member"), "density-clusters")
-    firsts = d.filter("cluster IS NOT NULL").groupBy("cluster").agg(F.min(F.struct(*COUPLE)).alias("_first")).orderBy("_first").collect()  # as many as clusters
-    number = d.sparkSession.createDataFrame([(r.cluster, k) for k, r in enumerate(firsts)], "cluster int, hdbscan_cluster int")
-    return d.join(F.broadcast(number), "cluster", "left").drop("cluster").fillna(-1, ["hdbscan_cluster"])
+    return _named(d, places, found, "hdbscan_cluster").fillna(-1, ["hdbscan_cluster"])
 
 
 def to_periods(series: DataFrame, labelled: DataFrame, name: str, default: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalforge.operators import cluster, density
+from signalforge.operators import cluster, density, ward
 
 
 def brute(x, least, samples):
@@ -104,3 +104,35 @@ def test_odd_points(spark):
     d = frame(spark, np.zeros((3, 2))).unionByName(frame(spark, np.zeros((1, 2))).withColumn("x", F.lit(None).cast("double")).withColumn("side_effect", F.lit("null")))
     assert {r.hdbscan_cluster for r in cluster.hdbscan(d, ["x", "y"], 2, 2).collect()} == {-1}
     assert cluster.hdbscan(d.filter("false"), ["x", "y"], 2, 2).count() == 0
+
+
+def ward_by_hand(x, k):
+    """The cheapest pair of all joined, again and again."""
+    groups = [[i] for i in range(len(x))]
+
+    def cost(a, b):
+        return len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(axis=0) - x[b].mean(axis=0)) ** 2).sum()
+
+    while len(groups) > k:
+        i, j = min(((i, j) for i in range(len(groups)) for j in range(i)), key=lambda p: cost(groups[p[0]], groups[p[1]]))
+        groups[j] += groups.pop(i)
+    order = {i: r for r, g in enumerate(sorted(map(sorted, groups))) for i in g}
+    return [order[i] for i in range(len(x))]
+
+
+@pytest.mark.parametrize("local", [6, 1024])
+def test_ward_equals_brute_force(spark, local):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(45, 2)), np.full((7, 2), 0.25), rng.normal(3, 0.1, size=(8, 2))])
+    got = [r.agglo_cluster for r in cluster.ward(frame(spark, x), ["x", "y"], k=5, local=local, cell=10, tile=20).orderBy("side_effect").collect()]
+    assert got == ward_by_hand(x, 5)
+
+
+def test_ward_joins_many_ties_at_once(spark):
+    x = np.array([(k, 0) for k in range(64)], float)
+    places = frame(spark, x).select(F.col("side_effect").cast("long").alias("id"), F.array("x", "y").alias("x"), F.lit(1).alias("n"))
+    rows = ward.joins(places, local=8, cell=16).collect()
+    assert len(rows) == 63 and sum(r.turn == 0 for r in rows) > 10
+    d = frame(spark, x[:1])
+    assert [r.agglo_cluster for r in cluster.ward(d, ["x", "y"]).collect()] == [0]
+    assert cluster.ward(d.filter("false"), ["x", "y"]).count() == 0

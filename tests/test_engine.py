@@ -229,9 +229,6 @@ def test_clusterers_find_blobs(spark):
     d = blobs(spark)
     assert agrees(cluster.kmeans(d, ["x", "y"], starts=3).collect(), "kmeans_cluster")
     assert agrees(cluster.ward(d, ["x", "y"]).collect(), "agglo_cluster")
-    for clusterer in (cluster.ward, cluster.hdbscan):  # no other algorithm takes over beyond the bound
-        with pytest.raises(ValueError, match="240 couples"):
-            clusterer(d, ["x", "y"], rows=50)
     found = cluster.hdbscan(d, ["x", "y"], least=20, samples=5).filter("hdbscan_cluster >= 0").collect()
     assert agrees(found, "hdbscan_cluster") and len(found) > 200
     assert cluster.silhouette(d, ["x", "y"], "blob") > 0.7
@@ -241,21 +238,6 @@ def test_clusterers_find_blobs(spark):
     assert n == 2 and len(out.first().pc) == 2
 
 
-def test_ward_equals_brute_force():
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(14, 2))
-    groups = [[i] for i in range(len(x))]
-
-    def cost(a, b):
-        return len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(axis=0) - x[b].mean(axis=0)) ** 2).sum()
-
-    while len(groups) > 4:
-        i, j = min(((i, j) for i in range(len(groups)) for j in range(i)), key=lambda p: cost(groups[p[0]], groups[p[1]]))
-        groups[j] += groups.pop(i)
-    got = cluster.ward_labels(x, np.ones(len(x)), 4)
-    assert sorted(map(sorted, groups)) == sorted(sorted(np.flatnonzero(got == g).tolist()) for g in set(got.tolist()))
-
-
 def test_monograph_and_effects():
     page = '<h1>Aspirin®</h1><div id="why"><p>Aspirin is in a class of medications called salicylates. It is used for pain and fever.</p></div><div id="side-effects"><ul><li>nausea; heartburn</li></ul><h3>Serious ones</h3><p>hives, rash</p><p>call your doctor</p></div>'
     r = html.drug_record(page)
