@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hof import let
-from .features import COUPLE, upper_fence
+from .features import COUPLE, fence_of
 from .near import neighbours
+from .stored import stored
 
 
 def window_width(n: Column) -> Column:
@@ -125,9 +126,8 @@ def isolation_forest(df: DataFrame, features: list[str], trees: int = 100, rows:
                 total += depth + _mean_path(tree[at, 4])
             yield pd.Series(2.0 ** (-total / max(len(shared.value), 1) / max(float(_mean_path(np.array([size]))[0]), 1e-9)))
 
-    scored = df.withColumn("if_score", score(*[F.col(c).cast("double") for c in features]))
-    fence = scored.agg(upper_fence(F.col("if_score")).alias("_fence"))
-    return scored.crossJoin(F.broadcast(fence)).withColumn("if_anomaly", (F.col("if_score") > F.col("_fence")).cast("int")).drop("_fence")
+    scored = stored(df.withColumn("if_score", score(*[F.col(c).cast("double") for c in features])), "forest-scores")
+    return scored.withColumn("if_anomaly", (F.col("if_score") > F.lit(fence_of(scored, "if_score")).cast("double")).cast("int"))
 
 
 # ---- local outlier factor ----

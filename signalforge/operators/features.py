@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import discard, stored
+
 COUPLE = ["drug", "side_effect"]
 KEY = [*COUPLE, "period"]
 ROW_FEATURES = ["mention_count", "mean_count", "std_count", "total_mentions", "num_periods", "month"]
@@ -53,8 +56,43 @@ def scaled(df: DataFrame, columns: list[str], digits: int | None = None) -> Data
     return out.drop(*[f"_{k}_{c}" for c in columns for k in "ms"])
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], parts: int | None = None) -> list[float | None]:
+    """Interpolated quantiles of a column by rank selection: no task holds more than a range of the different values.
+
+    Equal values are counted first, so a value that a third of the rows have is one row. The counts are dealt by range, summed a range, and only
+    the ranges that hold a wanted rank are looked into. None without values; nulls and NaN are left out.
+    """
+    spark = df.sparkSession
+    value = F.col(column).cast("double")
+    counts = df.select(value.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = stored(counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()), "value-ranges")
+    sizes = ranges.groupBy("part").agg(F.sum("n").alias("n"), F.min("v").alias("least")).orderBy("least").collect()  # a row a range
+    total = sum(r.n for r in sizes)
+    if not total:
+        return [None] * len(shares)
+    places = [share * (total - 1) for share in shares]
+    wanted = sorted({int(np.floor(p)) for p in places} | {int(np.ceil(p)) for p in places})
+    before = {r.part: int(b) for r, b in zip(sizes, np.cumsum([0] + [r.n for r in sizes[:-1]]), strict=True)}
+    held = {r.part for r in sizes if any(before[r.part] <= k < before[r.part] + r.n for k in wanted)}
+    first = spark.createDataFrame([(part, before[part]) for part in held], "part int, before long")
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("v")) + F.col("before")
+    ranked = ranges.join(F.broadcast(first), "part").withColumn("last", upto).withColumn("first", F.col("last") - F.col("n"))
+    at = ranked.select("v", "first", "last").filter(F.exists(F.array(*[F.lit(k) for k in wanted]), lambda k: (F.col("first") <= k) & (k < F.col("last")))).collect()
+    discard(ranges)
+    found = {k: next(r.v for r in at if r.first <= k < r.last) for k in wanted}
+    between = lambda p, low, high: found[low] if low == high else (high - p) * found[low] + (p - low) * found[high]
+    return [float(between(p, int(np.floor(p)), int(np.ceil(p)))) for p in places]
+
+
+def fence_of(df: DataFrame, column: str) -> float | None:
+    """Tukey's upper fence of all of a column."""
+    low, high = exact_quantiles(df, column, [0.25, 0.75])
+    return None if low is None else high + 1.5 * (high - low)
+
+
 def upper_fence(values: Column) -> Column:
-    """Tukey's upper fence as an aggregate, quartiles interpolated."""
+    """Tukey's upper fence of each group as an aggregate, quartiles interpolated; of a whole table fence_of() is the one to use."""
     quartiles = F.percentile(values, [0.25, 0.75])
     return quartiles[1] + 1.5 * (quartiles[1] - quartiles[0])
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stored import discard, scratch, stored
+
 # Who cites whom, and how sources are called.
 CITATIONS = [
     ("medlineplus", "pubmed"), ("medlineplus", "clinicaltrials"), ("medlineplus", "openfda"), ("webmd", "pubmed"), ("webmd", "clinicaltrials"), ("webmd", "openfda"),
@@ -21,33 +26,71 @@ def citations(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CITATIONS, "hub string, authority string")
 
 
-def hits(edges: DataFrame, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
+def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(hub, authority) of pages: each page's host and what its links name: the host of a whole address, else the path as it is written."""
+    host = lambda c: F.lower(F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    found = pages.select(host(F.col(url)).alias("hub"), F.explode(F.regexp_extract_all(F.col(html), F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))).alias("_to"))
+    target = F.when(F.col("_to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), host(F.col("_to"))).otherwise(F.regexp_extract("_to", r"^[^?#]*", 0))
+    return found.select("hub", target.alias("authority")).filter("hub <> '' AND authority <> '' AND hub <> authority").distinct()
+
+
+def write_graph(edges: DataFrame, path: str) -> None:
+    """Node and edge tables: nodes with their numbers of links out and in, edges once each. Written anew: a rerun leaves the same tables."""
+    edges = stored(edges.dropna().distinct(), "edges")
+    out = edges.groupBy(F.col("hub").alias("node")).agg(F.count(F.lit(1)).alias("links_out"))
+    into = edges.groupBy(F.col("authority").alias("node")).agg(F.count(F.lit(1)).alias("links_in"))
+    out.join(into, "node", "full").fillna(0, ["links_out", "links_in"]).write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+    discard(edges)
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """The scores beside the graph's tables, in place of earlier ones."""
+    scores.write.mode("overwrite").parquet(f"{path}/scores")
+
+
+def hits(edges: DataFrame, iterations: int = 100, tolerance: float = 1e-6, every: int = 4) -> DataFrame:
     """(source, authority_score, hub_score, source_type) of a graph (hub, authority), scores over their maximum, 4 digits.
 
-    Power iteration by joins. Every few steps the scores are checkpointed where a checkpoint folder is set, so the plan stays
-    short and survives lost executors; only the step's change comes to the driver.
+    Power iteration. The edges are written once, dealt and sorted by hub and by authority (bucketed tables), so a step shuffles sums for nodes but
+    no edges. Steps are planned `every` at a time and written; only norms and the change since the last ones come to the driver.
     """
     spark = edges.sparkSession
-    edges = edges.dropna().distinct().cache()
-    nodes = edges.select(F.col("hub").alias("node")).union(edges.select("authority")).distinct()
+    name = f"hits_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = stored(edges.dropna().distinct(), "edges")
+    for end in ("hub", "authority"):
+        base.write.bucketBy(parts, end).sortBy(end).option("path", f"{scratch(spark)}/{name}_{end}").saveAsTable(f"{name}_{end}")
+    by_hub, by_authority = spark.table(f"{name}_hub"), spark.table(f"{name}_authority")
+    nodes = stored(base.select(F.col("hub").alias("node")).union(base.select("authority")).distinct(), "nodes")
     scores = nodes.select("node", F.lit(1.0).alias("a"), F.lit(1.0).alias("h"))
-    durable = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-
-    def step(s: DataFrame) -> DataFrame:
-        a = edges.join(s.select(F.col("node").alias("hub"), "h"), "hub").groupBy("authority").agg(F.sum("h").alias("a"))
-        h = edges.join(a, "authority").groupBy("hub").agg(F.sum("a").alias("h"))
-        new = s.select("node", F.col("a").alias("a0"), F.col("h").alias("h0")).join(a.withColumnRenamed("authority", "node"), "node", "left").join(h.withColumnRenamed("hub", "node"), "node", "left").fillna(0.0, ["a", "h"])
-        norm = new.agg(F.sqrt(F.sum(F.col("a") ** 2)).alias("na"), F.sqrt(F.sum(F.col("h") ** 2)).alias("nh"))
-        unit = lambda x, n: F.when(F.col(n) > 0, F.col(x) / F.col(n)).otherwise(0.0).alias(x)
-        return new.crossJoin(F.broadcast(norm)).select("node", unit("a", "na"), unit("h", "nh"), "a0", "h0")
-
-    for _ in range(iterations):
-        stepped = step(scores)
-        stepped = stepped.checkpoint() if durable else stepped.cache()
-        change = stepped.agg(F.sqrt(F.sum((F.col("a") - F.col("a0")) ** 2)) + F.sqrt(F.sum((F.col("h") - F.col("h0")) ** 2))).first()[0]
-        scores = stepped.select("node", "a", "h")
-        if change is None or change < tolerance:
+    done = 0
+    while done < iterations:
+        h = scores.select(F.col("node").alias("hub"), "h")
+        for _ in range(min(every, iterations - done)):  # scaling changes no direction: the sums of a few steps are scaled at once
+            a = by_hub.join(h, "hub").groupBy("authority").agg(F.sum("h").alias("a"))
+            h = by_authority.join(a, "authority").groupBy("hub").agg(F.sum("a").alias("h"))
+            done += 1
+        both = nodes.join(a.withColumnRenamed("authority", "node"), "node", "left").join(h.withColumnRenamed("hub", "node"), "node", "left").fillna(0.0, ["a", "h"])
+        sums = stored(both.join(scores.withColumnsRenamed({"a": "a0", "h": "h0"}), "node"), "scores")
+        dot = lambda x, y: F.sum(F.col(x) * F.col(y))
+        s = sums.agg(*[dot(x, y).alias(x + y) for x, y in (("a", "a"), ("h", "h"), ("a", "a0"), ("h", "h0"), ("a0", "a0"), ("h0", "h0"))]).first()
+        norm = {"a": math.sqrt(s.aa or 0), "h": math.sqrt(s.hh or 0)}
+        unit = lambda x: (F.col(x) / norm[x] if norm[x] else F.lit(0.0)).alias(x)  # noqa: E731, B023
+        new = sums.select("node", unit("a"), unit("h"))
+        gone = lambda x: math.sqrt(max(0.0, (1 - 2 * s[f"{x}{x}0"] / norm[x] if norm[x] else 0.0) + (s[f"{x}0{x}0"] or 0)))  # noqa: E731, B023
+        change = gone("a") + gone("h")
+        scores = new
+        if change < tolerance:
             break
+    for end in ("hub", "authority"):
+        discard(spark.table(f"{name}_{end}"))
+        spark.sql(f"DROP TABLE {name}_{end}")
+    discard(base)
     top = scores.agg(F.max("a").alias("ma"), F.max("h").alias("mh"))
     over = lambda x, m: F.bround(F.when(F.col(m) > 0, F.col(x) / F.col(m)).otherwise(0.0), 4)
     out = scores.crossJoin(F.broadcast(top)).select(F.col("node").alias("source"), over("a", "ma").alias("authority_score"), over("h", "mh").alias("hub_score"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from ..functions import text as T
 from ..functions.hof import strings
 from ..operators import alerts, anomaly, cluster, enrich, entities, features, graph, near, quality, upsert
 from ..operators.features import COUPLE, KEY
+from ..operators.stored import scratch
 from ..sources import html, landed, xml
 from . import lenses, normalise, normalise_sql, temporal
 from .lenses import EFFECTS, RAW_SQL, SERIES_SQL, SYMPTOMS, raw_documents, series, table
@@ -80,7 +82,7 @@ def row_features(spark, d):
 
 @query(with_series("medium", "SELECT quantile_cont(mention_count, 0.75) + 1.5 * (quantile_cont(mention_count, 0.75) - quantile_cont(mention_count, 0.25)) AS fence FROM s"))
 def tukey_fence(spark, d):
-    return series(spark, d).agg(features.upper_fence(F.col("mention_count")).alias("fence"))
+    return spark.createDataFrame([(features.fence_of(series(spark, d), "mention_count"),)], "fence double")
 
 
 @query(with_series("medium", "SELECT drug, side_effect, quantile_cont(mention_count, 0.75) + 1.5 * (quantile_cont(mention_count, 0.75) - quantile_cont(mention_count, 0.25)) AS fence FROM s GROUP BY ALL"))
@@ -501,9 +503,35 @@ def hits_sql(edges: str, steps: int) -> str:
     return out + f", r AS (SELECT node AS source, round_even(a / (SELECT max(a) FROM s{steps}), 4) AS authority_score, round_even(h / (SELECT max(h) FROM s{steps}), 4) AS hub_score FROM s{steps}) SELECT *, CASE WHEN authority_score >= 0.5 THEN 'authority' ELSE 'hub' END AS source_type FROM r"
 
 
-@query(hits_sql("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in graph.CITATIONS) + ") t(hub, authority)", 13))
+CITED = "SELECT hub, authority FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in graph.CITATIONS) + ") t(hub, authority) WHERE hub IN (SELECT replace(source, '.', '') FROM raw) AND authority IN (SELECT replace(source, '.', '') FROM raw)"
+
+
+@query(hits_sql(CITED, 16).replace("WITH RECURSIVE e", f"WITH RECURSIVE raw AS ({RAW_SQL}), e", 1))
 def hits_sources(spark, d):
-    return graph.hits(graph.citations(spark))
+    """Authority of the sources that the records come from."""
+    there = raw_documents(spark, d).select(graph.plain_source(F.col("source")).alias("s")).distinct()
+    cited = graph.citations(spark).join(F.broadcast(there).withColumnRenamed("s", "hub"), "hub", "left_semi").join(F.broadcast(there).withColumnRenamed("s", "authority"), "authority", "left_semi")
+    return graph.hits(cited.select("hub", "authority"))
+
+
+LINKS_SQL = r"""SELECT DISTINCT hub, authority FROM (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS hub,
+ unnest(list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*?href="([^"]*)"', 1), lambda x: CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN lower(regexp_extract(x, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) ELSE regexp_extract(x, '^[^?#]*') END)) AS authority FROM pages)
+ WHERE hub <> '' AND authority <> '' AND hub <> authority"""
+
+
+@query(hits_sql(LINKS_SQL, 8))
+def page_authority(spark, d):
+    """Hosts as hubs and what they link to as authorities, by the links in the pages."""
+    return graph.hits(graph.links(table(spark, d, "pages")), iterations=8, tolerance=0.0)
+
+
+@query(f"WITH e AS ({LINKS_SQL}), o AS (SELECT hub AS node, count(*) AS links_out FROM e GROUP BY ALL), i AS (SELECT authority AS node, count(*) AS links_in FROM e GROUP BY ALL), n AS (SELECT node, coalesce(links_out, 0) AS links_out, coalesce(links_in, 0) AS links_in FROM o FULL JOIN i USING (node)) SELECT hub, authority, b.links_out, c.links_in FROM e JOIN n b ON b.node = hub JOIN n c ON c.node = authority")
+def graph_tables(spark, d):
+    """Edges with their ends' numbers of links, from the node and edge tables as written and read back."""
+    path = f"{scratch(spark)}/graph-{uuid.uuid4().hex}"
+    graph.write_graph(graph.links(table(spark, d, "pages")), path)
+    nodes, edges = graph.read_graph(spark, path)
+    return edges.join(nodes.select(F.col("node").alias("hub"), "links_out"), "hub").join(nodes.select(F.col("node").alias("authority"), "links_in"), "authority").select("hub", "authority", "links_out", "links_in")
 
 
 @query("WITH k AS (SELECT unnest(['pubmed', 'openfda', 'clinicaltrials', 'medlineplus', 'vigiaccess', 'webmd', 'drugscom', 'reddit']) AS k), r AS (SELECT DISTINCT source AS s, replace(lower(source), '.', '') AS p FROM (" + RAW_SQL + ") UNION SELECT '', '' UNION SELECT 'ClinicalTrials.gov', 'clinicaltrialsgov' UNION SELECT 'zzz', 'zzz') SELECT s AS source, min_by(k, (k <> p, k)) AS known FROM r LEFT JOIN k ON contains(k, p) OR contains(p, k) GROUP BY ALL")
@@ -631,9 +659,12 @@ def source_scan(spark, d):
     return landed.scan(spark, f"{d}/documents.parquet", ["src1", "src2"]).filter("text <> ''").select("doc_id", "text")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in landed.CATEGORIES) + ") t(category, atc_code)")
+@query("SELECT category, atc_code, count(p_partkey) AS drugs FROM (VALUES " + ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(landed.CATEGORIES)) + ") t(k, category, atc_code) LEFT JOIN part ON p_partkey % 8 = k GROUP BY ALL")
 def categories(spark, d):
-    return landed.categories(spark)
+    """The categories collected and how many drugs fall into each."""
+    names = F.array(*[F.lit(c) for c, _ in landed.CATEGORIES])
+    drugs = table(spark, d, "part").groupBy(F.element_at(names, (F.col("p_partkey") % 8 + 1).cast("int")).alias("category")).agg(F.count(F.lit(1)).alias("drugs"))
+    return landed.categories(spark).join(drugs, "category", "left").fillna(0, ["drugs"])
 
 
 @query(with_raw("SELECT doc_id, source, drug, r AS event_date, substring(sha1(drug || '|' || source || '|' || r || '|'), 1, 20) AS sig_hash FROM (SELECT doc_id, source, lower(trim(drug_name)) AS drug, CASE review_date WHEN '2020-01-05' THEN '2020-01-05' WHEN '2021/7/9' THEN '2021-07-09' WHEN 'March 5, 2022' THEN '2022-03-05' WHEN '5 Mar 2023' THEN '2023-03-05' WHEN '2024-02-30' THEN '2024-02-01' WHEN 'seen 2021-11-02 again' THEN '2021-11-02' WHEN '2025' THEN '2025-01-01' END AS r FROM raw) WHERE r IS NOT NULL AND source IN ('reddit', 'openfda', 'drugs.com')"))

@@ -138,6 +138,29 @@ def test_hits(spark):
     assert graph.hits(graph.citations(spark).filter("false")).count() == 0
 
 
+def test_graph_tables(spark, tmp_path):
+    html = '<a href="/x?q">x</a><A class="k" HREF="https://B.org/y#z">y</A><a name="q">no</a><a href="">e</a><a href="/x">again</a>'
+    pages = spark.createDataFrame([("http://A.org/1", html), ("https://b.org", '<a href="/x">x</a>'), (None, html), ("no address", html), ("http://c.org/", None)], "url string, html string")
+    edges = graph.links(pages)
+    assert sorted(map(tuple, edges.collect())) == [("a.org", "/x"), ("a.org", "b.org"), ("b.org", "/x")]
+    for _ in range(2):  # a rerun leaves the same tables
+        graph.write_graph(edges, str(tmp_path))
+        graph.write_scores(graph.hits(edges), str(tmp_path))
+    nodes, read = graph.read_graph(spark, str(tmp_path))
+    assert sorted(map(tuple, nodes.collect())) == [("/x", 0, 2), ("a.org", 2, 0), ("b.org", 1, 1)] and read.count() == 3
+    assert {r.source for r in spark.read.parquet(f"{tmp_path}/scores").collect()} == {"/x", "a.org", "b.org"}
+
+
+@pytest.mark.parametrize("values", [[], [1.0], [2.0] * 90 + [5.0, 1.0, 7.0], [3, 1, 2, None, float("nan"), 4], "many"])
+def test_exact_quantiles(spark, values):
+    values = [random.Random(1).gauss(0, 1) for _ in range(700)] if values == "many" else values
+    d = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double").repartition(3)
+    own = [v for v in values if v is not None and v == v]
+    want = [float(np.percentile(own, 100 * s)) for s in (0, 0.25, 0.5, 0.9, 1)] if own else [None] * 5
+    got = features.exact_quantiles(d, "v", [0, 0.25, 0.5, 0.9, 1], parts=5)
+    assert got == want if not own else np.allclose(got, want, rtol=1e-12)
+
+
 def test_best_signal_and_confidence(spark):
     rows = [("2026-12-31", ["clinical_study", "study_end"], 0, "end"), ("2020-01-01", ["clinical_study"], 1, "first"), ("2020-01-01", ["clinical_study"], 2, "second"), (None, None, 3, "none")]
     d = spark.createDataFrame(rows, "event_date string, signal_type array<string>, ord int, year_month string").withColumn("is_range", F.lit(False))
