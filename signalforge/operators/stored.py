@@ -25,3 +25,8 @@ def discard(*tables: DataFrame) -> None:
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
             path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import exists
+
+# Sources whose ids identify their records.
 PRIORITY = ["reddit", "drugs.com", "openfda", "pubmed", "clinicaltrials"]
 
 
@@ -42,6 +45,28 @@ def enriched_key(unreliable: list[str]) -> Column:
     return F.coalesce(F.when(F.col("source").isin(PRIORITY), by_id), F.when(~F.col("source").isin(unreliable), F.concat(F.lit("url:"), url)), by_id, F.concat(F.lit("date:"), F.coalesce("event_date", F.lit(""))))
 
 
+def checked_unique(new: DataFrame, keys: list[list[str]], there: DataFrame | None = None) -> DataFrame:
+    """new, whose writing fails if a key repeats among its rows and those there; a key with a null part is not checked.
+
+    The check is part of the plan: the one row that every row of new is joined with raises the error, so a job that would break a key ends
+    before it commits.
+    """
+    out = new
+    for key in keys:
+        rows = new.select(*key) if there is None else new.select(*key).unionByName(there.select(*key))
+        repeated = rows.dropna(subset=key).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").agg(F.count(F.lit(1)).alias("_n"))
+        ok = F.assert_true(F.col("_n") == 0, F.concat(F.lit(f"repeated key ({', '.join(key)}): "), F.col("_n").cast("string")))
+        out = out.crossJoin(F.broadcast(repeated)).withColumn("_ok", ok).filter("_ok IS NULL").drop("_n", "_ok")  # one row: the count
+    return out
+
+
+def append_unique(new: DataFrame, path: str, keys: list[list[str]]) -> None:
+    """Append to a table whose keys are unique where they are not null; if one would repeat, the table stays as it was."""
+    spark = new.sparkSession
+    there = spark.read.schema(new.schema).parquet(path) if exists(spark, path) else None
+    checked_unique(new, keys, there).write.mode("append").parquet(path)
+
+
 def replace_source(stored: DataFrame, new: DataFrame, sources: list[str]) -> DataFrame:
     """stored without the sources' rows, and the new ones: what a dynamic partition overwrite by source leaves."""
     return stored.filter(~F.coalesce(F.col("source").isin(sources), F.lit(False))).unionByName(new)

@@ -577,6 +577,65 @@ def replaced_source(spark, d):
     return upsert.replace_source(counts, new, ["A"]).withColumnRenamed("source", "l_shipmode")
 
 
+KEYED = "CASE WHEN source IN ('reddit', 'drugs.com', 'openfda', 'pubmed', 'clinicaltrials') AND coalesce(source_id, '') <> '' THEN 'id:' || source_id"
+
+
+def _sparse(spark, d):
+    """Raw documents, some without an id or a url."""
+    i = F.col("doc_id")
+    return raw_documents(spark, d).withColumn("source_id", F.when(i % 4 > 0, F.col("source_id"))).withColumn("url", F.when(i % 6 > 0, F.col("url")).otherwise("")).withColumn("event_date", F.when(i % 5 > 0, "2021-01-01"))
+
+
+SPARSE_SQL = "sparse AS (SELECT doc_id, source, drug_name, CASE WHEN doc_id % 4 > 0 THEN source_id END AS source_id, CASE WHEN doc_id % 6 > 0 THEN url ELSE '' END AS url, CASE WHEN doc_id % 5 > 0 THEN '2021-01-01' END AS event_date FROM raw)"
+
+
+@query(with_raw(f", {SPARSE_SQL} SELECT doc_id, {KEYED} WHEN url <> '' AND source NOT IN ('openfda', 'drugs.com', 'reddit') THEN 'url:' || url WHEN source_id <> '' THEN 'id:' || source_id ELSE 'date:' || coalesce(event_date, '') END AS key FROM sparse"))
+def enriched_keys(spark, d):
+    return _sparse(spark, d).select("doc_id", upsert.enriched_key(enrich.UNRELIABLE_URLS).alias("key"))
+
+
+@query(with_raw(f", {SPARSE_SQL} SELECT doc_id, {KEYED} WHEN url <> '' THEN 'url:' || url WHEN source_id <> '' THEN 'id:' || source_id ELSE 'hash:' || substr(sha1('{{\"drug_name\":\"' || drug_name || '\",\"source\":\"' || source || '\"}}'), 1, 16) END AS key FROM sparse"))
+def content_keys(spark, d):
+    return _sparse(spark, d).select("doc_id", upsert.record_key(["source", "drug_name"]).alias("key"))
+
+
+@query("SELECT count(*) AS orders, CAST(sum(o_orderkey) AS BIGINT) AS keys, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS without_key FROM orders")
+def unique_appends(spark, d):
+    """Orders appended in two runs to a table whose key is unique where it is not null."""
+    path = f"{scratch(spark)}/orders-{uuid.uuid4().hex}"
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey")).alias("k"))
+    for run in (0, 1):
+        upsert.append_unique(o.filter(F.col("o_orderkey") % 2 == run), path, [["k"]])
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("orders"), F.sum("o_orderkey").alias("keys"), F.count_if(F.col("k").isNull()).alias("without_key"))
+
+
+RUN_SQL = """, r AS (SELECT doc_id, source, CASE WHEN doc_id % 19 = 0 THEN '' ELSE lower(trim(drug_name)) || doc_id % 50 END AS drug, CASE WHEN source = 'reddit' THEN '' ELSE source_id END AS sid, {day} AS day, doc_id % 7 = 0 AS early FROM raw),
+t AS (SELECT * FROM r WHERE source IN ('reddit', 'openfda', 'pubmed', 'clinicaltrials', 'drugs.com')),
+g AS (SELECT DISTINCT drug, source, day, sid FROM t WHERE early AND drug <> '' AND day IS NOT NULL AND source IN ('reddit', 'openfda', 'drugs.com')),
+f AS (SELECT t.* FROM t WHERE drug <> '' AND day IS NOT NULL AND source IN ('reddit', 'openfda', 'drugs.com')),
+n AS (SELECT DISTINCT drug, source, day, sid FROM f EXCEPT SELECT * FROM g),
+l AS (SELECT DISTINCT drug, source FROM f),
+c AS (SELECT count(*) AS records, count(*) FILTER (WHERE drug = '') AS errors, count(*) FILTER (WHERE drug <> '' AND (day IS NULL OR source IN ('pubmed', 'clinicaltrials'))) AS skipped_window FROM t),
+j AS (SELECT count(l.drug) AS joined, count(*) - count(l.drug) AS no_temporal FROM r LEFT JOIN l ON l.drug = r.drug AND l.source = r.source)
+SELECT records, errors, skipped_window, (SELECT count(*) FROM f) AS extracted, (SELECT count(*) FROM n) AS saved, (SELECT count(*) FROM f) - (SELECT count(*) FROM n) AS skipped_duplicate, joined, no_temporal FROM c, j"""
+
+
+@query(with_raw(RUN_SQL.format(day=normalise_sql.REVIEW_DAY)))
+def run_counters(spark, d):
+    """A second run over records of which a seventh was taken by a first one: counters of saving signals and of dating records."""
+    i = F.col("doc_id")
+    raw = raw_documents(spark, d).withColumn("drug_name", F.when(i % 19 == 0, " ").otherwise(F.concat("drug_name", (i % 50).cast("string"))))
+    raw = raw.withColumns({c: F.col("source_id") for c in ("report_id", "review_key")}).drop("text", "url")
+    path = f"{scratch(spark)}/signals-{uuid.uuid4().hex}"
+    temporal.save_new(raw.filter(i % 7 == 0), path)
+    counts = temporal.save_new(raw, path)
+    found = spark.read.parquet(path).withColumn("ord", F.monotonically_increasing_id())
+    records = raw.select("doc_id", "source", "drug_name", "source_id", F.lit(None).cast("string").alias("url"))
+    counts |= temporal.save_dated(records, found, f"{path}-dated")
+    names = ["records", "errors", "skipped_window", "extracted", "saved", "skipped_duplicate", "joined", "no_temporal"]
+    return spark.createDataFrame([tuple(counts[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 # ---- sources ----
 
 
@@ -608,6 +667,54 @@ def safety_reports(spark, d):
     return landed.reports(landed.parsed(table(spark, d, "pages").select("page_id", drug.alias("drug_name"), a.alias("j")), "j", landed.REPORT), cap=100_000)
 
 
+@query("SELECT page_id, 'drug' AS drug_name, 'R' || page_id AS report_id FROM pages ORDER BY 'R' || page_id LIMIT 150")
+def capped_reports(spark, d):
+    """The reports of one drug: as many as its search is allowed."""
+    a = F.concat(F.lit('{"safetyreportid":"R'), F.col("page_id").cast("string"), F.lit('","patient":{"reaction":[{"reactionmeddrapt":"Pain"}],"drug":[]}}'))
+    pages = table(spark, d, "pages").select("page_id", F.lit("drug").alias("drug_name"), a.alias("j"))
+    return landed.reports(landed.parsed(pages, "j", landed.REPORT)).select("page_id", "drug_name", "report_id")
+
+
+@query("SELECT page_id, drug_name, nct_id FROM (SELECT page_id, 'drug' || page_id % 5 AS drug_name, 'NCT' || page_id AS nct_id, row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id) AS r FROM pages WHERE page_id % 4 > 0) WHERE r <= 10")
+def searched_trials(spark, d):
+    """Trials of a search a drug: within the window of dates, ten at most."""
+    p = F.col("page_id")
+    year = F.when(p % 4 == 0, "2018-12-31").when(p % 4 == 1, "2019-01").otherwise("2026-12-31")
+    a = F.concat(F.lit('{"protocolSection":{"identificationModule":{"nctId":"NCT'), p.cast("string"), F.lit('"},"statusModule":{"startDateStruct":{"date":"'), year, F.lit('"}}}}'))
+    pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("drug"), (p % 5).cast("string")).alias("drug_name"), a.alias("j"))
+    return landed.trial_search(landed.parsed(pages, "j", landed.TRIAL), order="page_id").select("page_id", "drug_name", "nct_id")
+
+
+@query("SELECT l_partkey AS article, min(l_suppkey) AS drug FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 7 = 0) GROUP BY ALL")
+def first_claims(spark, d):
+    """Articles that several drugs' searches give: the first drug has each, unless it is stored."""
+    found = table(spark, d, "lineitem").select(F.col("l_partkey").alias("article"), F.col("l_suppkey").alias("drug"))
+    done = table(spark, d, "part").filter("p_partkey % 7 = 0").select(F.col("p_partkey").alias("article"))
+    return landed.first_claims(found, done, "article", ["drug"])
+
+
+FORUM_SQL = with_raw(""", base AS (SELECT doc_id, ['patients', 'daily', 'cause', 'qqqq'][doc_id % 4 + 1] AS drug_name, (doc_id // 4) % 2 AS forum, ((doc_id // 8) % 40) // 6 AS page, (doc_id // 8) % 40 % 6 AS pos, text, CAST(doc_id AS VARCHAR) AS id, CAST(doc_id % 60 AS INT) AS score FROM raw),
+hit AS (SELECT *, row_number() OVER (PARTITION BY drug_name, forum, page ORDER BY pos, id) AS nth FROM (SELECT *, lower(trim(text)) AS t FROM base) WHERE page < 4 AND contains(t, drug_name) AND {effects} AND {causes}),
+com AS (SELECT h.drug_name, h.forum, h.page, 1 AS k, h.pos, c.pos AS cpos, c.text, 'c' || c.id AS id, c.score, lower(c.text) AS t FROM hit h JOIN base c ON CAST(h.id AS BIGINT) = (CAST(c.id AS BIGINT) * 7) % 500 WHERE nth <= 3),
+fnd AS (SELECT drug_name, forum, page, 0 AS k, pos, 0 AS cpos, trim(text) AS text, id, score FROM hit UNION ALL SELECT drug_name, forum, page, k, pos, cpos, text, id, score FROM com WHERE length(text) >= 40 AND contains(t, drug_name) AND {effects} AND {causes}),
+cnt AS (SELECT p.drug_name, p.forum, p.page, coalesce(n, 0) AS n FROM (SELECT DISTINCT drug_name, forum, page FROM base WHERE page < 4) p LEFT JOIN (SELECT drug_name, forum, page, count(*) AS n FROM fnd GROUP BY ALL) USING (drug_name, forum, page)),
+liv AS (SELECT * FROM (SELECT *, coalesce(min(n) OVER (PARTITION BY drug_name, forum ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS least FROM cnt) WHERE least > 0),
+opn AS (SELECT * FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY drug_name ORDER BY forum, page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS have FROM liv) WHERE have < 25)
+SELECT drug_name || substr(text, 1, 80) AS review_key, min_by(id, (forum, page, k, pos, cpos, id)) AS id, min_by(score, (forum, page, k, pos, cpos, id)) AS score FROM fnd JOIN opn USING (drug_name, forum, page) GROUP BY ALL""")
+
+
+@query(FORUM_SQL.replace("{effects}", any_sql(landed.EFFECT_WORDS)).replace("{causes}", any_sql(landed.CAUSE_WORDS)))
+def forum_posts(spark, d):
+    """Posts and comments that the drugs' searches save, page by page until there are 25."""
+    i = F.col("doc_id")
+    at = F.floor(i / 8) % 40
+    common = {"id": i.cast("string"), "score": (i % 60).cast("int"), "subreddit": F.lit("AskDocs"), "created_utc": F.lit(0.0), "permalink": F.lit(""), "pos": at % 6}
+    raw = raw_documents(spark, d)
+    posts = raw.select(F.element_at(strings(["patients", "daily", "cause", "qqqq"]), (i % 4 + 1).cast("int")).alias("drug_name"), (F.floor(i / 4) % 2).alias("forum"), F.floor(at / 6).alias("page"), F.lit("").alias("title"), F.col("text").alias("selftext"), *[v.alias(k) for k, v in common.items()])
+    comments = raw.select(((i * 7) % 500).cast("string").alias("post_id"), F.col("text").alias("body"), *[v.alias(k) for k, v in (common | {"id": F.concat(F.lit("c"), common["id"])}).items()])
+    return landed.forum_pages(posts, comments).select("review_key", "id", "score")
+
+
 MONOGRAPH = '<html><body><h1>Drug {0}®</h1><div id="why"><p>Drug {0} is in a class of medications called kind{1}. It is used to treat pain and other things.</p><p>Ask your doctor about it.</p></div><div id="side-effects"><h3>Mild</h3><ul><li>nausea; dry mouth</li><li>call your doctor if x</li></ul><h3>Serious</h3><p>rash, hives</p></div><div id="brand-name-1"><ul><li>Brand{1}§</li></ul></div><div id="section-warning"><p>This is a serious warning text.</p></div></body></html>'
 
 

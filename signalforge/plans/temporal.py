@@ -2,53 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions.text import drug_name, filled
+from ..operators.enrich import attach_dates
+from ..operators.stored import exists
 from ..sources.xml import dates as xml_dates
-from .normalise import conform
+from .normalise import by_source, conform
 
 #: Sources that dates are taken from, and what their signals are.
 TYPES = {"reddit": ["patient_review", "side_effect_report"], "openfda": ["side_effect_report"], "pubmed": ["literature_evidence"], "clinicaltrials": ["clinical_study"], "drugs.com": ["patient_review", "side_effect_report"]}
 _IDS = {"reddit": "reddit_meta.post_id", "openfda": "report_id", "pubmed": "pubmed_id", "clinicaltrials": "nct_id", "drugs.com": "review_key"}
 
 
-def _signal(day: Column, source: str, start: Column | None = None, end: Column | None = None, ended: bool = False) -> Column:
-    iso = lambda d: d.cast("string")
-    sid = F.coalesce(F.col(_IDS[source]), F.lit(""))
-    types = TYPES[source] + (["study_end"] if ended else [])
-    hashed = F.concat(iso(day), F.lit("_end")) if ended else iso(day)
-    return F.struct(
-        iso(day).alias("event_date"), D.year_month(day).alias("year_month"), F.year(day).alias("year"), F.lit("month" if source == "pubmed" else "day").alias("resolution"),
-        F.array(*[F.lit(t) for t in types]).alias("signal_type"), sid.alias("source_id"), iso(day if start is None else start).alias("date_start"),
-        (F.lit(None).cast("string") if end is None else iso(end)).alias("date_end"), (F.lit(False) if end is None else end.isNotNull()).alias("is_range"),
-        D.signal_hash(F.col("drug_name"), F.lit(source), hashed, sid).alias("sig_hash"),
+def _dates(d: DataFrame) -> DataFrame:
+    """d with _dates: what a record of each source is dated by, as array<struct<day, start, end, ended>>; only its own source's is worked out."""
+    day = lambda day, start, end, ended=False: F.struct(day.alias("day"), start.alias("start"), end.alias("end"), F.lit(ended).alias("ended"))
+    none = F.lit(None).cast("date")
+    review = D.parse_date(filled(F.col("review_date")))
+    start, end = D.parse_range(F.col("date_range"))
+    d = d.withColumns({"_start": start, "_end": end, "_first": F.coalesce(D.parse_date(F.col("start_date")), start)})
+    xml = xml_dates(F.when(F.col("source") == "pubmed", F.col("content")))
+    papers = F.transform(F.array_distinct(F.array_compact(F.concat(F.coalesce(xml, F.array().cast("array<date>")), F.array(F.col("_start"))))), lambda x: day(x, x, none))
+    same = D.in_window(F.col("_first")) & F.coalesce(F.col("_first") == F.col("_end"), F.lit(False))
+    trial = F.array(day(F.col("_first"), F.col("_first"), F.col("_end")), F.when(~same, day(F.col("_end"), F.col("_first"), F.col("_end"), True)))
+    reviews = F.array(day(review, review, none))
+    found = by_source({"pubmed": papers, "clinicaltrials": trial} | {s: reviews for s in TYPES if s not in ("pubmed", "clinicaltrials")}, F.array().cast("array<struct<day:date,start:date,end:date,ended:boolean>>"))
+    return d.withColumn("_dates", F.filter(found, lambda x: x["day"].isNotNull()))
+
+
+def _described(d: DataFrame, columns: list[str]) -> DataFrame:
+    """One row a date in _dates within the window."""
+    d = d.select(*d.columns, F.explode(F.filter("_dates", lambda x: D.in_window(x["day"]))).alias("_s"))
+    iso = lambda c: F.col(f"_s.{c}").cast("string")
+    types = by_source({s: F.array(*[F.lit(t) for t in names]) for s, names in TYPES.items()}, F.array().cast("array<string>"))
+    types = F.when(F.col("_s.ended"), F.array_append(types, F.lit("study_end"))).otherwise(types)
+    sid = F.coalesce(by_source({s: F.col(c) for s, c in _IDS.items()}, F.lit(None).cast("string")), F.lit(""))
+    hashed = F.when(F.col("_s.ended"), F.concat(iso("day"), F.lit("_end"))).otherwise(iso("day"))
+    return d.select(
+        *columns, iso("day").alias("event_date"), D.year_month(F.col("_s.day")).alias("year_month"), F.year("_s.day").alias("year"), F.when(F.col("source") == "pubmed", "month").otherwise("day").alias("resolution"),
+        types.alias("signal_type"), sid.alias("source_id"), iso("start").alias("date_start"), iso("end").alias("date_end"), F.col("_s.end").isNotNull().alias("is_range"),
+        D.signal_hash(F.col("drug_name"), F.col("source"), hashed, sid).alias("sig_hash"),
     )
 
 
+def _dated(raw: DataFrame) -> DataFrame:
+    return _dates(conform(raw).filter(F.col("source").isin(*TYPES)).withColumn("_unnamed", F.coalesce(drug_name(F.col("drug_name")), F.lit("")) == "").withColumn("drug_name", drug_name(F.col("drug_name"))))
+
+
 def signals(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """One row a dated signal within the window; `keep` names columns of raw to carry along."""
-    d = conform(raw).withColumn("drug_name", drug_name(F.col("drug_name")))
-    columns = [*keep, "source", "drug_name", "url", "conditions"]
-    out = None
-    for source in ("reddit", "openfda", "drugs.com"):
-        rows = d.filter(F.col("source") == source).withColumn("_d", D.parse_date(filled(F.col("review_date")))).filter(D.in_window(F.col("_d")))
-        rows = rows.select(*columns, _signal(F.col("_d"), source).alias("s"))
-        out = rows if out is None else out.unionByName(rows)
-    p = d.filter("source = 'pubmed'")
-    start, _ = D.parse_range(F.col("date_range"))
-    found = F.array_distinct(F.array_compact(F.concat(xml_dates(F.col("content")), F.array(start))))
-    p = p.withColumn("_d", F.explode(F.filter(found, D.in_window))).select(*columns, _signal(F.col("_d"), "pubmed").alias("s"))
-    c = d.filter("source = 'clinicaltrials'")
-    start, end = D.parse_range(F.col("date_range"))
-    c = c.withColumn("_e", end).withColumn("_p", F.coalesce(D.parse_date(F.col("start_date")), start))
-    first = F.when(D.in_window(F.col("_p")), _signal(F.col("_p"), "clinicaltrials", end=F.col("_e")))
-    apart = ~(D.in_window(F.col("_p")) & F.coalesce(F.col("_p") == F.col("_e"), F.lit(False)))
-    last = F.when(D.in_window(F.col("_e")) & apart, _signal(F.col("_e"), "clinicaltrials", start=F.col("_p"), end=F.col("_e"), ended=True))
-    c = c.select(*columns, F.explode(F.array_compact(F.array(first, last))).alias("s"))
-    return out.unionByName(p).unionByName(c).select(*columns, "s.*")
+    """One row a dated signal within the window, by one pass over the records; `keep` names columns of raw to carry along."""
+    return _described(_dated(raw), [*keep, "source", "drug_name", "url", "conditions"])
 
 
 def new_signals(found: DataFrame, stored: DataFrame) -> DataFrame:
@@ -56,6 +62,32 @@ def new_signals(found: DataFrame, stored: DataFrame) -> DataFrame:
     return found.dropDuplicates(["sig_hash"]).join(stored.select("sig_hash"), "sig_hash", "left_anti")
 
 
+def save_new(raw: DataFrame, path: str) -> dict[str, int]:
+    """Append to path the signals of raw that it does not hold, and return the run's counters, observed in that very pass.
+
+    records; errors: those without a drug, which give no signals; skipped_window: other records without a date in the window; extracted:
+    signals; saved: new ones; skipped_duplicate: the others.
+    """
+    spark = raw.sparkSession
+    records, found, saved = Observation(), Observation(), Observation()
+    d = _dated(raw)
+    inside = F.exists("_dates", lambda x: D.in_window(x["day"]))
+    d = d.observe(records, F.count(F.lit(1)).alias("records"), F.count_if("_unnamed").alias("errors"), F.count_if(~F.col("_unnamed") & ~inside).alias("skipped_window"))
+    rows = _described(d.filter(~F.col("_unnamed")), ["source", "drug_name", "url", "conditions"]).observe(found, F.count(F.lit(1)).alias("extracted"))
+    there = spark.read.schema("sig_hash string").parquet(path) if exists(spark, path) else spark.createDataFrame([], "sig_hash string")
+    new_signals(rows, there).observe(saved, F.count(F.lit(1)).alias("saved")).write.mode("append").parquet(path)
+    counts = records.get | found.get | saved.get
+    return counts | {"skipped_duplicate": counts["extracted"] - counts["saved"]}
+
+
+def save_dated(records: DataFrame, signals: DataFrame, path: str) -> dict[str, int]:
+    """Write records with their best signal to path; how many have one (joined) and have none (no_temporal) is observed on the way."""
+    joined = Observation()
+    counts = F.count_if(F.col("match_level") > 0).alias("joined"), F.count_if(F.col("match_level") == 0).alias("no_temporal")
+    attach_dates(records, signals).observe(joined, *counts).write.mode("overwrite").parquet(path)
+    return joined.get
+
+
 def counters(raw: DataFrame, stored: DataFrame) -> DataFrame:
     """One row: raw records of dated sources, signals extracted, already known or repeated, and new."""
     found = signals(raw)

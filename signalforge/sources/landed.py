@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import compact_date, epoch_date
+from ..functions.dates import compact_date, epoch_date, in_window, parse_date
 from ..functions.text import drug_name, strip
 
 # Drug classes collected, trusted forums, and the words that make a post relevant.
@@ -125,11 +125,45 @@ def confidence(score: Column, forum: Column) -> Column:
     return F.when((score >= 50) & trusted, "high").when((score >= 10) | trusted, "medium").otherwise("low")
 
 
-def posts(df: DataFrame, drug: str = "drug_name", cap: int = 25) -> DataFrame:
-    """Relevant posts and comments (of 40 characters at least) with POST, the best scored `cap` of each drug."""
-    text = F.coalesce(F.col("body"), strip(F.concat_ws(" ", "title", "selftext")))
-    d = df.withColumn("review_text", text).filter(F.col("body").isNull() | (F.length("body") >= 40)).filter(relevant(F.col("review_text"), F.col(drug)))
-    d = d.withColumn("confidence", confidence(F.col("score"), F.col("subreddit"))).withColumn("review_date", epoch_date(F.col("created_utc")))
-    d = d.withColumn("review_key", F.concat(F.col(drug), F.substring("review_text", 1, 80)))
-    d = d.dropDuplicates(["review_key"]).withColumn("_r", F.row_number().over(Window.partitionBy(drug).orderBy(F.desc("score"), "id"))).filter(F.col("_r") <= cap)
-    return d.drop("_r", "body", "title", "selftext")
+def trial_search(df: DataFrame, drug: str = "drug_name", order: str = "pos", cap: int = 10) -> DataFrame:
+    """The trials that a drug's search gives: those that begin within the window of dates, in the order of the answer, `cap` at most."""
+    began = parse_date(F.col("start_date"))
+    d = trials(df).filter(in_window(began)) if "protocolSection" in df.columns else df.filter(in_window(began))
+    return d.withColumn("_r", F.row_number().over(Window.partitionBy(drug).orderBy(order))).filter(F.col("_r") <= cap).drop("_r")
+
+
+def first_claims(found: DataFrame, stored: DataFrame, item: str, order: list[str]) -> DataFrame:
+    """Of all finds of an item the first one, unless it is stored: the first drug whose search gives an article or a trial has it."""
+    place = F.struct(*order)
+    firsts = found.groupBy(item).agg(F.min_by(F.struct(*[c for c in found.columns if c != item]), place).alias("_f")).select(item, "_f.*")
+    return firsts.join(stored.select(item).distinct(), item, "left_anti")
+
+
+def forum_pages(posts: DataFrame, comments: DataFrame, cap: int = 25, pages: int = 4, with_comments: int = 3) -> DataFrame:
+    """What a drug's forum searches save: posts (drug_name, forum, page, pos and POST), comments (post_id, pos and POST).
+
+    Forums and their pages are read in order. A page gives its relevant posts and the relevant comments, of 40 characters at least, of the first three
+    of these. A forum ends with a page that gives nothing, or the fourth; no page is begun once `cap` records are there. Records with the same
+    drug and first 80 characters are one, the one found first.
+    """
+    where = ["drug_name", "forum", "page"]
+    text = strip(F.concat_ws(" ", "title", "selftext"))
+    p = posts.filter(F.col("page") < pages).withColumn("review_text", text)
+    hit = p.filter(relevant(F.col("review_text"), F.col("drug_name")))
+    hit = hit.withColumn("_nth", F.row_number().over(Window.partitionBy(*where).orderBy("pos", "id"))).withColumn("kind", F.lit("post"))
+    said = comments.select("post_id", F.col("pos").alias("_c_pos"), F.col("body").alias("_c_text"), F.col("score").alias("_c_score"), F.col("created_utc").alias("_c_time"), F.col("id").alias("_c_id"))
+    of = hit.filter(F.col("_nth") <= with_comments).join(said, F.col("id") == F.col("post_id")).filter((F.length("_c_text") >= 40) & relevant(F.col("_c_text"), F.col("drug_name")))
+    row = lambda d, t, s, c, i, at: d.select(*where, "subreddit", F.substring(t, 1, 1000).alias("review_text"), F.col(s).alias("score"), F.col(c).alias("created_utc"), F.col(i).alias("id"), "kind", at.alias("_at"), F.concat("drug_name", F.substring(t, 1, 80)).alias("review_key"))
+    at = lambda kind, pos, c_pos: F.struct(F.lit(kind).alias("kind"), pos.cast("long").alias("pos"), c_pos.cast("long").alias("c_pos"))
+    found = row(hit, F.col("review_text"), "score", "created_utc", "id", at(0, F.col("pos"), F.lit(0))).unionByName(row(of.withColumn("kind", F.lit("comment")), F.col("_c_text"), "_c_score", "_c_time", "_c_id", at(1, F.col("pos"), F.col("_c_pos"))))
+    # a row a page: what it gives, whether its forum has ended before it, and how much there is when it would be begun
+    counts = posts.filter(F.col("page") < pages).select(*where).distinct().join(found.groupBy(*where).agg(F.count(F.lit(1)).alias("_n")), where, "left").fillna(0, ["_n"])
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.min("_n").over(before(Window.partitionBy("drug_name", "forum").orderBy("page"))) == 0, F.lit(False))
+    counts = counts.withColumn("_ended", ended).filter(~F.col("_ended"))
+    counts = counts.withColumn("_have", F.coalesce(F.sum("_n").over(before(Window.partitionBy("drug_name").orderBy("forum", "page"))), F.lit(0)))
+    kept = found.join(counts.filter(F.col("_have") < cap).select(*where), where)
+    first = F.struct("forum", "page", "_at", "id")
+    columns = [c for c in kept.columns if c not in ("review_key", "_at")]
+    out = kept.groupBy("review_key").agg(F.min_by(F.struct(*columns), first).alias("_f")).select("review_key", "_f.*")
+    return out.withColumn("confidence", confidence(F.col("score"), F.col("subreddit"))).withColumn("review_date", epoch_date(F.col("created_utc"))).drop("created_utc")

@@ -17,8 +17,17 @@ def first_of_key(events: DataFrame, key: str, time: str, late: str = "7 days") -
 
 
 def monthly_mentions(events: DataFrame, drug: str, effect: str, time: str, late: str = "7 days") -> DataFrame:
-    """Mentions by month as a windowed aggregate of 30 days, late events counted until the watermark."""
-    return events.withWatermark(time, late).groupBy(F.window(time, "30 days"), F.col(drug).alias("drug"), F.col(effect).alias("side_effect")).agg(F.count(F.lit(1)).alias("mention_count"))
+    """(drug, side_effect, period, mention_count) by calendar month; late events count until the watermark has passed their day.
+
+    The state is kept by day, which a watermark can close; a day's count is closed once, so months are sums of closed days (by_month).
+    """
+    day = F.window(time, "1 day")
+    return events.withWatermark(time, late).groupBy(day, F.col(drug).alias("drug"), F.col(effect).alias("side_effect")).agg(F.count(F.lit(1)).alias("mention_count"))
+
+
+def by_month(days: DataFrame) -> DataFrame:
+    """Closed days, as monthly_mentions() gives them, summed by calendar month."""
+    return days.groupBy("drug", "side_effect", F.date_format("window.start", "yyyy-MM").alias("period")).agg(F.sum("mention_count").alias("mention_count"))
 
 
 def append_once(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery:

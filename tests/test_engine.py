@@ -130,10 +130,11 @@ def test_alerts_and_fusion(spark):
 
 
 def test_hits(spark):
-    r = {x.source: (x.authority_score, x.hub_score, x.source_type) for x in graph.hits(graph.citations(spark)).collect()}
+    scores = graph.hits(graph.citations(spark))
+    r = {x.source: (x.authority_score, x.hub_score, x.source_type) for x in scores.collect()}
     assert r["pubmed"] == (1.0, 0.0, "authority") and r["webmd"] == (0.158, 1.0, "hub") and r["openfda"] == (0.8847, 0.5093, "authority") and r["drugscom"] == (0.0164, 0.4431, "hub")
     names = spark.createDataFrame([("drugs.com",), ("clinicaltrials.gov",), ("",), ("unknownsrc",), (None,)], "source string")
-    found = {x.source: x.source_authority for x in graph.source_authority(names, graph.hits(graph.citations(spark))).collect()}
+    found = {x.source: x.source_authority for x in graph.source_authority(names, scores).collect()}
     assert found == {"drugs.com": 0.0164, "clinicaltrials.gov": 0.7284, "": 0.7284, "unknownsrc": 0.5, None: 0.7284}
     assert graph.hits(graph.citations(spark).filter("false")).count() == 0
 
@@ -320,6 +321,32 @@ def test_resumable_stream(spark, tmp_path):
     assert sorted(r.sig_hash for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
 
 
+def test_unique_keys_hold(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, v string")
+    upsert.append_unique(rows((1, "a"), (None, "b"), (None, "b")), path, [["k"], ["k", "v"]])
+    for bad in (rows((1, "c")), rows((2, "x"), (2, "y"))):  # one is there, one repeats by itself
+        with pytest.raises(Exception, match="repeated key"):
+            upsert.append_unique(bad, path, [["k"]])
+        assert spark.read.parquet(path).count() == 3
+    upsert.append_unique(rows((2, "x"), (None, "b")), path, [["k"]])
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_months_and_upserts_of_streams(spark, tmp_path):
+    schema = "drug string, effect string, ts timestamp"
+    source, table, done = (str(tmp_path / n) for n in ("in", "days", "upserts"))
+    days = ["2024-01-31", "2024-02-01", "2024-02-29", "2024-03-01", "2024-03-01", "2024-06-01"]
+    spark.createDataFrame([("d", "e", dt.datetime.fromisoformat(x)) for x in days], schema).coalesce(1).write.parquet(source)
+    events = increment.read(spark, source, schema)
+    increment.append_once(increment.monthly_mentions(events, "drug", "effect", "ts"), table, str(tmp_path / "c1")).awaitTermination()
+    got = {r.period: r.mention_count for r in increment.by_month(spark.read.parquet(table)).collect()}
+    assert got == {"2024-01": 1, "2024-02": 2, "2024-03": 2}  # the last day is still open
+    for _ in range(2):  # the second run finds nothing new
+        increment.upsert_once(events, lambda batch, n: batch.write.mode("append").parquet(done), str(tmp_path / "c2")).awaitTermination()
+    assert spark.read.parquet(done).count() == 6
+
+
 def test_sinks(spark, tmp_path):
     d = spark.createDataFrame([("a", 1), ("b", 2)], "source string, n long")
     upsert.write_json(d, str(tmp_path / "j"))
