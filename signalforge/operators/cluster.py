@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -20,12 +22,15 @@ def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def kmeans(df: DataFrame, columns: list[str], k: int = 4, starts: int = 10, seed: int = 42, name: str = "kmeans_cluster") -> DataFrame:
     """df with the clustering of the least cost of several starts; clusters numbered by their first coordinates."""
-    v = assembled(df, columns).cache()
-    v = v.coalesce(max(1, min(v.rdd.getNumPartitions(), v.count() // 20_000 + 1)))  # starts x iterations jobs: no idle tasks on few rows
-    models = [KMeans(k=k, seed=seed + s, featuresCol="_v", predictionCol="_p").fit(v) for s in range(starts)]
+    v = stored(assembled(df, columns), "assembled")
+    v = v.coalesce(max(1, min(v.rdd.getNumPartitions(), v.count() // 20_000 + 1))).cache()  # starts x iterations jobs: no idle tasks on few rows
+    fit = lambda s: KMeans(k=k, seed=seed + s, featuresCol="_v", predictionCol="_p").fit(v)
+    with ThreadPoolExecutor(min(starts, 5)) as threads:  # the starts do not depend on each other: their jobs share the cluster
+        models = list(threads.map(fit, range(starts)))
     best = min(models, key=lambda m: m.summary.trainingCost)
     order = np.lexsort(np.array(best.clusterCenters()).T[::-1])
     number = F.create_map(*[F.lit(x) for old, new in zip(order.tolist(), range(len(order)), strict=True) for x in (old, new)])
+    v.unpersist()
     return best.transform(v).withColumn(name, number[F.col("_p")]).drop("_v", "_p")
 
 

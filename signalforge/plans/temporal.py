@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions.text import drug_name, filled
 from ..operators.enrich import attach_dates
-from ..operators.stored import exists
+from ..operators.stored import discard, exists, stored
 from ..sources.xml import dates as xml_dates
 from .normalise import by_source, conform
 
@@ -57,35 +57,37 @@ def signals(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
     return _described(_dated(raw), [*keep, "source", "drug_name", "url", "conditions"])
 
 
-def new_signals(found: DataFrame, stored: DataFrame) -> DataFrame:
+def new_signals(found: DataFrame, known: DataFrame) -> DataFrame:
     """Signals that are not stored yet, one a hash."""
-    return found.dropDuplicates(["sig_hash"]).join(stored.select("sig_hash"), "sig_hash", "left_anti")
+    return found.dropDuplicates(["sig_hash"]).join(known.select("sig_hash"), "sig_hash", "left_anti")
 
 
 def save_new(raw: DataFrame, path: str) -> dict[str, int]:
-    """Append to path the signals of raw that it does not hold, and return the run's counters, observed in that very pass.
+    """Append to path the signals of raw that it does not hold, and return the run's counters.
 
     records; errors: those without a drug, which give no signals; skipped_window: other records without a date in the window; extracted:
-    signals; saved: new ones; skipped_duplicate: the others.
+    signals; saved: new ones; skipped_duplicate: the others. The raw records are read once: what dates them is written without their
+    texts, and counted and told apart from there.
     """
     spark = raw.sparkSession
-    records, found, saved = Observation(), Observation(), Observation()
-    d = _dated(raw)
+    kept = ["source", "drug_name", "url", "conditions", *{c.split(".")[0] for c in _IDS.values()}, "_unnamed", "_dates"]
+    d = stored(_dated(raw).select(*kept), "dated-records")
     inside = F.exists("_dates", lambda x: D.in_window(x["day"]))
-    d = d.observe(records, F.count(F.lit(1)).alias("records"), F.count_if("_unnamed").alias("errors"), F.count_if(~F.col("_unnamed") & ~inside).alias("skipped_window"))
-    rows = _described(d.filter(~F.col("_unnamed")), ["source", "drug_name", "url", "conditions"]).observe(found, F.count(F.lit(1)).alias("extracted"))
+    counts = d.agg(F.count(F.lit(1)).alias("records"), F.count_if("_unnamed").alias("errors"), F.count_if(~F.col("_unnamed") & ~inside).alias("skipped_window")).first().asDict()
+    found = _described(d.filter(~F.col("_unnamed")), ["source", "drug_name", "url", "conditions"])
     there = spark.read.schema("sig_hash string").parquet(path) if exists(spark, path) else spark.createDataFrame([], "sig_hash string")
-    new_signals(rows, there).observe(saved, F.count(F.lit(1)).alias("saved")).write.mode("append").parquet(path)
-    counts = records.get | found.get | saved.get
+    new = stored(new_signals(found, there), "new-signals")
+    new.write.mode("append").parquet(path)
+    counts |= {"extracted": found.count(), "saved": new.count()}
+    discard(d, new)
     return counts | {"skipped_duplicate": counts["extracted"] - counts["saved"]}
 
 
 def save_dated(records: DataFrame, signals: DataFrame, path: str) -> dict[str, int]:
-    """Write records with their best signal to path; how many have one (joined) and have none (no_temporal) is observed on the way."""
-    joined = Observation()
-    counts = F.count_if(F.col("match_level") > 0).alias("joined"), F.count_if(F.col("match_level") == 0).alias("no_temporal")
-    attach_dates(records, signals).observe(joined, *counts).write.mode("overwrite").parquet(path)
-    return joined.get
+    """Write records with their best signal to path; how many have one (joined) and have none (no_temporal)."""
+    attach_dates(records, signals).write.mode("overwrite").parquet(path)
+    written = records.sparkSession.read.parquet(path)
+    return written.agg(F.count_if(F.col("match_level") > 0).alias("joined"), F.count_if(F.col("match_level") == 0).alias("no_temporal")).first().asDict()
 
 
 def counters(raw: DataFrame, stored: DataFrame) -> DataFrame:
