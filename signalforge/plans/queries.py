@@ -440,7 +440,8 @@ def signal_counters(spark, d):
 
 #: A text that is neither long enough nor too short.
 NOTE = "Noted once, by a patient who said no more about it in the post."
-QUALITY_SQL = f""", r AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE trim(drug_name) END AS drug_name, source, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '{NOTE}' ELSE text END AS t, doc_id % 3 > 0 AS has, CASE WHEN doc_id % 6 = 0 THEN 0.0 WHEN doc_id % 6 = 1 THEN 0.05 ELSE 0.7 END AS a FROM raw),
+QUALITY_SQL = f""", a AS (SELECT doc_id, drug_name, source, text, doc_id AS i FROM raw UNION ALL SELECT -1 - doc_id, drug_name, source, CASE doc_id % 4 WHEN 0 THEN '' ELSE '{NOTE}' END, doc_id FROM raw WHERE doc_id % 4 < 2),
+r AS (SELECT doc_id, CASE WHEN i % 5 = 0 THEN '' ELSE trim(drug_name) END AS drug_name, source, text AS t, i % 3 > 0 AS has, CASE WHEN i % 6 = 0 THEN 0.0 WHEN i % 6 = 1 THEN 0.05 ELSE 0.7 END AS a FROM a),
 m AS (SELECT *, list_filter([CASE WHEN drug_name = '' THEN 'drug_name' END, CASE WHEN t = '' THEN 'text_clean' END, CASE WHEN NOT has THEN 'side_effects' END], lambda x: x IS NOT NULL) AS miss, length(t) AS n, source NOT IN ('pubmed', 'openfda', 'clinicaltrials', 'drugs.com', 'medlineplus', 'reddit', 'webmd') AS unknown FROM r),
 q AS (SELECT doc_id, list_filter([CASE WHEN len(miss) > 0 THEN 'missing_fields:' || array_to_string(miss, ',') END, CASE WHEN n < 50 THEN 'text_too_short' END, CASE WHEN n BETWEEN 50 AND 99 THEN 'text_short' END, CASE WHEN NOT has THEN 'no_side_effects' END, CASE WHEN a = 0 THEN 'no_authority_score' END, CASE WHEN a > 0 AND a < 0.1 THEN 'low_authority' END, CASE WHEN drug_name = '' THEN 'missing_drug_name' END, CASE WHEN unknown THEN 'unknown_source' END], lambda x: x IS NOT NULL) AS flags,
  CAST(greatest(0, 100 - 10 * len(miss) - CASE WHEN n < 50 THEN 15 WHEN n < 100 THEN 5 ELSE 0 END - CASE WHEN NOT has THEN 10 ELSE 0 END - CASE WHEN a < 0.1 THEN 5 ELSE 0 END - CASE WHEN drug_name = '' THEN 20 ELSE 0 END - CASE WHEN unknown THEN 10 ELSE 0 END) AS INT) AS quality_score, CAST(n AS INT) AS text_length, has AS has_side_effects FROM m),
@@ -448,11 +449,13 @@ l AS (SELECT *, CASE WHEN quality_score >= 80 THEN 'good' WHEN quality_score >=
 
 
 def _flagged(spark, d):
-    i = F.col("doc_id")
-    text = F.when(i % 4 == 0, "").when(i % 4 == 1, NOTE).otherwise(F.col("text"))
+    """All records with their whole texts, and copies of some, under ids of their own, with no text or a short one."""
+    i = F.col("_i")
+    raw = raw_documents(spark, d).select("doc_id", "drug_name", "source", "text", F.col("doc_id").alias("_i"))
+    short = raw.filter(i % 4 < 2).withColumns({"doc_id": -1 - i, "text": F.when(i % 4 == 0, "").otherwise(NOTE)})
     authority = F.when(i % 6 == 0, 0.0).when(i % 6 == 1, 0.05).otherwise(0.7)
     effects = F.when(i % 3 > 0, strings(["rash"])).otherwise(F.array().cast("array<string>"))
-    records = raw_documents(spark, d).select("doc_id", F.when(i % 5 == 0, "").otherwise(F.trim("drug_name")).alias("drug_name"), "source", text.alias("text_clean"), effects.alias("side_effects"), authority.alias("source_authority"))
+    records = raw.unionByName(short).select("doc_id", F.when(i % 5 == 0, "").otherwise(F.trim("drug_name")).alias("drug_name"), "source", F.col("text").alias("text_clean"), effects.alias("side_effects"), authority.alias("source_authority"))
     return quality.flag_records(records)
 
 
