@@ -718,6 +718,15 @@ def forum_posts(spark, d):
     return landed.forum_pages(posts, comments).select("review_key", "id", "score")
 
 
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_id % 4 = 1 THEN event_type END AS first_tag, event_id % 4 = 0 AS unreadable FROM events")
+def event_answers(spark, d):
+    """Properties of events in shapes that differ: objects, lists of tags, and what is no JSON."""
+    i = F.col("event_id") % 4
+    tags = F.concat(F.lit('{"k": ["none"], "tags": ["'), "event_type", F.lit('"]}'))
+    rows = table(spark, d, "events").select("event_id", F.when(i == 0, "{broken").when(i == 1, tags).otherwise(F.col("props")).alias("j"))
+    return landed.answers(rows, "j", {"k": ("$.k", "bigint"), "first_tag": ("$.tags[0]", "string")}).drop("j")
+
+
 MONOGRAPH = '<html><body><h1>Drug {0}®</h1><div id="why"><p>Drug {0} is in a class of medications called kind{1}. It is used to treat pain and other things.</p><p>Ask your doctor about it.</p></div><div id="side-effects"><h3>Mild</h3><ul><li>nausea; dry mouth</li><li>call your doctor if x</li></ul><h3>Serious</h3><p>rash, hives</p></div><div id="brand-name-1"><ul><li>Brand{1}§</li></ul></div><div id="section-warning"><p>This is a serious warning text.</p></div></body></html>'
 
 

@@ -50,8 +50,21 @@ def scan(spark: SparkSession, path: str, sources: list[str] | None = None, limit
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file holding one JSON array."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """The items of files that hold one JSON array each; an item that cannot be read as the schema says is in the column `corrupt`, null
+    elsewhere. Items are read one by one: a bad one spoils no other."""
+    items = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("_item"))
+    read = F.from_json("_item", f"{schema}, corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"})
+    return items.select(read.alias("_r")).select("_r.*")
+
+
+def answers(df: DataFrame, column: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """df with fields (path, type) of a JSON column whose shape may change from row to row, and `unreadable`.
+
+    The column is parsed once, as a variant. A field that is absent, or that is of another kind in this row, is null; a null column is readable.
+    """
+    d = df.withColumn("_v", F.try_parse_json(F.col(column)))
+    found = {name: F.try_variant_get("_v", path, kind) for name, (path, kind) in fields.items()}
+    return d.withColumns(found).withColumn("unreadable", F.col(column).isNotNull() & F.col("_v").isNull()).drop("_v")
 
 
 def parsed(df: DataFrame, column: str, schema: str) -> DataFrame:

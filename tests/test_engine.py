@@ -357,6 +357,15 @@ def test_sinks(spark, tmp_path):
     assert sorted((r.source, r.n) for r in spark.read.parquet(str(tmp_path / "p")).collect()) == [("a", 7), ("b", 2)]
 
 
+def test_changing_answers(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"n": 1, "s": "x"}, {"n": "no number", "s": "y"}, {"s": "z"}]')
+    got = landed.json_array(spark, str(tmp_path / "a.json"), "n int, s string").cache()
+    assert sorted((r.n or 0, r.s, r.corrupt is not None) for r in got.collect()) == [(0, "y", True), (0, "z", False), (1, "x", False)]
+    d = spark.createDataFrame([('{"a": {"b": 7}}',), ('{"a": [1]}',), ("[1, 2]",), ("{",), (None,), ('{"a": {"b": "7"}}',), ('{"a": {"b": "seven"}}',)], "j string")
+    found = [(r.b, r.unreadable) for r in landed.answers(d, "j", {"b": ("$.a.b", "int")}).collect()]
+    assert found == [(7, False), (None, False), (None, False), (None, True), (None, False), (7, False), (None, False)]
+
+
 def test_lexicon_sizes():
     assert [len(x) for x in (lexicon.SIDE_EFFECTS, lexicon.SYMPTOMS_NLP, lexicon.SYMPTOMS, lexicon.ALIASES, lexicon.STOP_WORDS, lexicon.TRIAL_STOP_WORDS)] == [72, 51, 50, 27, 29, 44]
 
