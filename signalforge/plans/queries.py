@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from .. import lexicon
 from ..functions import dates as D
+from ..functions import sentences
 from ..functions import text as T
 from ..functions.hof import strings
-from ..operators import alerts, anomaly, cluster, enrich, entities, features, graph, near, quality, upsert
+from ..operators import alerts, analysis, anomaly, cluster, enrich, entities, features, graph, near, quality, upsert
 from ..operators.features import COUPLE, KEY
 from ..operators.stored import scratch
 from ..sources import html, landed, xml
@@ -344,6 +345,50 @@ def relations(spark, d):
     return raw_documents(spark, d).select("doc_id", T.relation(F.col("text"), F.col("doc_id") % 2 == 0).alias("relation"))
 
 
+_N = normalise_sql
+ANALYSED_SQL = f""", f AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'Daily' ELSE drug_name END AS drug, {_N.seeds('lower(text)', T.TERMS)} AS found FROM raw),
+x AS (SELECT doc_id, text, drug, unnest(found) AS x FROM f), p AS (SELECT *, instr(lower(text), x) AS p, {_N.preferred('[x]')}[1] AS token FROM x),
+c AS (SELECT *, substr(lower(text), greatest(p - 200, 1), length(x) + 200 + least(p - 1, 200)) AS t FROM p),
+h AS (SELECT *, {pattern_sql(lexicon.SIDE_EFFECT_PATTERNS)} + CASE WHEN contains(t, lower(drug)) THEN 2 ELSE 0 END AS e, {pattern_sql(lexicon.SYMPTOM_PATTERNS)} AS s FROM c),
+r AS (SELECT doc_id, token, CASE WHEN e + s > 0 AND e >= s OR e + s = 0 AND (x IN {_N.in_list(lexicon.SIDE_EFFECTS)} OR token IN {_N.in_list(lexicon.SIDE_EFFECTS)}) THEN 'e'
+  WHEN e + s > 0 OR x IN {_N.in_list(lexicon.SYMPTOMS_NLP)} OR token IN {_N.in_list(lexicon.SYMPTOMS_NLP)} THEN 's' END AS kind FROM h),
+a AS (SELECT doc_id, list(token) AS covered, coalesce(list(token) FILTER (WHERE kind = 'e'), []) AS e, coalesce(list(token) FILTER (WHERE kind = 's'), []) AS s FROM r GROUP BY ALL),
+j AS (SELECT doc_id, text, found, coalesce(covered, []) AS covered, coalesce(e, []) AS e, coalesce(s, []) AS s FROM f LEFT JOIN a USING (doc_id)),
+k AS (SELECT *, {_N.union('e', _N.without(_N.alias(_N.kept('found', lexicon.SIDE_EFFECTS)), 'covered'))} AS e1 FROM j),
+l AS (SELECT *, {_N.without(_N.union('s', _N.without(_N.alias(_N.kept('found', lexicon.SYMPTOMS_NLP)), 'covered')), 'e1')} AS s1 FROM k),
+m AS (SELECT doc_id, list_sort(list_distinct({_N.preferred('e1')})) AS side_effects, list_sort(list_distinct({_N.preferred('s1')})) AS s2, {_N.DOSES} AS dosages FROM l)
+SELECT doc_id, side_effects, {_N.without('s2', 'side_effects')} AS symptoms, dosages FROM m"""
+
+
+@query(with_raw(ANALYSED_SQL))
+def analysed_texts(spark, d):
+    """Whole texts by their entities: each known term is judged by what stands around it, the seeds tell where nothing does."""
+    own = F.when(F.col("doc_id") % 2 == 0, "Daily").otherwise(F.col("drug_name"))
+    r = landed.spread(raw_documents(spark, d)).select("doc_id", "text", own.alias("drug"), T.terms_in(F.lower("text")).alias("found"))
+    found = analysis.analyse(r.withColumn("entities", analysis.known_entities(F.col("found"))), "text", "drug", "entities", "found")
+    return found.select("doc_id", "side_effects", "symptoms", "dosages")
+
+
+SENTENCES_SQL = rf""", b AS (SELECT doc_id, substr({_N.clean('text')}, 1, {sentences.LENGTH}) AS t FROM raw),
+m AS (SELECT doc_id, regexp_replace(t, '(^|[^A-Za-z])({'|'.join(re.escape(w) for w in sentences.ABBREVIATIONS)})\.', '\1\2' || chr(31), 'g') AS t FROM b),
+p AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([.!?]["'')\]]{{0,2}})\s+', '\1' || chr(30), 'g'), chr(30) || '(\p{{Ll}})', ' \1', 'g') AS t FROM m),
+s AS (SELECT doc_id, trim(replace(unnest(string_split(t, chr(30))), chr(31), '.')) AS text FROM p),
+f AS (SELECT doc_id, text, {_N.seeds('lower(text)', T.TERMS)} AS found FROM s WHERE text <> ''),
+g AS (SELECT *, {_N.preferred(_N.kept('found', lexicon.SIDE_EFFECTS))} AS e, {_N.preferred(_N.kept('found', lexicon.SYMPTOMS_NLP))} AS y, {_N.DOSES} AS d,
+  len(list_filter(found, lambda x: length(x) > 3 AND x NOT IN {_N.in_list(lexicon.STOP_WORDS)})) > 0 AS named FROM f),
+n AS (SELECT doc_id, count(*) AS sentences, count(*) FILTER (WHERE named) AS named, coalesce(flatten(list(e) FILTER (WHERE named)), []) AS e, coalesce(flatten(list({_N.without('y', 'e')}) FILTER (WHERE named)), []) AS y,
+  coalesce(flatten(list(d) FILTER (WHERE named)), []) AS d FROM g GROUP BY ALL)
+SELECT raw.doc_id, CAST(coalesce(sentences, 0) AS INT) AS sentences, CAST(coalesce(named, 0) AS INT) AS named, list_sort(list_distinct(coalesce(e, []))) AS side_effects,
+  list_sort(list_distinct({_N.without('coalesce(y, [])', 'coalesce(e, [])')})) AS symptoms, list_sort(list_distinct(coalesce(d, []))) AS dosages FROM raw LEFT JOIN n USING (doc_id)"""
+
+
+@query(with_raw(SENTENCES_SQL))
+def sentence_terms(spark, d):
+    """What the sentences that name something say, in the part of each text that is read sentence by sentence."""
+    r = landed.spread(raw_documents(spark, d)).select("doc_id", T.clean_text(F.col("text")).alias("text"))
+    return analysis.sentence_terms(r, "text").drop("text")
+
+
 CONDITION_WORDS = ["MDD", "colds, hay fever", "Foo, bar baz", "Foo Bar", "Back Pain", "x, AML"]
 
 
