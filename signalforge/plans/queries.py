@@ -17,7 +17,8 @@ from ..functions.hof import strings
 from ..operators import alerts, analysis, anomaly, cluster, enrich, entities, features, graph, near, quality, upsert
 from ..operators.features import COUPLE, KEY
 from ..operators.stored import scratch
-from ..sources import html, landed, xml
+from ..sources import html, landed, paged, xml
+from ..streaming import increment
 from . import lenses, normalise, normalise_sql, temporal
 from .lenses import EFFECTS, RAW_SQL, SERIES_SQL, SYMPTOMS, raw_documents, series, table
 
@@ -741,6 +742,31 @@ def first_claims(spark, d):
     return landed.first_claims(found, done, "article", ["drug"])
 
 
+@query("SELECT page_id, drug_name, page, nct_id FROM (SELECT page_id, 'drug' || page_id % 5 AS drug_name, CAST(page_id // 25 AS INT) AS page, 'NCT' || page_id AS nct_id, row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id) AS r FROM pages WHERE page_id % 4 > 0) WHERE r <= 10 AND page < 40")
+def paged_trials(spark, d):
+    """Trials by searches whose answers lie in pages: those of the window count, and no page is read after the one that fills the cap."""
+    p = F.col("page_id")
+    year = F.when(p % 4 == 0, "2018-12-31").when(p % 4 == 1, "2019-01").otherwise("2026-12-31")
+    a = F.concat(F.lit('{"page_id":'), p.cast("string"), F.lit(',"nct":"NCT'), p.cast("string"), F.lit('","status":{"start":"'), year, F.lit('"}}'))
+    items = table(spark, d, "pages").select(F.concat(F.lit("drug"), (p % 5).cast("string")).alias("drug_name"), F.floor(p / 25).cast("int").alias("page"), p.alias("pos"), a.alias("item"))
+    path = f"{scratch(spark)}/answers-{uuid.uuid4().hex}"
+    paged.land(items, path)
+    found = landed.parsed(paged.search(spark, path, cap=10, pages=40, date_field="status.start"), "item", "page_id long, nct string")
+    return found.select("page_id", "drug_name", "page", F.col("nct").alias("nct_id"))
+
+
+@query("SELECT l_partkey AS article, coalesce(min(l_suppkey) FILTER (WHERE l_orderkey % 2 = 0), min(l_suppkey)) AS drug FROM lineitem GROUP BY ALL")
+def streamed_claims(spark, d):
+    """Articles that several drugs' searches give, found in two runs: a run goes on from the state of the one before it."""
+    path = f"{scratch(spark)}/claims-{uuid.uuid4().hex}"
+    finds = table(spark, d, "lineitem").select(F.col("l_partkey").alias("article"), F.col("l_suppkey").alias("drug"), F.col("l_suppkey").alias("ord"), "l_orderkey")
+    for run in (0, 1):
+        finds.filter(F.col("l_orderkey") % 2 == run).drop("l_orderkey").write.mode("append").parquet(f"{path}/finds")
+        stream = increment.read(spark, f"{path}/finds", "article long, drug long, ord long", 1000)
+        increment.append_once(increment.claims(stream, "article", "drug", "ord"), f"{path}/claims", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/claims").select("article", "drug")
+
+
 FORUM_SQL = with_raw(""", base AS (SELECT doc_id, ['patients', 'daily', 'cause', 'qqqq'][doc_id % 4 + 1] AS drug_name, (doc_id // 4) % 2 AS forum, ((doc_id // 8) % 40) // 6 AS page, (doc_id // 8) % 40 % 6 AS pos, text, CAST(doc_id AS VARCHAR) AS id, CAST(doc_id % 60 AS INT) AS score FROM raw),
 hit AS (SELECT *, row_number() OVER (PARTITION BY drug_name, forum, page ORDER BY pos, id) AS nth FROM (SELECT *, lower(trim(text)) AS t FROM base) WHERE page < 4 AND contains(t, drug_name) AND {effects} AND {causes}),
 com AS (SELECT h.drug_name, h.forum, h.page, 1 AS k, h.pos, c.pos AS cpos, c.text, 'c' || c.id AS id, c.score, lower(c.text) AS t FROM hit h JOIN base c ON CAST(h.id AS BIGINT) = (CAST(c.id AS BIGINT) * 7) % 500 WHERE nth <= 3),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructField, StructType
 
 
 def read(spark: SparkSession, path: str, schema: str, files_a_batch: int = 100) -> DataFrame:
@@ -38,3 +40,40 @@ def append_once(events: DataFrame, table: str, checkpoint: str) -> StreamingQuer
 def upsert_once(events: DataFrame, merge, checkpoint: str) -> StreamingQuery:
     """Hands each batch to merge(batch, number), for keyed writes."""
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class FirstClaim(StatefulProcessor):
+    """The first claim of an item, by its order; what was claimed before, in this run or an earlier one, gives nothing."""
+
+    def __init__(self, item: str, drug: str, order: str) -> None:
+        self.item, self.drug, self.order = item, drug, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.claimed = handle.getValueState("claimed", "claimed boolean")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803, ARG002
+        first = None
+        for part in rows:
+            part = part.sort_values([self.order, self.drug], kind="stable").head(1)[[self.drug, self.order]]
+            first = part if first is None else pd.concat([first, part]).sort_values([self.order, self.drug], kind="stable").head(1)
+        if first is not None and not self.claimed.exists():
+            self.claimed.update((True,))
+            first.insert(0, self.item, key[0])
+            yield first
+
+    def close(self) -> None:
+        pass
+
+
+def claims(finds: DataFrame, item: str, drug: str, order: str) -> DataFrame:
+    """(item, drug, order) of a stream of finds: each item goes to the drug whose find comes first, once, whatever later runs find.
+
+    The state is one flag an item, kept by item beside the checkpoint, so a run reads nothing of what earlier ones wrote. Of a batch's
+    finds the one with the least (order, drug) is the first. Null items claim nothing. The session keeps its state in RocksDB.
+    """
+    spark = finds.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    of = {f.name: f.dataType for f in finds.schema}
+    schema = StructType([StructField(c, of[c]) for c in (item, drug, order)])
+    rows = finds.select(item, drug, order).filter(F.col(item).isNotNull() & F.col(drug).isNotNull())
+    return rows.groupBy(item).transformWithStateInPandas(FirstClaim(item, drug, order), schema, "append", "none")

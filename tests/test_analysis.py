@@ -8,6 +8,8 @@ from signalforge import lexicon
 from signalforge.functions import text as T
 from signalforge.functions.sentences import ABBREVIATIONS, sentences
 from signalforge.operators import analysis
+from signalforge.sources import paged
+from signalforge.streaming import increment
 
 KIND = "array<struct<text:string,label:string>>"
 
@@ -86,3 +88,51 @@ def test_sentence_terms(spark):
     # with a model's entities only the sentence that holds one is looked at again
     model = {r.k: r for r in analysis.sentence_terms(d, "t", "e").collect()}
     assert (model[1].named, model[1].dosages) == (1, []) and "fatigue" not in {*model[1].side_effects, *model[1].symptoms}
+
+
+def _item(n, day):
+    return f'{{"n": {n}, "at": {{"day": "{day}"}}}}'
+
+
+def test_paged_search(spark, tmp_path):
+    rows = [("a/b c", 0, 0, _item(1, "2020-01-01")), ("a/b c", 0, 1, _item(2, "2001-01-01")), ("a/b c", 1, 0, _item(3, "2021")), ("a/b c", 2, 0, _item(4, "2022-03"))]
+    rows += [("gap", 0, 0, _item(5, "2020-01-01")), ("gap", 2, 0, _item(6, "2020-01-01")), ("bad", 0, 0, "{"), ("bad", 0, 1, "[1]"), ("bad", 0, 2, _item(7, "2020-01-01")), ("bad", 1, 0, _item(8, "2020")), (None, 0, 0, _item(9, "2020"))]
+    path = str(tmp_path / "answers")
+    paged.land(spark.createDataFrame(rows, "drug_name string, page int, pos int, item string"), path)
+
+    def numbers(**options):
+        return sorted(n for (n,) in paged.search(spark, path, **options).selectExpr("get_json_object(item, '$.n')").collect() if n)
+
+    assert numbers() == ["1", "2", "3", "4", "5", "7", "8"]  # a missing page ends a search; rows without a drug are none
+    assert numbers(date_field="at.day") == ["1", "3", "4", "5", "7", "8"]
+    assert numbers(date_field="at.day", cap=2) == ["1", "3", "5", "7", "8"]
+    assert numbers(cap=1) == ["1", "5", "7"] and numbers(pages=1) == ["1", "2", "5", "7"]
+    assert numbers(date_field="at.day", since="2021-01-01", until="2021-12-31") == ["3"] and numbers(date_field="at.none") == []
+    corrupt = paged.search(spark, path, cap=1).filter("corrupt is not null").collect()
+    assert sorted((r.drug_name, r.pos, r.item, r.corrupt) for r in corrupt) == [("bad", 0, None, "{"), ("bad", 1, None, "[1]")]
+    one = paged.search(spark, path).filter("drug_name = 'a/b c'")
+    assert one.count() == 4 and one.rdd.getNumPartitions() == 1 and paged.search(spark, path).rdd.getNumPartitions() == 3
+    assert paged.search(spark, path).filter("drug_name in ('gap', 'bad') and page = 0").count() == 4
+    assert paged.search(spark, path).filter("drug_name = 'none'").count() == 0 and paged.search(spark, str(tmp_path / "nothing")).count() == 0
+    # a page that is there but empty ends its search
+    (tmp_path / "answers" / "drug_name=gap" / "page=1").mkdir()
+    assert "6" not in numbers()
+
+
+def test_claims_go_on_after_a_restart(spark, tmp_path):
+    finds, out, state = (str(tmp_path / n) for n in ("finds", "claims", "state"))
+    schema = "article string, drug string, ord int"
+
+    def run(*rows):
+        if rows:
+            spark.createDataFrame(rows, schema).write.mode("append").parquet(finds)
+        stream = increment.claims(increment.read(spark, finds, schema), "article", "drug", "ord")
+        increment.append_once(stream, out, state).awaitTermination()
+        return sorted((r.article, r.drug, r.ord) for r in spark.read.schema(schema).parquet(out).collect())
+
+    # ties by name; repeated finds and nulls claim nothing more
+    first = run(("x", "b", 2), ("x", "c", 1), ("x", "a", 3), ("y", "b", 1), ("y", "a", 1), ("y", "a", 1), (None, "a", 0), ("z", None, 0))
+    assert first == [("x", "c", 1), ("y", "a", 1)]
+    # a later run finds an earlier place in the order: the article stays where it is
+    assert run(("x", "a", 0), ("z", "d", 9)) == [*first, ("z", "d", 9)]
+    assert run() == [*first, ("z", "d", 9)]
