@@ -4,7 +4,11 @@ A given rule (host, path, verdict) fits its host and all subdomains where the pa
 For the URLs that none fits, token combinations that foretell a verdict are mined by FP-growth from labelled URLs
 (by default those that a given rule fits), pruned by support, confidence and redundancy, and matched through an inverted
 index: a combination is looked up under its rarest token, in the distinct token sets alone. The most
-confident match gives the verdict, then the best supported, then the first by text; with no match, `default`.
+confident match gives the verdict, then the best supported, then the last by text; with no match, `default`.
+
+Tokens that stand in the same labelled URLs, all of them, are one to the miner: a site's long fixed path counts once, not as each of its
+2^k parts. Nothing is lost by it. Any token of such a group has the support and confidence of every choice from it, and of two
+from one group either makes the other redundant; a combination of groups fits where a token of each is.
 
 Defined cases: null URLs and those without :// have empty host and path, no tokens and the default verdict; repeated rows
 are judged alike; with no labelled URL nothing is mined; an empty table gives an empty result; other columns pass through,
@@ -56,8 +60,34 @@ def given(hosts: Column, paths: Column, rules=RULES) -> tuple[Column, Column]:
     return F.coalesce(*text, none), F.coalesce(*verdict, none)
 
 
+def groups(labelled: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """(_token, _group) of the tokens that a share `support` of the rows hold: those that stand in the same rows have one group, the least of them.
+
+    There are at most 1 / support times the mean number of tokens a row of them.
+    """
+    sets = labelled.groupBy("_tokens").agg(F.count(F.lit(1)).alias("_n"))
+    # rows of equal tokens are one set: which sets hold a token is told by their number and two 64-bit sums of their names
+    held = sets.withColumns({"_a": F.xxhash64("_tokens"), "_b": F.xxhash64("_tokens", F.lit(1))}).select("_n", "_a", "_b", F.explode("_tokens").alias("_token"))
+    held = held.groupBy("_token").agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_sets"), F.bit_xor("_a").alias("_a"), F.bit_xor("_b").alias("_b"))
+    # the miner's own bound
+    total = sets.agg(F.ceil(F.lit(support) * F.sum("_n")).alias("_least"))
+    frequent = held.join(F.broadcast(total), F.col("_rows") >= F.col("_least"))
+    together = frequent.groupBy("_rows", "_sets", "_a", "_b").agg(F.collect_list("_token").alias("_of"), F.min("_token").alias("_group"))
+    return together.select("_group", F.explode("_of").alias("_token"))
+
+
+def grouped(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """(key, _groups): the sorted groups that the tokens of each row (key, _tokens) stand for; rows without any are left out."""
+    told = rows.select(key, F.explode("_tokens").alias("_token"))
+    small = named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return told.join(F.broadcast(named) if small else named, "_token").groupBy(key).agg(F.array_sort(F.collect_set("_group")).alias("_groups"))
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(_if array<string>, _then, _confidence, _support) from (_tokens, _label): pruned combinations that foretell a label."""
+    """(_if array<string>, _then, _confidence, _support) from (_tokens, _label): pruned combinations of tokens that foretell a label.
+
+    Tokens that always come together should be one (groups()) before: each of them doubles the combinations.
+    """
     baskets = labelled.select(F.concat("_tokens", F.array(F.concat(F.lit("="), F.col("_label")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.filter(F.element_at("consequent", 1).startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
@@ -97,8 +127,14 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, label_col: str |
     d = d.withColumn("_rule", rule).withColumn("_says", says).withColumn("_key", F.xxhash64(tokens(url)))
     label = q(labels[0]) if labels else F.col("_says")
     labelled = d.select(tokens(url).alias("_tokens"), label.alias("_label")).filter("_label is not null and size(_tokens) > 0")
-    mined = mine(labelled, support, confidence)
+    labelled = materialise(labelled.withColumns({"_set": F.xxhash64("_tokens"), "_row": F.monotonically_increasing_id()}), "url-labelled")
+    named = materialise(groups(labelled, support), "url-groups")
+    # rows with no frequent token still count: the miner's support is a share of all of them
+    of = materialise(grouped(labelled.dropDuplicates(["_set"]), named, "_set"), "url-grouped")
+    baskets = attach(labelled.select("_set", "_row", "_label"), of, ["_set"], "_row")
+    mined = mine(baskets.select(F.coalesce("_groups", F.array().cast("array<string>")).alias("_tokens"), "_label"), support, confidence)
     sets = d.filter("_says is null").select("_key", tokens(url).alias("_tokens")).dropDuplicates(["_key"])
-    found = materialise(match(materialise(sets, "url-sets"), mined), "url-verdicts")
+    sets = materialise(grouped(sets, named, "_key").withColumnRenamed("_groups", "_tokens"), "url-sets")
+    found = materialise(match(sets, mined), "url-verdicts")
     d = attach(d, found, ["_key"], url_col)
     return restored(d.withColumn("_verdict", F.coalesce("_says", "_mined", F.lit(default))).drop("_says", "_key"), names)

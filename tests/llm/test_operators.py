@@ -598,3 +598,38 @@ def test_url_rules_equal_brute_force(spark):
                     rules[combo, y] = labels.count(y) / len(labels)
     kept = {k: c for k, c in rules.items() if not any(rules.get((tuple(x for x in k[0] if x != out), k[1]), -1) >= c for out in k[0])}
     assert {(tuple(r._if), r._then): round(r._confidence, 9) for r in mined} == {k: round(c, 9) for k, c in kept.items()}
+
+
+def test_url_verdicts_equal_brute_force(spark):
+    """The best rule over single tokens is the best over groups of tokens that always come together."""
+    rng = random.Random(21)
+    twins = {"a": "a/deep/er", "b": "b", "c": "c/twin", "d": "d"}  # tokens that never part
+    urls = []
+    for k in range(150):
+        parts = [rng.choice("abcd") for _ in range(rng.randint(1, 3))]
+        usual = "allow" if "b" in parts else "block"
+        urls.append((k, f"http://h{rng.choice('xyz')}.example.org/" + "/".join(twins[p] for p in parts), rng.choice([usual] * 6 + ["block", "allow", None])))
+    # the last ones hold parts of twins alone
+    urls += [(200 + k, f"http://q.org/{p}", None) for k, p in enumerate(["deep", "er", "deep/er", "twin/b", "zz", "c/er", "a/d"])]
+    d = spark.createDataFrame(urls, "page_id long, url string, label string")
+    got = {r.page_id: r._mined for r in urlrules.judge(d, rules=(("none.none", "/", "allow"),), label_col="label", support=0.05, confidence=0.7).collect()}
+    sets = {r.page_id: set(r.t) for r in d.select("page_id", urlrules.tokens(F.col("url")).alias("t")).collect()}
+    known = [(sets[k], y) for k, _, y in urls if y]
+    rules = {}
+    for n in (1, 2, 3, 4):
+        for combo in itertools.combinations(sorted(set().union(*[t for t, _ in known])), n):
+            labels = [y for t, y in known if t.issuperset(combo)]
+            for y in ("block", "allow"):
+                if labels and labels.count(y) >= math.ceil(0.05 * len(known)) and labels.count(y) / len(labels) >= 0.7:
+                    rules[combo, y] = labels.count(y) / len(labels), labels.count(y) / len(known)
+    assert len(rules) > 20 and len(set(got.values())) >= 2
+    for k, tokens in sets.items():
+        fits = [(c, y) for (combo, y), c in rules.items() if tokens.issuperset(combo)]
+        best = max((c for c, _ in fits), default=None)
+        assert got[k] in ({y for c, y in fits if c == best} or {None}), (k, tokens)
+
+
+def test_long_common_paths_are_one_token(spark):
+    urls = [(k, "http://deep.example.com/en/" + "/".join(f"part{chr(97 + j)}" for j in range(30)) + f"/{chr(97 + k % 26)}x") for k in range(60)] + [(100, "http://other.org/partq"), (101, "http://other.org/nothing")]
+    got = {r.page_id: r for r in urlrules.judge(spark.createDataFrame(urls, "page_id long, url string")).collect()}
+    assert {got[k]._verdict for k in range(60)} == {"block"} and got[100]._mined == "block" and got[101]._mined is None
