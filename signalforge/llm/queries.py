@@ -21,7 +21,23 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linedup.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.size("_spans").cast("long").alias("n_removed"), F.col("_spans").alias("spans"), F.col("_clean_text").alias("clean_text"))
+    spans = F.array_join(F.transform("_spans", lambda s: F.concat_ws(":", s["line"].cast("string"), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", F.size("_spans").cast("long").alias("n_removed"), spans.alias("spans"), F.col("_clean_text").alias("clean_text"))
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, text, md5(coalesce(text, '')) AS digest, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT row, doc_id, digest, unnest(lines) AS line, unnest(range(len(lines))) AS k FROM d),
+u AS (
+  SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS unit,
+    coalesce(sum(length(line) + 1) OVER (PARTITION BY row ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l),
+g AS (SELECT *, unit <> '' AND row_number() OVER (PARTITION BY unit ORDER BY doc_id IS NULL, doc_id, digest, row, k) > 1 AS gone FROM u),
+r AS (
+  SELECT row, count(*) FILTER (WHERE gone) AS n_removed, string_agg(k || ':' || start || ':' || (start + length(line)), ',' ORDER BY k) FILTER (WHERE gone) AS spans,
+    string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone) AS rest FROM g GROUP BY row)
+SELECT doc_id, n_removed, coalesce(spans, '') AS spans, CASE WHEN text IS NOT NULL THEN coalesce(rest, '') END AS clean_text FROM d JOIN r USING (row)
+"""
 
 
 def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,4 +255,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack, "op2_lines": op2_lines, "op3_vectors": op3_vectors, "op4_warc": op4_warc, "op5_mix": op5_mix, "op6_pii": op6_pii, "op7_neardup": op7_neardup, "op8_quality": op8_quality, "op9_lm": op9_lm, "op10_urls": op10_urls,
     "op11_infill": op11_infill, "op12_licenses": op12_licenses, "op13_runs": op13_runs,
 }
-SQL: dict[str, str] = {"op3_vectors": OP3_SQL, "op4_warc": OP4_SQL, "op5_mix": OP5_SQL, "op8_quality": OP8_SQL, "op11_infill": OP11_SQL, "op12_licenses": _license_sql()}
+SQL: dict[str, str] = {"op2_lines": OP2_SQL, "op3_vectors": OP3_SQL, "op4_warc": OP4_SQL, "op5_mix": OP5_SQL, "op8_quality": OP8_SQL, "op11_infill": OP11_SQL, "op12_licenses": _license_sql()}
