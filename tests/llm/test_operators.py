@@ -403,7 +403,7 @@ def test_all_operators_are_registered():
     assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
-@pytest.mark.parametrize("name", ["op3_vectors", "op4_warc", "op5_mix", "op8_quality", "op11_infill", "op12_licenses"])
+@pytest.mark.parametrize("name", ["op2_lines", "op3_vectors", "op4_warc", "op5_mix", "op8_quality", "op11_infill", "op12_licenses"])
 def test_queries_equal_sql(spark, name):
     from signalforge.llm import queries
 
