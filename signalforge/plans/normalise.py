@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,10 +57,20 @@ TOLD: dict[str, Callable[[], Column]] = {
 }
 
 
-def _lists(d: DataFrame, split_terms: bool) -> DataFrame:
+@dataclass(frozen=True)
+class Handler:
+    """How records of a further source are read: what is said in them, their id there (none without it), and whether terms are looked for anywhere in
+    it, as in reviews, even if contexts and seeds give some."""
+
+    said: Callable[[], Column]
+    source_id: Callable[[], Column] | None = None
+    anywhere: bool = False
+
+
+def _lists(d: DataFrame, split_terms: bool, more: Mapping[str, Handler]) -> DataFrame:
     """d with _given (side effects that the record lists), _mesh, _conds and _said."""
     d = d.withColumn("_a", articles(F.when(F.col("source") == "pubmed", F.col("content"))))
-    d = d.withColumn("_said", T.clean_text(by_source({s: f() for s, f in TOLD.items()}, F.lit(None).cast("string"))))
+    d = d.withColumn("_said", T.clean_text(by_source({s: f() for s, f in {**TOLD, **{s: h.said for s, h in more.items()}}.items()}, F.lit(None).cast("string"))))
     d = d.withColumn("_title", T.clean_text(by_source({"clinicaltrials": F.col("title"), "pubmed": F.col("_a.title")}, F.lit(None).cast("string"))))
     d = d.withColumn("_mesh", F.when(F.col("source") == "pubmed", F.array_except("_a.mesh", strings(lexicon.MESH_EXCLUDED))).otherwise(_empty()))
     both = F.concat(F.coalesce("side_effects.mild", _empty()), F.coalesce("side_effects.serious", _empty()))
@@ -88,7 +99,7 @@ def _texts(d: DataFrame) -> DataFrame:
     return d.withColumns(found)
 
 
-def classify(d: DataFrame) -> DataFrame:
+def classify(d: DataFrame, more: Mapping[str, Handler] | None = None) -> DataFrame:
     """d with se and sym: terms that the record lists or its text names, by announcing contexts and, for some sources or if nothing is
     found, anywhere; stop words out, preferred terms, none within another. The text was searched once (_found)."""
     trial = F.col("source") == "clinicaltrials"
@@ -101,7 +112,7 @@ def classify(d: DataFrame) -> DataFrame:
     d = d.withColumn("_sy", F.array_union("_sy", F.array_except(lowered(F.concat("_trial", mesh)), F.col("_se"))))
     after_effects, after_symptoms = T.context_terms(F.col("_after_effect"), F.col("_after_symptom"))
     d = d.withColumn("_se", F.array_union("_se", after_effects)).withColumn("_sy", F.array_union("_sy", after_symptoms))
-    anywhere = F.col("source").isin(*FORCED, *REVIEWS) | (F.size("_se") + F.size("_sy") == 0)
+    anywhere = F.col("source").isin(*FORCED, *REVIEWS, *[s for s, h in (more or {}).items() if h.anywhere]) | (F.size("_se") + F.size("_sy") == 0)
     effects, symptoms = T.lexical_terms(F.col("_found"), stop)
     d = d.withColumns({"_se": F.when(anywhere, F.array_union("_se", effects)).otherwise(F.col("_se")), "_sy": F.when(anywhere, F.array_union("_sy", symptoms)).otherwise(F.col("_sy"))})
     d = d.withColumns({"_se": T.stop_filtered(F.col("_se"), stop), "_sy": T.stop_filtered(F.col("_sy"), stop)})
@@ -122,7 +133,7 @@ def _trials(d: DataFrame) -> DataFrame:
     return d.withColumns({"se": F.when(trial, se).otherwise(F.col("se")), "sym": F.when(trial, sym).otherwise(F.col("sym"))})
 
 
-def _output(d: DataFrame) -> DataFrame:
+def _output(d: DataFrame, more: Mapping[str, Handler]) -> DataFrame:
     start = lambda c, n: F.substring(c, 1, n)
     none, filled = F.lit(None).cast("string"), lambda c: F.nullif(F.col(c), F.lit(""))
     dose = F.coalesce("dosage", F.lit(""))
@@ -135,7 +146,7 @@ def _output(d: DataFrame) -> DataFrame:
         "text_clean": by_source({"clinicaltrials": start(F.col("_said"), 3000), "openfda": F.col("_said"), "vigiaccess": F.lit(""), "webmd": start(F.col("_text"), 1000)}, start(F.col("_said"), 1000)),
         "conditions": by_source(conditions, _empty()),
         "dosages": by_source({"openfda": given}, T.dosages(F.col("_text"))),
-        "source_id": by_source({"clinicaltrials": F.col("nct_id"), "drugs.com": filled("review_key"), "openfda": F.coalesce("report_id", F.lit("")), "pubmed": F.coalesce("pubmed_id", F.lit("")), "reddit": F.col("reddit_meta.post_id")}, none),
+        "source_id": by_source({"clinicaltrials": F.col("nct_id"), "drugs.com": filled("review_key"), "openfda": F.coalesce("report_id", F.lit("")), "pubmed": F.coalesce("pubmed_id", F.lit("")), "reddit": F.col("reddit_meta.post_id"), **{s: h.source_id() for s, h in more.items() if h.source_id}}, none),
         "source_status": by_source({"clinicaltrials": F.nullif(F.lower("status"), F.lit(""))}, none),
         "source_title": by_source({"clinicaltrials": filled("_title"), "pubmed": F.nullif(start(F.col("_title"), 200), F.lit(""))}, none),
         "subreddit": by_source({"reddit": F.nullif(F.lower("reddit_meta.subreddit"), F.lit(""))}, none),
@@ -144,17 +155,25 @@ def _output(d: DataFrame) -> DataFrame:
     return d.select(*kept, "source", T.drug_name(F.col("drug_name")).alias("drug_name"), "url", F.col("se").alias("side_effects"), F.col("sym").alias("symptoms"), *[v.alias(k) for k, v in columns.items()])
 
 
-def normalise(raw: DataFrame, drugs: DataFrame | None = None, scores: DataFrame | None = None, keep_empty: bool = True, split_terms: bool = False) -> DataFrame:
+def normalise(raw: DataFrame, drugs: DataFrame | None = None, scores: DataFrame | None = None, keep_empty: bool = True, split_terms: bool = False, more: Mapping[str, Handler] | None = None) -> DataFrame:
     """Normalised records of all known sources, by one pass over them; other sources are dropped.
 
     What differs between sources is chosen by the source (by_source), so the texts are read, cleaned and searched once. drugs (name,
     synonyms, category, ord) gives drug_class, scores (source, authority_score, source_type) the authority; keep_empty=False leaves
-    out records without terms; split_terms takes each reaction of a safety report as a term of its own.
+    out records without terms; split_terms takes each reaction of a safety report as a term of its own. more has handlers of further sources by
+    their names in lower case; a known source's cannot be replaced. Handlers may read any column of raw.
     """
-    known = conform(raw).filter(F.col("source").isin(*SOURCES))
-    out = _output(_trials(classify(_texts(_lists(known, split_terms)))))
+    more = more or {}
+    if taken := sorted(set(more) & set(SOURCES)):
+        raise ValueError(f"sources that are handled already: {', '.join(taken)}")
+    known = conform(raw).filter(F.col("source").isin(*SOURCES, *more))
+    out = _output(_trials(classify(_texts(_lists(known, split_terms, more)), more)), more)
     if drugs is not None:
         out = out.join(drug_classes(drugs).withColumnRenamed("name", "drug_name"), "drug_name", "left")
     if scores is not None:
         out = source_authority(out, scores)
-    return out if keep_empty else out.filter((F.size("side_effects") > 0) | (F.size("symptoms") > 0))
+    if keep_empty:
+        return out
+    # a filter would be pushed below the search for terms, with a search of its own: rows are kept by what was found
+    kept = F.filter(F.array(F.struct(*out.columns)), lambda r: (F.size(r["side_effects"]) > 0) | (F.size(r["symptoms"]) > 0))
+    return out.select(F.inline(kept))

@@ -888,6 +888,19 @@ def normalised_records(spark, d):
     return normalise.normalise(_raw_records(spark, d), scores=scores)
 
 
+FURTHER_RAW = f"raw AS (SELECT * REPLACE ('reddit' AS source, CASE WHEN doc_id % 2 = 0 THEN string_split(text, ' Patients reported ')[1] ELSE text END AS text) FROM ({RAW_SQL}))"
+
+
+@query(f"WITH {normalise_sql.normalised().replace(f'raw AS ({RAW_SQL})', FURTHER_RAW)} SELECT doc_id, 'letters' AS source, drug_name, side_effects, symptoms, text_clean, dosages, CAST(doc_id AS VARCHAR) AS source_id FROM records WHERE len(side_effects) + len(symptoms) > 0")
+def further_source(spark, d):
+    """Records of a source that the library does not know, by a handler given to the normaliser; those without terms are left out."""
+    i, text = F.col("doc_id"), F.col("text")
+    raw = landed.spread(raw_documents(spark, d)).select("doc_id", "drug_name", F.lit("Letters").alias("source"), F.when(i % 2 == 0, F.substring_index(text, " Patients reported ", 1)).otherwise(text).alias("letter"))
+    handler = normalise.Handler(said=lambda: F.col("letter"), source_id=lambda: F.col("doc_id").cast("string"), anywhere=True)
+    found = normalise.normalise(raw, keep_empty=False, more={"letters": handler})
+    return found.select("doc_id", "source", "drug_name", "side_effects", "symptoms", "text_clean", "dosages", "source_id")
+
+
 @query(normalise_sql.MENTIONS)
 def enriched_mentions(spark, d):
     raw = _raw_records(spark, d)

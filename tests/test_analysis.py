@@ -2,12 +2,14 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from signalforge import lexicon
 from signalforge.functions import text as T
 from signalforge.functions.sentences import ABBREVIATIONS, sentences
 from signalforge.operators import analysis
+from signalforge.plans import normalise
 from signalforge.sources import paged
 from signalforge.streaming import increment
 
@@ -136,3 +138,14 @@ def test_claims_go_on_after_a_restart(spark, tmp_path):
     # a later run finds an earlier place in the order: the article stays where it is
     assert run(("x", "a", 0), ("z", "d", 9)) == [*first, ("z", "d", 9)]
     assert run() == [*first, ("z", "d", 9)]
+
+
+def test_handlers_of_further_sources(spark):
+    rows = [("letters", "A", "nausea came up"), ("LETTERS ", "A", None), ("unknown", "A", "nausea"), ("reddit", "B", "nausea")]
+    raw = spark.createDataFrame(rows, "source string, drug_name string, letter string").withColumn("review_text", F.col("letter"))
+    handler = normalise.Handler(said=lambda: F.col("letter"))
+    got = sorted((r.source, r.text_clean, tuple(r.side_effects), r.source_id) for r in normalise.normalise(raw, more={"letters": handler}).collect())
+    assert got == [("letters", "", (), None), ("letters", "nausea came up", ("nausea",), None), ("reddit", "nausea", ("nausea",), None)]
+    assert normalise.normalise(raw, keep_empty=False, more={"letters": handler}).count() == 2 and normalise.normalise(raw).count() == 1
+    with pytest.raises(ValueError, match="reddit"):
+        normalise.normalise(raw, more={"reddit": handler})
