@@ -80,30 +80,57 @@ def line_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(normal_line(F.coalesce(text, F.lit(""))), " ?\n ?", -1), lambda x: x != ""), lambda x: F.xxhash64(x))
 
 
+def host_key(host_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), q(host_col)), F.lit(""))
+
+
+def line_set(text: Column) -> Column:
+    return F.sort_array(F.array_distinct(line_hashes(text)))
+
+
+def set_digest(lines: Column) -> Column:
+    """What tells documents of a host apart: the digest of their set of lines."""
+    return F.md5(F.array_join(lines.cast("array<string>"), " ").cast("binary"))
+
+
+def different_texts(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
+    """(_host, _doc, _lines): one row a host and set of lines."""
+    d = docs.select(host_key(host_col).alias("_host"), line_set(q(text_col)).alias("_lines"))
+    return d.groupBy("_host", set_digest(F.col("_lines")).alias("_doc")).agg(F.first("_lines").alias("_lines"))
+
+
 def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", least: int = LEAST, share: float = SHARE) -> DataFrame:
     """(_host, _line, _docs): lines that more distinct documents of the host hold than its limit."""
-    host = F.coalesce(F.concat(F.lit("="), q(host_col)), F.lit("")).alias("_host")
-    d = docs.select(host, F.sort_array(F.array_distinct(line_hashes(q(text_col)))).alias("_lines"))
-    # one row a host and set of lines: its digest is dealt, then each line counts once a set, partly before it is dealt
-    texts = d.groupBy("_host", F.md5(F.array_join(F.col("_lines").cast("array<string>"), " ").cast("binary")).alias("_doc")).agg(F.first("_lines").alias("_lines"))
-    counts = texts.select("_host", F.explode("_lines").alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") > least)
-    hosts = docs.groupBy(F.coalesce(F.concat(F.lit("="), q(host_col)), F.lit("")).alias("_host")).agg(F.count(F.lit(1)).alias("_all"))
+    # a set's digest is dealt, then each line counts once a set, partly before it is dealt
+    counts = different_texts(docs, host_col, text_col).select("_host", F.explode("_lines").alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") > least)
+    hosts = docs.groupBy(host_key(host_col).alias("_host")).agg(F.count(F.lit(1)).alias("_all"))
     found = attach(counts, hosts, ["_host"], "_line").filter(F.col("_docs") > share * F.col("_all"))
     return found.select("_host", "_line", "_docs")
 
 
+def hits_of_texts(docs: DataFrame, lines: DataFrame, host_col: str, text_col: str) -> DataFrame:
+    """(_host, _doc, _hits): the boilerplate lines of each host's different texts; a hot host's texts are dealt by line and salt."""
+    said = different_texts(docs, host_col, text_col).select("_host", "_doc", F.explode("_lines").alias("_line"))
+    found = attach(said, lines, ["_host", "_line"], "_doc", max_rows=0).filter(F.col("_docs").isNotNull())
+    return found.groupBy("_host", "_doc").agg(F.collect_list("_line").alias("_hits"))
+
+
 def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", least: int = LEAST, share: float = SHARE, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT) -> DataFrame:
     """docs with the statistics, _removed_words (long), _kept (boolean) and _clean_text (the text without boilerplate lines)."""
     names = docs.columns
     docs, host_col, text_col = positional(docs, host_col, text_col)
     lines = materialise(boilerplate(docs, host_col, text_col, least, share), "boilerplate")
-    sets = lines.groupBy("_host").agg(F.collect_set("_line").alias("_frequent"))
-    few = lines.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    d = statistics(docs, text_col).withColumn("_host", F.coalesce(F.concat(F.lit("="), q(host_col)), F.lit("")))
-    d = attach(d, sets, ["_host"], text_col, max_rows=BROADCAST_LINES if few else 0)
     text = F.coalesce(q(text_col), F.lit(""))
-    hits = F.when(F.col("_frequent").isNotNull(), F.array_intersect(F.col("_frequent"), line_hashes(text)))
-    d = d.withColumn("_hits", F.coalesce(hits, F.array().cast("array<bigint>"))).drop("_frequent", "_host")
+    d = statistics(docs, text_col).withColumn("_host", host_key(host_col))
+    if lines.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        sets = lines.groupBy("_host").agg(F.collect_set("_line").alias("_frequent"))
+        d = attach(d, sets, ["_host"], text_col, max_rows=BROADCAST_LINES)
+        hits = F.when(F.col("_frequent").isNotNull(), F.array_intersect(F.col("_frequent"), line_hashes(text)))
+        d = d.withColumn("_hits", hits).drop("_frequent")
+    else:  # no host's lines in one row: each document's own hits, found line by line
+        d = d.withColumn("_doc", set_digest(line_set(q(text_col)))).withColumn("_row", F.monotonically_increasing_id())
+        d = attach(d, hits_of_texts(docs, lines, host_col, text_col), ["_host", "_doc"], "_row", max_rows=0).drop("_doc", "_row")
+    d = d.withColumn("_hits", F.coalesce("_hits", F.array().cast("array<bigint>"))).drop("_host")
     words = lambda line: F.regexp_count(line, F.lit(WORD))
     removed = F.aggregate(F.filter(F.split(text, "\n", -1), lambda x: F.array_contains(F.col("_hits"), line_hash(x))), F.lit(0), lambda n, x: n + words(x))
     d = d.withColumn("_removed_words", F.when(F.size("_hits") > 0, removed).otherwise(0).cast("long"))

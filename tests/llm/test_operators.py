@@ -188,6 +188,22 @@ def test_quality_several_shared_lines(spark):
     assert {(r._line, r._docs) for r in lines} == {(r.h, 60) for r in want}
 
 
+def test_quality_is_the_same_beyond_the_broadcast(spark, monkeypatch):
+    banner = "this line is on every page of the host\nand so is this one here\n"
+    rows = [(k, banner + "\n".join(prose(50 * k + j, 12) for j in range(4)), "h") for k in range(40)] + [(40 + k, banner + "body of a copied page with ten words and one more", "h") for k in range(40)]
+    rows += [(100 + k, banner + prose(900 + k, 20), None) for k in range(20)] + [(200, None, "h"), (201, "", None), (None, banner + "only three words", "h")]
+    d = documents(spark, rows)
+
+    def judged():
+        return Counter(tuple(r) for r in quality.judge(d).select("doc_id", "_removed_words", "_kept", "_clean_text", "text2").collect())
+
+    want = judged()
+    monkeypatch.setattr(quality, "BROADCAST_LINES", 0)
+    assert judged() == want and sum(want.values()) == len(rows)
+    assert sum(r[1] == 15 for r in want.elements()) == 101
+    assert quality.judge(d.filter("false")).count() == 0
+
+
 # ---- personal data ----
 
 BASE = {
@@ -233,6 +249,56 @@ def test_pii_disclosing_terms(spark):
     assert texts[10] == rows[5][1]
 
 
+def brute_terms(texts, disclosure, support):
+    """{entity: terms} that disclose it, counted line by line."""
+    lines, word = [x for t in texts for x in (t or "").split("\n")], re.compile(r"[^\W\d_]{3,}")
+    said, holds, both, where = Counter(), Counter(), Counter(), defaultdict(set)
+    for line in lines:
+        said.update(set(word.findall(line.lower())))
+        spans = [x.split(":") for x in base_spans(line).split(",") if x]
+        entities = {f"{k}:{line[int(a) : int(b)].lower()}" for k, a, b in spans}
+        bare = line
+        for kind in BASE:
+            bare = re.sub(BASE[kind], " ", bare)
+        for e in entities:
+            holds[e] += 1
+            for t in set(word.findall(bare.lower())):
+                both[e, t] += 1
+                where[e, t].add(line)
+    out = defaultdict(set)
+    for (e, t), n in both.items():
+        ic, pmi = math.log2(len(lines) / holds[e]), math.log2(len(lines) * n / (said[t] * holds[e]))
+        if len(where[e, t]) >= support and ic > 0 and pmi >= disclosure * ic:
+            out[e].add(t)
+    return out
+
+
+@pytest.mark.parametrize(("disclosure", "support"), [(0.9, 3), (0.5, 2), (1.0, 1)])
+def test_pii_spans_equal_brute_force(spark, disclosure, support):
+    rng = random.Random(17)
+    mails, words = [f"{x}@{x}.org" for x in ("kes", "tern", "wren", "Owl")], ["ghost", "kestrel", "tern", "Zürich", "owl", "report", "kestrels", "today"]
+    texts = [None, "", "kes@kes.org", "kestrel kes@kes.org\n" * 4]
+    for k in range(60):
+        lines = []
+        for j in range(rng.randint(1, 4)):
+            m = rng.randrange(4)
+            said = [rng.choice(words[m : m + 3] if rng.random() < 0.7 else words) for _ in range(rng.randint(1, 6))] + ([mails[m]] if rng.random() < 0.6 else []) + [str(rng.randrange(4))] * (j % 2)
+            rng.shuffle(said)
+            lines.append(" ".join(said))
+        texts.append("\n".join(lines))
+    texts += texts[-3:]  # repeated rows
+    terms = brute_terms(texts, disclosure, support)
+    assert terms
+    got = pii.find(documents(spark, [(k, t, "s") for k, t in enumerate(texts)]), disclosure=disclosure, support=support)
+    for r in got.select("text", pii.described(F.col("_spans")).alias("spans")).collect():
+        text = r.text or ""
+        base = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in base_spans(text).split(",") if x)]
+        named = sorted(set().union(*(terms.get(f"{k}:{text[a:b].lower()}", set()) for a, b, k in base)))
+        added = [(m.start(), m.end(), "term") for m in re.finditer(r"(?<![^\W_])(?:" + "|".join(named) + r")(?![^\W_])", text, re.I)] if named else []
+        want = sorted(base + [t for t in added if not any(b[0] < t[1] and t[0] < b[1] for b in base)])
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for a, b, k in want)
+
+
 # ---- near-duplicates ----
 
 
