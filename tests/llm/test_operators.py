@@ -282,10 +282,12 @@ def test_pii_spans_equal_brute_force(spark, disclosure, support):
         lines = []
         for j in range(rng.randint(1, 4)):
             m = rng.randrange(4)
-            said = [rng.choice(words[m : m + 3] if rng.random() < 0.7 else words) for _ in range(rng.randint(1, 6))] + ([mails[m]] if rng.random() < 0.6 else []) + [str(rng.randrange(4))] * (j % 2)
+            said = [words[2 * m + (rng.random() < 0.2)] for _ in range(rng.randint(1, 3))] + ["plain", "ab", str(rng.randrange(4))][: rng.randrange(4)]
+            said += [rng.choice(words)] * (rng.random() < 0.1) + [mails[m]] * (rng.random() < 0.93)
             rng.shuffle(said)
             lines.append(" ".join(said))
         texts.append("\n".join(lines))
+    texts += ["solely wren@wren.org", "plain, solely: wren@wren.org"]  # a term never without its entity: a tie at 1
     texts += texts[-3:]  # repeated rows
     terms = brute_terms(texts, disclosure, support)
     assert terms
