@@ -62,8 +62,9 @@ class Tables:
 
     rows: int
     classes: np.ndarray  # class of an ending
-    tops: np.ndarray  # the classes' most frequent words, each at the place of its first 16 bits
+    tops: np.ndarray  # the classes' most frequent words, each at the place of its first 16 bits or one soon after
     outcomes: np.ndarray  # their outcomes
+    probes: int  # places in a row that a word may be at
     priors: np.ndarray  # log of each class's share
     inner: np.ndarray  # log of each outcome's share within its class
     weights: np.ndarray  # rows of all features x CLASSES
@@ -122,6 +123,29 @@ def _classes_of(endings: np.ndarray) -> np.ndarray:
     return out
 
 
+def _slotted(words: np.ndarray, outcomes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(words, outcomes, places tried at most) of a table in which each word lies at its first 16 bits, or at the next free place."""
+    table, out, probes = np.zeros(1 << 16, np.uint64), np.full(1 << 16, _REST), 0
+    while len(words):
+        at = ((words >> np.uint64(48)).astype(np.int64) + probes) & 0xFFFF
+        first = np.zeros(len(words), bool)
+        first[np.unique(at, return_index=True)[1]] = True
+        placed = first & (out[at] == _REST)
+        table[at[placed]], out[at[placed]] = words[placed], outcomes[placed]
+        words, outcomes, probes = words[~placed], outcomes[~placed], probes + 1
+    return table, out, probes
+
+
+def _outcomes(t: Tables, words: np.ndarray) -> np.ndarray:
+    """Each word's outcome within its class."""
+    at = (words >> np.uint64(48)).astype(np.int64)
+    out = np.full(len(words), _REST)
+    for _ in range(t.probes):
+        out = np.where(t.tops[at] == words, t.outcomes[at], out)
+        at = (at + 1) & 0xFFFF
+    return out
+
+
 def _sequence(t: Tables, words: np.ndarray, counts: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(feature rows: features x tokens, class of each token, outcome within it) of texts, each with its end."""
     n = len(words) + len(counts)
@@ -130,8 +154,7 @@ def _sequence(t: Tables, words: np.ndarray, counts: np.ndarray, tails: np.ndarra
     is_end[stops] = True
     token, kind, outcome = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     token[~is_end], kind[~is_end] = words, t.classes[tails]
-    at = (words >> np.uint64(48)).astype(np.int64)
-    outcome[~is_end] = np.where(t.tops[at] == words, t.outcomes[at], _REST)
+    outcome[~is_end] = _outcomes(t, words)
     begin = np.zeros(n, bool)
     begin[np.append(0, stops[:-1] + 1)] = True
     second = np.zeros(n, bool)
@@ -323,11 +346,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     by_class = np.lexsort((hashes, -n, kinds))
     place = np.arange(len(by_class)) - np.searchsorted(kinds[by_class], np.arange(CLASSES))[kinds[by_class]]
     tops, outcomes = by_class[place < _REST], place[place < _REST]
-    slots = (hashes[tops] >> np.uint64(48)).astype(np.int64)
-    _, alone = np.unique(slots, return_index=True)  # of words with the same first 16 bits one stays an outcome of its own
-    tops, outcomes, slots = tops[alone], outcomes[alone], slots[alone]
-    top_words, top_outcomes = np.zeros(1 << 16, np.uint64), np.full(1 << 16, _REST)
-    top_words[slots], top_outcomes[slots] = hashes[tops], outcomes
+    top_words, top_outcomes, probes = _slotted(hashes[tops], outcomes)
     shares = np.zeros((CLASSES, CLASSES))
     shares[kinds[tops], outcomes] = n[tops]
     rest_mass = class_mass - shares.sum(axis=1)
@@ -340,7 +359,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     norms = np.log10(rest_mass + rest_words + 1)
     distinct = int(words.sum())
     rows = 1 << int(np.ceil(np.log2(max(LEAST_ROWS, ROWS * np.sqrt(distinct)))))
-    tables = Tables(rows, classes, top_words, top_outcomes, priors, inner, np.zeros(((OUTER - 1 + INNER) * rows + CLASSES**2, CLASSES), np.float32))
+    tables = Tables(rows, classes, top_words, top_outcomes, probes, priors, inner, np.zeros(((OUTER - 1 + INNER) * rows + CLASSES**2, CLASSES), np.float32))
     tokens = int(mass.sum()) + ends
     tasks = max(1, tokens // (TOKENS_A_ROW * rows))
     came = _summed(texts.select("text").coalesce(tasks), tables, _counted)

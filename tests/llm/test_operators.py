@@ -624,6 +624,18 @@ def test_language_model_does_not_depend_on_partitions(spark):
     assert np.allclose(*scores, rtol=1e-9, atol=0)
 
 
+def test_words_that_share_their_first_bits_keep_their_outcomes():
+    rng = np.random.default_rng(5)
+    words = np.unique(rng.integers(1, 1 << 63, 900, np.uint64))
+    words = np.append(words, [(words[0] & ~np.uint64(0xFFFF)) + np.uint64(k) for k in range(5)] + [np.uint64((1 << 64) - k) for k in range(1, 4)])
+    words = np.unique(words)
+    outcomes = np.arange(len(words)) % 31
+    table, found, probes = langmodel._slotted(words, outcomes)
+    t = langmodel.Tables(0, None, table, found, probes, None, None, None)
+    assert (langmodel._outcomes(t, words) == outcomes).all() and probes >= 3
+    assert (langmodel._outcomes(t, words + np.uint64(1 << 20)) == 31).all() and len(langmodel._outcomes(t, words[:0])) == 0
+
+
 def test_language_model_grows_with_the_vocabulary(spark):
     few = langmodel.train(documents(spark, [(k, prose(k, 40), "s") for k in range(20)]))
     many = langmodel.train(documents(spark, [(k, " ".join(f"w{k}x{j}" for j in range(4000)), "s") for k in range(120)]))
