@@ -13,7 +13,7 @@ from signalforge import lexicon
 from signalforge.functions import dates as D
 from signalforge.functions import text as T
 from signalforge.operators import alerts, anomaly, cluster, enrich, entities, features, graph, near, quality, stored, upsert
-from signalforge.plans import normalise, temporal
+from signalforge.plans import normalise, queries, temporal
 from signalforge.sources import html, landed, xml
 from signalforge.streaming import increment
 
@@ -249,6 +249,36 @@ def agrees(rows, label):
     return len(pairs) == 4 and len({p[1] for p in pairs}) == 4
 
 
+def test_components_and_centres_equal_numpy(spark):
+    """The registered queries against eigenvectors and nearest centres worked out by numpy from the same scaled features."""
+    folder, columns = "/root/testdata/sf0.001", [f"z_{c}" for c in features.COUPLE_FEATURES]
+    stats = features.scaled(features.couple_stats(queries.series(spark, folder)), features.COUPLE_FEATURES).collect()
+    at = {(r.drug, r.side_effect): [float(r[c]) for c in columns] for r in stats}
+    x = np.array(list(at.values()))
+    shares, vectors = np.linalg.eigh(np.cov(x.T))
+    shares, vectors = shares[::-1] / shares.sum(), vectors[:, ::-1]
+    n = int(np.searchsorted(np.cumsum(shares), 0.95) + 1)
+    want = dict(zip(at, x @ vectors[:, :n], strict=True))
+    found = queries.principal_components(spark, folder).collect()
+    assert len(found) == len(at) and {r.components for r in found} == {n}
+    got = np.array([r.pc for r in found])
+    assert np.allclose(np.abs(got), np.abs([want[r.drug, r.side_effect] for r in found]), atol=1e-6)
+    labels = {(r.drug, r.side_effect): r.kmeans_cluster for r in queries.kmeans_clusters(spark, folder).collect()}
+    assert labels.keys() == at.keys()
+    own = np.array([labels[k] for k in at])
+    centres = np.array([x[own == c].mean(axis=0) for c in range(4)])
+    assert [tuple(c) for c in centres] == sorted(tuple(c) for c in centres)
+    apart = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+    assert (apart.argmin(axis=1) == own).mean() > 0.99  # where the rounds end, all but a few lie nearest their own centre
+    cost = apart[np.arange(len(x)), own].sum()
+    for seed in range(20):  # no plain start does better by more than a hundredth
+        c = x[np.random.default_rng(seed).choice(len(x), 4, replace=False)]
+        for _ in range(100):
+            mine = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            c = np.array([x[mine == k].mean(axis=0) if (mine == k).any() else c[k] for k in range(4)])
+        assert cost <= 1.01 * ((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum()
+
+
 def test_clusterers_find_blobs(spark):
     d = blobs(spark)
     assert agrees(cluster.kmeans(d, ["x", "y"], starts=3).collect(), "kmeans_cluster")
