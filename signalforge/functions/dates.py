@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
+# The period of interest, how dates are written and where they stand in a text.
 FIRST, LAST = "2019-01-01", "2026-12-31"
 #: Tried in this order, with the shape a text must have (the parser is laxer than the notation).
 FORMATS = [
@@ -69,6 +70,7 @@ def signal_hash(drug: Column, source: Column, day: Column, extra: Column) -> Col
     return F.substring(F.sha1(joined), 1, 20)
 
 
+# The notations of review dates.
 _NAMES = ["%Y-%m-%d", "%Y/%m/%d", "%Y-%m", "%Y/%m", "%B %d, %Y", "%b %d, %Y", "%d %B %Y", "%d %b %Y", "%Y"]
 
 
