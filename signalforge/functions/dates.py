@@ -57,8 +57,9 @@ def compact_date(c: Column) -> Column:
 
 
 def epoch_date(seconds: Column) -> Column:
-    """Date of UTC seconds as text; 0 and null are empty."""
+    """Date of UTC seconds as text; 0 and null are empty. Years beyond 9999 have no sign, as in SQL."""
     day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")), "yyyy-MM-dd")
+    day = F.ltrim(day, F.lit("+"))
     return F.when(F.coalesce(seconds, F.lit(0)) == 0, "").otherwise(day)
 
 
