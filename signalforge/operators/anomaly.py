@@ -133,9 +133,9 @@ def isolation_forest(df: DataFrame, features: list[str], trees: int = 100, rows:
 # ---- local outlier factor ----
 
 
-def local_outlier_factor(points: DataFrame, key: str, features: list[str], k: int = 30, threshold: float = 1.5) -> DataFrame:
+def local_outlier_factor(points: DataFrame, key: str, features: list[str], k: int = 30, threshold: float = 1.5, search=neighbours) -> DataFrame:
     """(key, lof_score, is_anomaly): density of the neighbours over one's own, from k-distances and reach distances by joins."""
-    near = neighbours(points, key, features, k)
+    near = search(points, key, features, k)
     far = near.groupBy("key").agg(F.max("distance").alias("k_distance"))
     reach = near.join(far.withColumnRenamed("key", "neighbour"), "neighbour").withColumn("reach", F.greatest("distance", "k_distance"))
     density = reach.groupBy("key").agg((1.0 / (F.avg("reach") + 1e-10)).alias("density"))

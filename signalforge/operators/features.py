@@ -46,12 +46,12 @@ def row_features(series: DataFrame) -> DataFrame:
     return df
 
 
-def scaled(df: DataFrame, columns: list[str], digits: int | None = None) -> DataFrame:
-    """Columns less their mean over their population deviation; constant columns are 0. One aggregate, broadcast as one row."""
+def scaled(df: DataFrame, columns: list[str], digits: int | None = None, flat: float = 0.0) -> DataFrame:
+    """Columns less their mean over their population deviation; constant columns are `flat`. One aggregate, broadcast as one row."""
     stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
     out = df.crossJoin(F.broadcast(stats))
     for c in columns:
-        value = F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(0.0)
+        value = F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(F.lit(flat))
         out = out.withColumn(f"z_{c}", F.round(value, digits) if digits is not None else value)
     return out.drop(*[f"_{k}_{c}" for c in columns for k in "ms"])
 

@@ -154,6 +154,27 @@ def neighbours(points: DataFrame, key: str, features: list[str], k: int, tile: i
     return own.select("key", F.posexplode(listed)).select("key", F.col("col.neighbour").alias("neighbour"), F.col("col.distance").alias("distance"), (F.col("pos") + 1).alias("rank"))
 
 
+def neighbours_of_all(points: DataFrame, key: str, features: list[str], k: int, **options) -> DataFrame:
+    """neighbours() of all points, as SQL orders them: a coordinate that is not a number makes a distance none, and such distances (NaN) come
+    after all numbers, by key. Points with a null or infinite coordinate are left out."""
+    given = points.select(F.col(key).cast("string").alias("key"), *[F.col(c).cast("double").alias(c) for c in features])
+    given = stored(given.filter(F.forall(F.array(*features), lambda v: v.isNotNull() & (F.isnan(v) | (F.abs(v) < float("inf"))))), "given-points")
+    nan = F.exists(F.array(*features), F.isnan)
+    found, off = neighbours(given.filter(~nan), "key", features, k, **options), given.filter(nan)
+    last = [r.key for r in off.orderBy("key").limit(k).collect()]
+    if not last:
+        return found
+    first = [r.key for r in given.orderBy("key").limit(k + 1).collect()]
+    placed = given.filter(~nan).limit(k + 1).count()
+
+    def by_key(asking: DataFrame, names: list[str], ranked: int) -> DataFrame:
+        others = F.slice(F.filter(F.array(*[F.lit(n) for n in names]), lambda n: n != F.col("key")), 1, k - ranked)
+        return asking.select("key", F.posexplode(others)).select("key", F.col("col").alias("neighbour"), F.lit(float("nan")).alias("distance"), (F.col("pos") + ranked + 1).alias("rank"))
+
+    found = found.unionByName(by_key(off, first, 0))
+    return found.unionByName(by_key(given.filter(~nan), last, placed - 1)) if 0 < placed <= k else found
+
+
 def _crowded_join(p: DataFrame, best: DataFrame) -> DataFrame:
     """p with the row of best for its x: the places of many points are broadcast (fewer than a thousand are), the others joined."""
     if best.limit(SMALL + 1).count() <= SMALL:
