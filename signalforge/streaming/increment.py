@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructField, StructType
 
 
@@ -42,38 +46,44 @@ def upsert_once(events: DataFrame, merge, checkpoint: str) -> StreamingQuery:
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class FirstClaim(StatefulProcessor):
-    """The first claim of an item, by its order; what was claimed before, in this run or an earlier one, gives nothing."""
+#: Rows that a task gathers before it keeps the first find of each item only.
+GATHERED = 200_000
+
 
-    def __init__(self, item: str, drug: str, order: str) -> None:
-        self.item, self.drug, self.order = item, drug, order
+def _firsts(item: str, drug: str, order: str):
+    """A function for mapInArrow that keeps of a partition's rows the first of each item, by (order, drug)."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.claimed = handle.getValueState("claimed", "claimed boolean")
+    def reduced(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        t = t.take(pc.sort_indices(t, sort_keys=[(order, "ascending"), (drug, "ascending")]))
+        codes = t[item].combine_chunks().dictionary_encode().indices.to_numpy()
+        return t.take(np.unique(codes, return_index=True)[1]).combine_chunks().to_batches()
 
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803, ARG002
-        first = None
-        for part in rows:
-            part = part.sort_values([self.order, self.drug], kind="stable").head(1)[[self.drug, self.order]]
-            first = part if first is None else pd.concat([first, part]).sort_values([self.order, self.drug], kind="stable").head(1)
-        if first is not None and not self.claimed.exists():
-            self.claimed.update((True,))
-            first.insert(0, self.item, key[0])
-            yield first
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, limit = [], 0, GATHERED
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= limit:
+                held = reduced(held)
+                rows = sum(b.num_rows for b in held)
+                limit = max(GATHERED, 2 * rows)
+        if rows:
+            yield from reduced(held)
 
-    def close(self) -> None:
-        pass
+    return firsts
 
 
 def claims(finds: DataFrame, item: str, drug: str, order: str) -> DataFrame:
     """(item, drug, order) of a stream of finds: each item goes to the drug whose find comes first, once, whatever later runs find.
 
-    The state is one flag an item, kept by item beside the checkpoint, so a run reads nothing of what earlier ones wrote. Of a batch's
-    finds the one with the least (order, drug) is the first. Null items claim nothing. The session keeps its state in RocksDB.
+    A batch's finds are dealt by item and the one with the least (order, drug) of each is kept, in Arrow batches; Spark's keyed deduplication
+    then lets pass what was not claimed before. The state is one flag an item, kept by item beside the checkpoint, so a run reads nothing of
+    what earlier ones wrote. Null items claim nothing. The session keeps its state in RocksDB.
     """
     spark = finds.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     of = {f.name: f.dataType for f in finds.schema}
     schema = StructType([StructField(c, of[c]) for c in (item, drug, order)])
     rows = finds.select(item, drug, order).filter(F.col(item).isNotNull() & F.col(drug).isNotNull())
-    return rows.groupBy(item).transformWithStateInPandas(FirstClaim(item, drug, order), schema, "append", "none")
+    return rows.repartition(item).mapInArrow(_firsts(item, drug, order), schema).dropDuplicates([item])
