@@ -3,7 +3,8 @@
     spark.dataSource.register(PagedSearch)
     spark.read.format("paged_search").option("path", folder).option("cap", 10).option("date_field", "statusModule.startDateStruct.date").load()
 
-Pages lie at path/drug_name=<drug>/page=<number>/, as Spark's partitioned text writer lands them: one JSON item a line. A search is one input
+Pages lie at path/drug_name=<drug>/page=<number>/, one JSON item a line, or by the hundred at path/drug_name=<drug>/pages=<number>/, in order, each
+line begun by its page's number and a tab: land() writes those, since a folder a page costs the driver a commit each. A search is one input
 partition, so searches are read side by side; a filter on drug_name leaves only its searches to read. Within a search pages are
 read by number up to `pages`; a page without items, or a number that is missing, ends it. Items count if their date lies in the window from
 `since` to `until` (without date_field all do); once `cap` of them are there the search ends (0: no cap). Lines that hold no JSON object have a
@@ -14,12 +15,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
 from urllib.parse import unquote
 
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from ..functions.dates import FIRST, LAST, parse_date_text
 
+#: Pages that land() puts into one folder.
+TOGETHER = 256
 #: A partition folder of rows without a drug, as Spark names it.
 NO_NAME = "__HIVE_DEFAULT_PARTITION__"
 
@@ -90,17 +95,27 @@ class PagedReader(DataSourceReader):
                 if pending.strip():
                     yield pending.decode("utf-8", "replace")
 
+    def _pages(self, system, folder: str) -> Iterator[tuple[int, Iterator[str]]]:
+        """(number, lines) of a search's pages by number; none is opened before it is asked for."""
+        alone = [(int(n), at, False) for n, at in _folders(system, folder, "page") if n.isdigit()]
+        together = [(int(n) * TOGETHER, at, True) for n, at in _folders(system, folder, "pages") if n.isdigit()]
+        for number, at, several in sorted(alone + together):
+            if several:
+                for page, lines in groupby((line.split("\t", 1) for line in self._lines(system, at)), lambda x: int(x[0])):
+                    yield page, (said for _, said in lines if said.strip())
+            else:
+                yield number, self._lines(system, at)
+
     def read(self, partition: Search) -> Iterator[tuple]:
         if not partition.folder:
             return
         system, _ = _files(self.path)
-        numbered = sorted((int(number), at) for number, at in _folders(system, partition.folder, "page") if number.isdigit())
         taken = 0
-        for expected, (page, at) in enumerate(numbered):
+        for expected, (page, lines) in enumerate(self._pages(system, partition.folder)):
             if page != expected or (self.pages and page >= self.pages) or (self.cap and taken >= self.cap):
                 return
             items = 0
-            for pos, line in enumerate(self._lines(system, at)):
+            for pos, line in enumerate(lines):
                 items += 1
                 try:
                     item = json.loads(line)
@@ -139,6 +154,10 @@ def search(spark, path: str, **options):
 
 
 def land(items, path: str) -> None:
-    """Writes items (drug_name, page, pos, item) as pages that search() reads; a page is one task's."""
-    pages = items.repartition("drug_name", "page").sortWithinPartitions("drug_name", "page", "pos")
-    pages.select("drug_name", "page", items["item"].alias("value")).write.partitionBy("drug_name", "page").text(path)
+    """Writes items (drug_name, page, pos, item) as pages that search() reads; TOGETHER pages of a search are one task's and one file."""
+    number = F.concat(F.col("page").cast("string"), F.lit("\t"))
+    # a break within an item parts it into lines, as it does in a file of one page
+    value = F.concat(number, F.replace(F.coalesce("item", F.lit("")), F.lit("\n"), F.concat(F.lit("\n"), number)))
+    pages = items.select("drug_name", F.floor(F.col("page") / TOGETHER).cast("int").alias("pages"), "page", "pos", value.alias("value"))
+    pages = pages.repartition("drug_name", "pages").sortWithinPartitions("drug_name", "pages", "page", "pos")
+    pages.select("drug_name", "pages", "value").write.partitionBy("drug_name", "pages").text(path)
