@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import compact_date, epoch_date, in_window, parse_date
+from ..functions.hof import let
 from ..functions.text import drug_name, strip
+from ..operators.stored import stored
+
+#: Tables up to so many rows, once counted, are broadcast.
+SMALL = 20_000
 
 # Drug classes collected, trusted forums, and the words that make a post relevant.
 CATEGORIES = [("NSAID", "M01A"), ("Antibiotique", "J01"), ("Antidepresseur", "N06A"), ("Antihypertenseur", "C02"), ("Anticoagulant", "B01A"), ("Statine", "C10AA"), ("Antidiabetique", "A10"), ("Corticoide", "H02")]
@@ -129,8 +136,9 @@ def reports(df: DataFrame, drug: str = "drug_name", order: str = "safetyreportid
 
 def relevant(text: Column, drug: Column) -> Column:
     """Whether a post names the drug, an effect and a cause."""
-    low = F.lower(text)
-    return F.contains(low, drug) & low.rlike("|".join(EFFECT_WORDS)) & low.rlike("|".join(CAUSE_WORDS))
+    # plain searches for one word after another: a pattern of all tries each of them at each character
+    holds = lambda low, words: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+    return let(F.lower(text), lambda low: F.contains(low, drug) & holds(low, EFFECT_WORDS) & holds(low, CAUSE_WORDS))
 
 
 def confidence(score: Column, forum: Column) -> Column:
@@ -160,22 +168,27 @@ def forum_pages(posts: DataFrame, comments: DataFrame, cap: int = 25, pages: int
     drug and first 80 characters are one, the one found first.
     """
     where = ["drug_name", "forum", "page"]
+    few = lambda d: F.broadcast(d) if d.limit(SMALL + 1).count() <= SMALL else d
+    row = lambda d, t, score, time, i, kind, at, *more: d.select(*where, "subreddit", F.substring(t, 1, 1000).alias("review_text"), score.alias("score"), time.alias("created_utc"), i.alias("id"), F.lit(kind).alias("kind"), at.alias("_at"), F.concat("drug_name", F.substring(t, 1, 80)).alias("review_key"), *more)
+    at = lambda kind, pos, c_pos: F.struct(F.lit(kind).alias("kind"), pos.cast("long").alias("pos"), c_pos.cast("long").alias("c_pos"))
+    # whole texts are read and judged once; what is ranked, counted and told apart from here on is their beginnings
     text = strip(F.concat_ws(" ", "title", "selftext"))
-    p = posts.filter(F.col("page") < pages).withColumn("review_text", text)
-    hit = p.filter(relevant(F.col("review_text"), F.col("drug_name")))
-    hit = hit.withColumn("_nth", F.row_number().over(Window.partitionBy(*where).orderBy("pos", "id"))).withColumn("kind", F.lit("post"))
+    p = posts.filter(F.col("page") < pages).withColumn("_text", text).withColumn("_hit", relevant(F.col("_text"), F.col("drug_name")))
+    p = stored(row(p, F.when(F.col("_hit"), F.col("_text")), F.col("score"), F.col("created_utc"), F.col("id"), "post", at(0, F.col("pos"), F.lit(0)), F.col("pos").alias("_pos")), "forum-posts")
+    hit = p.filter(F.col("review_text").isNotNull())
+    first = hit.select(*where, "subreddit", "_pos", "id").withColumn("_nth", F.row_number().over(Window.partitionBy(*where).orderBy("_pos", "id"))).filter(F.col("_nth") <= with_comments)
+    first = stored(first.select(*where, "subreddit", F.col("_pos").alias("_p_pos"), F.col("id").alias("post_id")), "commented-posts")
     said = comments.select("post_id", F.col("pos").alias("_c_pos"), F.col("body").alias("_c_text"), F.col("score").alias("_c_score"), F.col("created_utc").alias("_c_time"), F.col("id").alias("_c_id"))
-    of = hit.filter(F.col("_nth") <= with_comments).join(said, F.col("id") == F.col("post_id")).filter((F.length("_c_text") >= 40) & relevant(F.col("_c_text"), F.col("drug_name")))
-    row = lambda d, t, s, c, i, at: d.select(*where, "subreddit", F.substring(t, 1, 1000).alias("review_text"), F.col(s).alias("score"), F.col(c).alias("created_utc"), F.col(i).alias("id"), "kind", at.alias("_at"), F.concat("drug_name", F.substring(t, 1, 80)).alias("review_key"))
-    at = lambda kind, pos, c_pos: F.struct(F.lit(kind).alias("kind"), pos.cast("long").alias("pos"), c_pos.cast("long").alias("c_pos"))
-    found = row(hit, F.col("review_text"), "score", "created_utc", "id", at(0, F.col("pos"), F.lit(0))).unionByName(row(of.withColumn("kind", F.lit("comment")), F.col("_c_text"), "_c_score", "_c_time", "_c_id", at(1, F.col("pos"), F.col("_c_pos"))))
+    of = said.join(few(first), "post_id").filter((F.length("_c_text") >= 40) & relevant(F.col("_c_text"), F.col("drug_name")))
+    of = stored(row(of, F.col("_c_text"), F.col("_c_score"), F.col("_c_time"), F.col("_c_id"), "comment", at(1, F.col("_p_pos"), F.col("_c_pos"))), "forum-comments")
+    found = hit.drop("_pos").unionByName(of)
     # a row a page: what it gives, whether its forum has ended before it, and how much there is when it would be begun
-    counts = posts.filter(F.col("page") < pages).select(*where).distinct().join(found.groupBy(*where).agg(F.count(F.lit(1)).alias("_n")), where, "left").fillna(0, ["_n"])
+    counts = p.select(*where).distinct().join(found.groupBy(*where).agg(F.count(F.lit(1)).alias("_n")), where, "left").fillna(0, ["_n"])
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     ended = F.coalesce(F.min("_n").over(before(Window.partitionBy("drug_name", "forum").orderBy("page"))) == 0, F.lit(False))
     counts = counts.withColumn("_ended", ended).filter(~F.col("_ended"))
     counts = counts.withColumn("_have", F.coalesce(F.sum("_n").over(before(Window.partitionBy("drug_name").orderBy("forum", "page"))), F.lit(0)))
-    kept = found.join(counts.filter(F.col("_have") < cap).select(*where), where)
+    kept = found.join(few(stored(counts.filter(F.col("_have") < cap).select(*where), "opened-pages")), where)
     first = F.struct("forum", "page", "_at", "id")
     columns = [c for c in kept.columns if c not in ("review_key", "_at")]
     out = kept.groupBy("review_key").agg(F.min_by(F.struct(*columns), first).alias("_f")).select("review_key", "_f.*")
