@@ -43,11 +43,13 @@ def judged(text: Column, entities: Column, drug: Column) -> Column:
     of = F.filter(entities, lambda e: e["label"].isin("DISEASE", "SYMPTOM"))
 
     def one(low: Column, e: Column) -> Column:
-        token = T.normal_term(e["text"])
-        is_in = lambda seeds: F.array_contains(strings(seeds), e["text"]) | F.array_contains(strings(seeds), token)
-        seeded = F.when(is_in(lexicon.SIDE_EFFECTS), "side_effect").when(is_in(lexicon.SYMPTOMS_NLP), "symptom").otherwise("unknown")
-        said = relation_of(low, e["text"], drug)
-        return F.struct(token.alias("token"), F.when(said == "unknown", seeded).otherwise(said).alias("relation"))
+        def told(x: Column) -> Column:
+            is_in = lambda seeds: F.array_contains(strings(seeds), e["text"]) | F.array_contains(strings(seeds), x["token"])
+            seeded = F.when(is_in(lexicon.SIDE_EFFECTS), "side_effect").when(is_in(lexicon.SYMPTOMS_NLP), "symptom").otherwise("unknown")
+            return F.struct(x["token"].alias("token"), F.when(x["said"] == "unknown", seeded).otherwise(x["said"]).alias("relation"))
+
+        # term and context are searched once, however often they are named
+        return let(F.struct(T.normal_term(e["text"]).alias("token"), relation_of(low, e["text"], drug).alias("said")), told)
 
     return let(F.lower(text), lambda low: F.transform(of, lambda e: one(low, e)))
 
