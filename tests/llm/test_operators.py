@@ -16,7 +16,7 @@ import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
-from signalforge.llm import graph, langmodel, linedup, mixing, neardup, packing, pii, quality, textops, urlrules, vecdup, warc
+from signalforge.llm import graph, langmodel, linedup, mixing, neardup, packing, passages, pii, quality, textops, urlrules, vecdup, warc
 from signalforge.llm.shared import scratch_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -465,6 +465,55 @@ def test_repeated_lines_equal_brute_force(spark, monkeypatch):
     assert linedup.dedup(d.filter("false")).count() == 0
 
 
+# ---- repeated passages ----
+
+
+def test_repeated_passages_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    shared = [prose(900 + k, n) for k, n in enumerate([49, 50, 51, 60, 75, 130, 400])]
+    # clean: neighbours share short lines and 49 words; the others hold passages between words of their own, without line feeds of their own
+    clean = [(500 + k, f"And.\n{prose(1000 + k, 30)} {shared[0]} {prose(2000 + k, 30)}\nThe end\nAnd.", "s") for k in range(20)]
+    held = [(600 + k, f"{prose(3000 + k, 20)} {shared[3 + k % 4].upper() if k % 2 else shared[3 + k % 4]} {prose(4000 + k, 20)}", "s") for k in range(20)]
+    rows = corpus() + clean + held
+    for k in range(120):
+        parts = [rng.choice([rng.choice(shared), prose(rng.randrange(10**6), rng.randint(1, 60)), "é 日本 " * rng.randint(1, 30), "again " * 70]) for _ in range(rng.randint(1, 5))]
+        rows.append((rng.choice([700 + k, 700, None]), rng.choice([" ", "\n", " \t\n "]).join(parts), "s"))
+    left, seen = defaultdict(list), {}
+    for rank, (i, t, _) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest()))):
+        found = list(WORD.finditer(t or ""))
+        words = [m.group().lower() for m in found]
+        gone = [False] * len(words)
+        for k in range(len(words) - 49):
+            if seen.setdefault(" ".join(words[k : k + 50]), rank) < rank:
+                gone[k : k + 50] = [True] * 50
+        spans, rest, at = [], "", 0
+        for out, group in itertools.groupby(range(len(words)), gone.__getitem__):
+            group = list(group)
+            if out:
+                spans.append((len(group), found[group[0]].start(), found[group[-1]].end()))
+                rest, at = rest + t[at : spans[-1][1]], spans[-1][2]
+        left[i].append((t, spans, None if t is None else rest + t[at:]))
+    assert not any(spans for i, x in left.items() if i in range(500, 520) for _, spans, _ in x)
+    assert all(len(left[600 + k][0][1]) == (k >= 4) for k in range(20))
+    order = lambda found: {i: sorted(x, key=repr) for i, x in found.items()}
+    for hot, blocks in ((0.001, 8192), (0.05, 0), (1.0, 8192)):  # all, some and none of the seeds are broadcast; rows are marked or joined
+        monkeypatch.setattr(passages, "HOT", hot)
+        monkeypatch.setattr(passages, "BLOCKS", blocks)
+        d = documents(spark, rows).repartition(5)
+        got = defaultdict(list)
+        for r in passages.find(d).collect():
+            got[r.doc_id].append((r.text, [tuple(s) for s in r._spans], r._clean_text))
+        assert order(got) == order(left)
+    clean = passages.dedup(d)
+    assert clean.columns == d.columns
+    assert sorted((r.text or "", -1 if r.n_chars is None else r.n_chars) for r in clean.collect()) == sorted((c or "", -1 if c is None else len(c)) for x in left.values() for _, _, c in x)
+    assert passages.dedup(d.filter("false")).count() == 0
+
+
+def test_passages_equal_sql(spark):
+    test_queries_equal_sql(spark, "op2_passages")
+
+
 def test_all_operators_are_registered():
     from signalforge.llm import queries
 
