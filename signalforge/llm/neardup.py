@@ -6,6 +6,12 @@ are dealt out by hash and added up, and go back to their windows as bare numbers
 weighted samples are banded; nodes that share a band's bucket are verified by weighted Jaccard similarity on their whole
 shingle sets, and classes are the connected components of the verified pairs.
 
+Where copies are many, df of what they share grows with their number, so that each copy's few changes outweigh all the rest and
+near copies of a large group come apart, the more so the larger it is. With copies_once, N and df (1 at least) are therefore counted
+without copies of earlier texts: documents whose text is equal to another's, or shares one of 16 sketches with a text of a smaller digest.
+A sketch is two min-hashes of the set of shingles, so at Jaccard similarity j to what a group has in common, a text is taken for
+a copy with probability 1 - (1 - j^2)^16 (0.87 at 0.35, 0.99 at 0.5). Copies are only left out of the counts: all are sampled and compared.
+
 Within a bucket, all members are first compared with one hub, and what they differ by from it is kept. Members that are one class
 with the hub by then need no more; each of the others is compared with all of the hub's group, tile by tile, as
 differences from the hub. No pair that could join two classes is left out, no pairs are listed, and no bucket is collected
@@ -35,6 +41,8 @@ BANDS, ROWS = 20, 4
 WINDOW = 2_000_000
 #: Bytes of text whose shingles make one part of the count.
 PART_BYTES = 6_000_000
+#: Sketches of a text by which copies are known before shingles are counted, and min-hashes in each.
+SKETCHES, SKETCH_ROWS = 16, 2
 #: Members of a hub's group that are compared in one go.
 TILE = 128
 #: Texts to verify whose digests may be broadcast to pick them out of the corpus.
@@ -88,8 +96,38 @@ def _weights(tf: np.ndarray, df: np.ndarray, total: int) -> np.ndarray:
     return tf.astype(np.float32) * (1.0 + np.log(total / df)).astype(np.float32)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (_id, _text, text) -> block, rows, size: windows of rows, each a compressed Arrow stream."""
+def _sketches(values: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Buckets (rows x SKETCHES) of rows of ascending different shingles, none of them empty.
+
+    The hashes are uniform, so the first one from a fixed point on, after the last again the first, is a min-hash: two sets agree
+    on it with the probability of their Jaccard similarity.
+    """
+    points = SKETCHES * SKETCH_ROWS
+    cell = (((values >> np.uint64(40)) * np.uint64(points)) >> np.uint64(24)).astype(np.int64)
+    held = np.bincount(np.repeat(np.arange(len(number)) * points, number) + cell, minlength=len(number) * points)
+    first, ends = (np.cumsum(held) - held).reshape(-1, points), np.cumsum(number)[:, None]
+    found = values[np.where(first < ends, first, ends - number[:, None])].reshape(-1, SKETCHES, SKETCH_ROWS)
+    odd = textops.mix(np.arange(201, 201 + SKETCH_ROWS, dtype=np.uint64)) | np.uint64(1)
+    return textops.mix((found * odd).sum(axis=2, dtype=np.uint64) ^ textops.mix(np.arange(2001, 2001 + SKETCHES, dtype=np.uint64)))
+
+
+def _sketched(rows: pa.RecordBatch) -> pa.Array:
+    """Of rows (_id, _text, text): one list of (place, key, bucket), place the row's number and key the head of its digest."""
+    keys = np.frombuffer(b"".join(rows.column(1).to_pylist()), ">i8")[::2].astype(np.int64)
+    at, buckets = [np.zeros(0, np.int64)], [np.zeros((0, SKETCHES), np.uint64)]
+    for low, high, words, counts in textops.chunks(rows.column(2)):
+        values, _, number = textops.distinct(*textops.shingles(words, counts))
+        some = np.flatnonzero(number)
+        if len(some):
+            at.append(low + some)
+            buckets.append(_sketches(values, number[some]))
+    place = np.repeat(np.concatenate(at), SKETCHES)
+    parts = [pa.array(place.astype(np.int32)), pa.array(keys[place]), pa.array(np.concatenate(buckets).reshape(-1).view(np.int64))]
+    return pa.ListArray.from_arrays(pa.array([0, len(place)], pa.int32()), pa.StructArray.from_arrays(parts, ["place", "key", "bucket"]))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], sketched: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (_id, _text, text) -> block, rows, size and, if asked for, sketch: windows of rows, each a compressed Arrow stream."""
     kind = pa.schema([("_id", pa.int64()), ("_text", pa.binary()), ("text", pa.string())])
     options = pa.ipc.IpcWriteOptions(compression="zstd")
     for batch in batches:
@@ -98,9 +136,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while low < batch.num_rows:
             high = max(low + 1, int(np.searchsorted(ends, ends[low] + WINDOW, "right")) - 1)
             out = pa.BufferOutputStream()
+            rows = pa.RecordBatch.from_arrays([c.slice(low, high - low) for c in batch.columns], schema=kind)
             with pa.ipc.new_stream(out, kind, options=options) as stream:
-                stream.write_batch(pa.RecordBatch.from_arrays([c.slice(low, high - low) for c in batch.columns], schema=kind))
-            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary()), pa.array([high - low]), pa.array([ends[high] - ends[low]])], names=["block", "rows", "size"])
+                stream.write_batch(rows)
+            columns = {"block": pa.array([out.getvalue().to_pybytes()], pa.binary()), "rows": pa.array([high - low]), "size": pa.array([ends[high] - ends[low]])}
+            yield pa.RecordBatch.from_pydict(columns | ({"sketch": _sketched(rows)} if sketched else {}))
             low = high
     textops.release()
 
@@ -109,20 +149,58 @@ def _texts(block: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(block).read_all().combine_chunks().to_batches()[0]
 
 
-def windows_of(rows: DataFrame) -> DataFrame:
-    """(window, block, rows, size): rows (_id, _text, text) in windows of about WINDOW bytes, written once; a longer text is alone."""
-    blocks = rows.mapInArrow(_blocks, "block binary, rows long, size long")
+def windows_of(rows: DataFrame, sketched: bool = False) -> DataFrame:
+    """(window, block, rows, size): rows (_id, _text, text) in windows of about WINDOW bytes, written once; a longer text is alone.
+
+    sketched: then their sketches too, by which copies() knows copies.
+    """
+    kind = "block binary, rows long, size long" + ", sketch array<struct<place: int, key: long, bucket: long>>" * sketched
+    blocks = rows.mapInArrow(lambda it: _blocks(it, sketched), kind)
     return materialise(blocks.withColumn("window", F.monotonically_increasing_id()), "windows")
 
 
+def _not_first(rows: DataFrame, many: int) -> DataFrame:
+    """(window, place) of the rows (bucket, who, window, place) whose bucket holds a smaller who; `many`: a bucket with more rows is hot."""
+    full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_members"), F.min("who").alias("_least"), F.max("who").alias("_most"))
+    full = materialise(full.filter("_least < _most").select("bucket", "_members", "_least"), "shared-sketches")
+    hot, usual = F.broadcast(full.filter(F.col("_members") > many)), full.filter(F.col("_members") <= many)
+    both = rows.join(hot, "bucket").unionByName(rows.join(hot.select("bucket"), "bucket", "left_anti").join(usual, "bucket"))
+    return both.filter("who > _least").select("window", "place")
+
+
+def copies(windows: DataFrame) -> DataFrame:
+    """(window, copies): the places, in windows with sketches, of documents that are copies of an earlier text."""
+    said = windows.select("window", F.inline("sketch"))
+    many = max(1, windows.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] // 1000)  # fewer than a thousand buckets a sketch are larger
+    near = _not_first(said.select("bucket", F.col("key").alias("who"), "window", "place"), many)
+    each = windows.select("window", F.explode(F.filter("sketch", lambda x, k: k % SKETCHES == 0)).alias("_s")).select("window", "_s.place", F.col("_s.key").alias("bucket"))
+    equal = _not_first(each.withColumn("who", F.struct("window", "place")), many)
+    found = near.unionByName(equal).distinct().groupBy("window").agg(F.collect_list("place").alias("copies"))
+    return materialise(found, "copies")
+
+
 def _counted_windows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Rows (window, block) -> part, window, packed differences of its ascending shingles, documents of the window that hold each."""
+    """Rows (window, block, copies) -> part, window, packed differences of its ascending shingles, documents of the window that hold each.
+
+    Documents at the places in copies are not counted, but their shingles are there.
+    """
     for batch in batches:
-        for window, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = [textops.distinct(*textops.shingles(words, counts))[0] for _, _, words, counts in textops.chunks(_texts(block.as_py()).column(2))]
+        for window, block, left_out in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            texts = _texts(block.as_py())
+            counted = np.ones(texts.num_rows, bool)
+            counted[left_out or []] = False
+            found, own = [], []
+            for low, high, words, counts in textops.chunks(texts.column(2)):
+                values, _, number = textops.distinct(*textops.shingles(words, counts))
+                found.append(values)
+                own.append(np.repeat(counted[low:high], number))
             values, n = np.unique(np.concatenate(found), return_counts=True)
             if not len(values):
                 continue
+            if left_out:
+                held, times = np.unique(np.concatenate(found)[np.concatenate(own)], return_counts=True)
+                n = np.zeros(len(values), np.int64)
+                n[np.searchsorted(values, held)] = times
             part = ((values >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)  # ascending, like the shingles
             cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
             some = np.flatnonzero(np.diff(cuts))
@@ -143,21 +221,28 @@ def _df_in_part(rows: pa.Table) -> pa.Table:
     flat = flat[order]
     new = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
     df = np.empty(len(flat), np.uint32)
-    df[order] = np.repeat(np.add.reduceat(n[order], new, dtype=np.uint32), np.diff(np.append(new, len(flat))))
+    sums = np.maximum(np.add.reduceat(n[order], new, dtype=np.uint32), 1)  # 1 for what only copies hold
+    df[order] = np.repeat(sums, np.diff(np.append(new, len(flat))))
     out = [textops.squeezed(df[low:high], np.uint32) for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
     textops.release()
     return pa.table([pa.array(windows, pa.int64()), pa.array([part] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["window", "part", "df"])
 
 
-def counted_shingles(windows: DataFrame) -> tuple[int, DataFrame]:
+def counted_shingles(windows: DataFrame, left_out: DataFrame | None = None) -> tuple[int, DataFrame]:
     """(documents, (window, part, df)): in how many documents of all each of a window's shingles is, part by part.
 
     A window's shingles are counted before they are dealt out by hash, so that none is hot. What comes back is a number a
-    shingle, without the shingles: their order says which is which.
+    shingle, without the shingles: their order says which is which. left_out (window, copies): documents that are not counted.
     """
     total, size = windows.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     parts = int(max(1, min(size // PART_BYTES, 1 << 22)))
-    dealt = windows.select("window", "block").mapInArrow(lambda it: _counted_windows(it, parts), "part int, window long, keys binary, n binary")
+    texts = windows.select("window", "block")
+    if left_out is None:
+        texts = texts.withColumn("copies", F.lit(None).cast("array<int>"))
+    else:
+        total -= left_out.agg(F.coalesce(F.sum(F.size("copies")), F.lit(0))).first()[0]
+        texts = attach(texts, left_out, ["window"], "window").select("window", "block", "copies")
+    dealt = texts.mapInArrow(lambda it: _counted_windows(it, parts), "part int, window long, keys binary, n binary")
     return total, materialise(dealt.groupBy("part").applyInArrow(_df_in_part, "window long, part int, df binary"), "shingle-counts")
 
 
@@ -320,13 +405,16 @@ def link_buckets(members: DataFrame, sets: DataFrame, rare: float, similarity: f
     return links.union(materialise(more, "links"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row a document: _id, _text (digest), class_id (smallest id of the class), n_class (its documents)."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, copies_once: bool = False) -> DataFrame:
+    """One row a document: _id, _text (digest), class_id (smallest id of the class), n_class (its documents).
+
+    copies_once: shingles are weighed by the documents that hold them without those that are copies of an earlier text.
+    """
     spark = docs.sparkSession
     digest = F.unhex(F.md5(F.coalesce(q(text_col).cast("string"), F.lit(""))))
     rows_in = docs.select(q(id_col).cast("long").alias("_id"), digest.alias("_text"), q(text_col).cast("string").alias("text"))
-    windows = windows_of(rows_in)
-    total, counted = counted_shingles(windows)
+    windows = windows_of(rows_in, copies_once)
+    total, counted = counted_shingles(windows, copies(windows) if copies_once else None)
     rare = float(np.float32(1.0 + np.log(max(total, 1))))  # idf of what one document holds
     forget(spark)
     made: list[Sampler] = []

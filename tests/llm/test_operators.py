@@ -410,6 +410,70 @@ def test_weights_are_unclamped_tf_idf(spark):
     assert all(got[1000 + k] == 1000 + k for k in range(400))
 
 
+def shingle_counts(rows):
+    words = {i: WORD.findall((t or "").lower()) for i, t in rows}
+    return {i: Counter([tuple(w[k : k + 5]) for k in range(len(w) - 4)] or ([tuple(w)] if w else [])) for i, w in words.items()}
+
+
+def copy_rows():
+    """One text, 150 exact copies of it and 100 with a few words changed (ids from 0), then texts of their own."""
+    rng = random.Random(23)
+    base = prose(900, 300).split(" ")
+    rows = [(k, " ".join(base)) for k in range(151)]
+    for k in range(151, 251):
+        w = list(base)
+        for at in rng.sample(range(5, 295), 1 + k % 6):
+            w[at] = f"e{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    rows += [(1000 + k, prose(1000 + k, 60)) for k in range(150)]
+    return rows + [(2000, None), (2001, " "), (2002, "one two"), (2003, "one two"), (2004, None)]
+
+
+def left_out(docs):
+    """Ids of the documents that copies() leaves out of the count."""
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    windows = neardup.windows_of(docs.select(F.col("doc_id").cast("long").alias("_id"), digest.alias("_text"), "text"), sketched=True)
+    blocks = {w.window: neardup._texts(bytes(w.block)).column("_id").to_pylist() for w in windows.collect()}
+    return {blocks[r.window][k] for r in neardup.copies(windows).collect() for k in r.copies}
+
+
+def test_copies_are_told_from_other_texts(spark):
+    rows = copy_rows()
+    d = documents(spark, [(i, t, "s") for i, t in rows])
+    text = dict(rows)
+    whole, dealt = left_out(d.coalesce(1)), left_out(d.repartition(5))
+    kept = [i for i, _ in rows if i not in whole]
+    assert len([i for i in kept if i < 251]) == 1 and len([i for i in kept if i in (2002, 2003)]) == 1
+    assert {i for i, _ in rows if i >= 1000} - {2002, 2003} <= set(kept)  # other texts, and those without a word
+    assert sorted(text[i] or "" for i in whole) == sorted(text[i] or "" for i in dealt)
+    assert left_out(d.filter("false")) == set()
+
+
+def test_large_groups_of_copies_keep_their_near_copies(spark):
+    rows = copy_rows()
+    d = documents(spark, [(i, t, "s") for i, t in rows])
+    out, sets, by_all = left_out(d), shingle_counts(rows), weighted(rows)
+    counted = [i for i, _ in rows if i not in out]
+    df = Counter(s for i in counted for s in sets[i])
+    weights = {i: {s: n * (1 + math.log(len(counted) / max(1, df[s]))) for s, n in x.items()} for i, x in sets.items()}
+    near = [i for i in range(151, 251) if jaccard(sets[0], sets[i]) >= 0.82]
+    assert len(near) > 80 and sum(jaccard(by_all[0], by_all[i]) < 0.8 for i in near) > 30  # they come apart if copies count
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, t), (j, u) in itertools.combinations(rows, 2):
+        if (t or "") == (u or "") or jaccard(weights[i], weights[j]) >= 0.8:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    got = {r._id: r.class_id for r in neardup.classes(d, copies_once=True).collect()}
+    assert got == {i: find(i) for i, _ in rows}
+    assert all(got[i] == 0 for i in near) and all(got[i] == i for i in range(1000, 1150))
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     hashes = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))
