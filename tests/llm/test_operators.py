@@ -1,5 +1,6 @@
 """The ten operators against brute force, on small tables with every odd case."""
 
+import functools
 import hashlib
 import itertools
 import math
@@ -449,7 +450,9 @@ def test_copies_are_told_from_other_texts(spark):
     assert left_out(d.filter("false")) == set()
 
 
-def test_large_groups_of_copies_keep_their_near_copies(spark):
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_large_groups_of_copies_keep_their_near_copies(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(neardup, "attach", functools.partial(neardup.attach, max_rows=broadcast))
     rows = copy_rows()
     d = documents(spark, [(i, t, "s") for i, t in rows])
     out, sets, by_all = left_out(d), shingle_counts(rows), weighted(rows)
